@@ -207,14 +207,14 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
-p AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS at, words FROM w WHERE len(words) >= 20),
-k AS (SELECT doc_id, at, array_to_string(words[at:at + 19], ' ') AS seq FROM p),
-d AS (SELECT doc_id, at, row_number() OVER (PARTITION BY seq ORDER BY doc_id, at) > 1 AS later FROM k),
-g AS (SELECT DISTINCT doc_id, unnest(range(at, at + 20)) AS gone FROM d WHERE later),
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS pos, words FROM w WHERE len(words) >= 20),
+k AS (SELECT doc_id, pos, array_to_string(list_slice(words, pos, pos + 19), ' ') AS seq FROM p),
+d AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY seq ORDER BY doc_id, pos) > 1 AS later FROM k),
+g AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS gone FROM d WHERE later),
 l AS (SELECT doc_id, list(gone) AS gone FROM g GROUP BY doc_id),
 r AS (SELECT w.doc_id, words, coalesce(gone, []) AS gone FROM w LEFT JOIN l USING (doc_id))
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
-       sha256(array_to_string(list_filter(words, (x, i) -> NOT list_contains(gone, i)), ' ')) AS kept_sha256
+       sha256(array_to_string(list_filter(words, lambda x, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256
 FROM r
 """
