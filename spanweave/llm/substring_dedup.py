@@ -162,7 +162,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     windows = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(find_windows, "h long, h2 int, block int, id long, at int, n int")
     same = Window.partitionBy("h", "h2")
     windows = windows.withColumn("times", F.sum("n").over(same)).withColumn("lead", F.min(F.struct("id", "at")).over(same))
-    repeated = windows.where("times > 1").select("block", "h", "h2", F.col("lead.id").alias("lead_id"), F.col("lead.at").alias("lead_at"))
+    # what a block must know: that a window of its own goes everywhere, or that all but the leading place go
+    leads = (F.col("lead.id") == F.col("id")) & (F.col("lead.at") == F.col("at"))
+    repeated = windows.where("times > 1").where(~leads | (F.col("n") > 1)).select("block", "h", "h2", F.when(leads, F.col("id")).otherwise(F.lit(LOWEST)).alias("lead_id"), F.when(leads, F.col("at")).otherwise(F.lit(-1)).alias("lead_at"))
 
     row_type = base.schema["row"].dataType
     schema = T.StructType([T.StructField("row", row_type), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("kept_text", T.StringType())])
