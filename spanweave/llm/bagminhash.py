@@ -51,7 +51,7 @@ def signatures(hashes: np.ndarray, owner: np.ndarray, weight: np.ndarray, n_text
     seed, text, low, length, top = [], [], [], [], []
     level, lo, span, which = 0, 0, 1, np.arange(len(hashes))
     while len(which):
-        seed.append(W.mix(hashes[which] + _LEVEL * np.uint64(level)))
+        seed.append(W.mix(hashes[which] + _LEVEL * np.full(1, level, np.uint64)))
         text.append(owner[which])
         low.append(np.full(len(which), lo))
         length.append(np.full(len(which), span))
