@@ -1,4 +1,494 @@
 """All queries of this library by name, with their DuckDB counterparts."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanweave.functions import sequences as S
+from spanweave.jobs.proxies import LINE, SEQ_SQL, align, align_sql, sequences
+from spanweave.operators import alignments as A
+from spanweave.operators import assemble, chaining, contract, graph, intervals, kmers
+from spanweave.session import materialize
+from spanweave.sources import records
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+_L = ", ".join(LINE)
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _matches(spark: SparkSession, d: str, reads: str = "supplier") -> DataFrame:
+    return A.first_match(A.filter_matches(align(spark, d, reads)))
+
+
+def _pairs(spark: SparkSession, d: str, reads: str = "supplier") -> DataFrame:
+    return A.interval_pairs(_matches(spark, d, reads))
+
+
+def _m(reads: str = "supplier") -> str:
+    return f"""WITH RECURSIVE {align_sql(reads)},
+f AS (SELECT *, i_end_x - 1 AS i_end, (i_end_x - i_start)::DOUBLE / (n_end - n_start + 1) AS r_ratio, CAST(matches AS BIGINT) AS score,
+      i_end_x - i_start >= 500 AND matches >= 500 AS is_primary FROM align WHERE matches >= 400 AND i_end_x - i_start >= 400),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nano_id, illu_id ORDER BY {_L}) AS rn FROM f) WHERE rn = 1)"""
+
+
+def _p(reads: str = "supplier") -> str:
+    cut = lambda p, lo: f"CASE WHEN {p}.direction THEN {lo[0]} ELSE {lo[1]} END"
+    ov = "greatest(a.i_start, b.i_start)", "least(a.i_end, b.i_end)"
+    side = lambda p: (f"({ov[0]} - {p}.i_start) / {p}.r_ratio", f"({p}.i_end - {ov[1]}) / {p}.r_ratio")
+    cols = ", ".join(f"{p}.n_start + {cut(p, side(p))} AS {q}_s, {p}.n_end - {cut(p, side(p)[::-1])} AS {q}_e, " + ", ".join(f"{p}.{c} AS {q}_{c}" for c in ("n_start", "n_end", "i_start", "i_end", "direction")) for p, q in (("a", "u"), ("b", "v")))
+    c = f"({ov[1]} - {ov[0]} + 1)"
+    part = lambda p: f"{p}.score * {c}::DOUBLE / ({p}.i_end - {p}.i_start + 1)"
+    return f"""{_m(reads)},
+p AS (SELECT a.nano_id AS u, b.nano_id AS v, illu_id, {ov[0]} AS ov_start, {ov[1]} AS ov_end, a.direction = b.direction AS direction,
+      {part('a')} + {part('b')} AS score, a.is_primary AND b.is_primary AS is_primary, {cols}
+      FROM m a JOIN m b USING (illu_id) WHERE a.nano_id < b.nano_id AND {ov[1]} - {ov[0]} > 100)"""
+
+
+@query("paf_filter", f"{_m()} SELECT nano_id, illu_id, n_start, n_end, i_start, i_end, round(r_ratio, 6) AS r_ratio, direction, score, is_primary FROM f")
+def paf_filter(spark: SparkSession, d: str) -> DataFrame:
+    return A.filter_matches(align(spark, d)).drop("line").withColumn("r_ratio", F.round("r_ratio", 6))
+
+
+@query("first_match", f"{_m()} SELECT nano_id, illu_id, n_start, n_end, i_start, i_end, direction, score, is_primary FROM m")
+def first_match(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d).drop("line", "r_ratio")
+
+
+@query("vertices", f"{_m('order')} SELECT nano_id, CAST(max(n_end) + 51 AS INT) AS length FROM f GROUP BY nano_id")
+def vertices(spark: SparkSession, d: str) -> DataFrame:
+    return A.vertices(A.filter_matches(align(spark, d, "order"))).select("nano_id", "length")
+
+
+@query("interval_pairs", f"{_p()} SELECT u, v, illu_id, ov_start, ov_end, direction, round(score, 6) AS score, is_primary FROM p")
+def interval_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("u", "v", "illu_id", "ov_start", "ov_end", "direction", F.round("score", 6).alias("score"), "is_primary")
+
+
+_EDGES = "e AS (SELECT u, v, count(*) AS anchors, CAST(sum(ov_end - ov_start + 1) AS BIGINT) AS common, CAST(sum(CAST(floor(score) AS BIGINT)) AS BIGINT) AS score, CAST(sum(CAST(is_primary AS INT)) AS BIGINT) AS primaries, 2 * sum(CAST(direction AS INT)) >= count(*) AS direction FROM p GROUP BY u, v)"
+
+
+@query("edge_summary", f"{_p()}, {_EDGES} SELECT u, v, anchors, common, score, primaries FROM e")
+def edge_summary(spark: SparkSession, d: str) -> DataFrame:
+    return A.edge_summary(_pairs(spark, d))
+
+
+@query("edges_of_orders", f"{_p('order')}, {_EDGES} SELECT u, v, anchors, common, score, primaries FROM e")
+def edges_of_orders(spark: SparkSession, d: str) -> DataFrame:
+    return A.edge_summary(_pairs(spark, d, "order"))
+
+
+@query("corrected_range", f"{_p()} SELECT u, v, illu_id, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("u_s", "u_e", "v_s", "v_e")) + " FROM p")
+def corrected_range(spark: SparkSession, d: str) -> DataFrame:
+    return A.with_ranges(_pairs(spark, d)).select("u", "v", "illu_id", *[F.round(c, 4).alias(c) for c in ("u_s", "u_e", "v_s", "v_e")])
+
+
+_HUNG = "r AS (SELECT nano_id, CAST(max(n_end) + 51 AS INT) AS length FROM m GROUP BY nano_id), h AS (SELECT p.*, u_s AS u_left, v_s AS v_left, x.length - u_e AS u_right, y.length - v_e AS v_right FROM p JOIN r x ON x.nano_id = u JOIN r y ON y.nano_id = v)"
+
+
+@query("overhangs", f"{_p()}, {_HUNG} SELECT u, v, illu_id, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("u_left", "u_right", "v_left", "v_right")) + " FROM h")
+def overhangs(spark: SparkSession, d: str) -> DataFrame:
+    m = _matches(spark, d)
+    return A.overhangs(A.interval_pairs(m), A.vertices(m)).select("u", "v", "illu_id", *[F.round(c, 4).alias(c) for c in ("u_left", "u_right", "v_left", "v_right")])
+
+
+_CLASS = """k AS (SELECT u, v, arg_min(struct_pack(l := u_left, vl := v_left, vr := v_right, d := direction), struct_pack(a := u_n_start, b := u_n_end, c := illu_id)) AS a,
+arg_max(struct_pack(r := u_right, vl := v_left, vr := v_right), struct_pack(a := u_n_start, b := u_n_end, c := illu_id)) AS z FROM h GROUP BY u, v),
+o AS (SELECT u, v, a.d AS direction, round(a.l, 6) AS l1, round(z.r, 6) AS r1, round(CASE WHEN a.d THEN a.vl ELSE a.vr END, 6) AS l2, round(CASE WHEN a.d THEN z.vr ELSE z.vl END, 6) AS r2 FROM k),
+c AS (SELECT u, v, direction, CASE WHEN (l1 <= l2 AND r1 <= r2) OR (NOT (l1 >= l2 AND r1 >= r2) AND l1 > l2) THEN u ELSE v END AS "start",
+ CASE WHEN (l1 <= l2 AND r1 <= r2) OR (NOT (l1 >= l2 AND r1 >= r2) AND l1 > l2) THEN v ELSE u END AS "end",
+ round(abs(l1 - l2), 4) AS left_offset, round(abs(r1 - r2), 4) AS right_offset, (l1 <= l2 AND r1 <= r2) OR (l1 >= l2 AND r1 >= r2) AS is_contained FROM o)"""
+
+
+def _classes(spark: SparkSession, d: str, reads: str = "supplier") -> DataFrame:
+    m = _matches(spark, d, reads)
+    return A.overlap_class(A.overhangs(A.interval_pairs(m), A.vertices(m)))
+
+
+@query("overlap_class", f"{_p()}, {_HUNG}, {_CLASS} SELECT * FROM c")
+def overlap_class(spark: SparkSession, d: str) -> DataFrame:
+    return _classes(spark, d)
+
+
+@query("drop_contained", f"{_p()}, {_HUNG}, {_CLASS} SELECT u, v, \"start\", \"end\" FROM c WHERE NOT is_contained")
+def drop_contained(spark: SparkSession, d: str) -> DataFrame:
+    return contract.drop_contained(_classes(spark, d)).select("u", "v", "start", "end")
+
+
+def _side_sql(p: str) -> str:
+    s1, e1, s2, e2 = f"round(x.{p}_s, 6)", f"round(x.{p}_e, 6)", f"round(y.{p}_s, 6)", f"round(y.{p}_e, 6)"
+    n1, m1, n2, m2 = f"x.{p}_n_start", f"x.{p}_n_end", f"y.{p}_n_start", f"y.{p}_n_end"
+    meet = f"{s1} <= {e2} AND {s2} <= {e1}"
+    b, a = f"{s1} < {s2} AND {e1} < {e2}", f"{s1} > {s2} AND {e1} > {e2}"
+    return f"""CASE WHEN {meet} THEN CASE WHEN {b} THEN 2 WHEN {a} THEN -2 ELSE 0 END WHEN {s1} < {s2} THEN 1 ELSE -1 END AS t{p},
+CASE WHEN {meet} THEN CASE WHEN {b} THEN {e1} - {s2} + 1 WHEN {a} THEN {e2} - {s1} + 1 ELSE 0 END WHEN {s1} < {s2} THEN {s2} - {e1} + 1 ELSE {s1} - {e2} + 1 END AS d{p},
+{n1} <= {m2} AND {n2} <= {m1} AS meet{p}, CASE WHEN {n1} < {n2} AND {m1} < {m2} THEN 2 WHEN {n1} > {n2} AND {m1} > {m2} THEN -2 ELSE 0 END AS raw{p}"""
+
+
+_COMPAT = f"""q AS (SELECT x.u, x.v, x.direction, x.illu_id AS illu1, y.illu_id AS illu2, {_side_sql('u')}, {_side_sql('v')}
+FROM p x JOIN p y ON x.u = y.u AND x.v = y.v AND x.direction = y.direction AND (x.u_n_start, x.u_n_end, x.illu_id) < (y.u_n_start, y.u_n_end, y.illu_id)),
+q2 AS (SELECT *, CASE WHEN direction THEN tv ELSE -tv END AS tw,
+ (meetu AND ((tu < 0 AND rawu >= 0) OR (tu > 0 AND rawu <= 0))) OR (meetv AND ((tv < 0 AND rawv >= 0) OR (tv > 0 AND rawv <= 0))) AS bad FROM q),
+k AS (SELECT u, v, direction, illu1, illu2, NOT bad AND tu <> 0 AND tv <> 0 AND CASE WHEN tu = tw THEN abs(du - dv) <= 300 OR abs(du - dv) * 100 <= 15 * greatest(du, dv)
+ WHEN sign(tu) = sign(tw) THEN du + dv <= 300 ELSE false END AS ok FROM q2)"""
+
+
+def _compat(spark: SparkSession, d: str) -> DataFrame:
+    return chaining.compat_pairs(A.with_ranges(_pairs(spark, d, "customer")))
+
+
+@query("compat_pairs", f"{_p('customer')}, {_COMPAT} SELECT * FROM k")
+def compat_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _compat(spark, d)
+
+
+_CHAIN = f"""{_COMPAT},
+g AS (SELECT u, v, direction, illu_id AS last, CAST(floor(score) AS BIGINT) AS score, 1 AS n FROM p
+ UNION ALL SELECT g.u, g.v, g.direction, k.illu2, g.score + CAST(floor(p.score) AS BIGINT), g.n + 1 FROM g JOIN k ON k.ok AND k.u = g.u AND k.v = g.v AND k.direction = g.direction AND k.illu1 = g.last
+ JOIN p ON p.u = g.u AND p.v = g.v AND p.illu_id = k.illu2)"""
+
+
+@query("chain_best", f"{_p('customer')}, {_CHAIN} SELECT u, v, direction, max(score) AS best_score FROM g GROUP BY u, v, direction")
+def chain_best(spark: SparkSession, d: str) -> DataFrame:
+    return chaining.best_chains(A.with_ranges(_pairs(spark, d, "customer"))).select("u", "v", "direction", "best_score")
+
+
+_CHAINS = """s AS (SELECT u, v, direction, CAST(sum(CAST(floor(score) AS BIGINT)) AS BIGINT) AS best_score, count(*) AS chain_length, bool_or(is_primary) AS is_primary FROM p GROUP BY u, v, direction)"""
+
+
+def _whole_chains(spark: SparkSession, d: str) -> DataFrame:
+    """All anchors of an edge and direction as one chain: what the chain filters are tried on."""
+    return _pairs(spark, d, "customer").groupBy("u", "v", "direction").agg(F.sum(F.floor("score").cast("long")).alias("best_score"), F.count("*").alias("chain_length"), F.max("is_primary").alias("is_primary"))
+
+
+@query("any_primary_retain", f"""{_p('customer')}, {_CHAINS}, t AS (SELECT *, bool_or(is_primary) OVER (PARTITION BY u, v) AS ap FROM s),
+t2 AS (SELECT *, bool_or(chain_length > 1) OVER (PARTITION BY u, v) AS al FROM t WHERE is_primary OR NOT ap)
+SELECT u, v, direction, best_score, chain_length, is_primary FROM t2 WHERE chain_length > 1 OR NOT al""")
+def any_primary_retain(spark: SparkSession, d: str) -> DataFrame:
+    return chaining.retain_primary(_whole_chains(spark, d))
+
+
+@query("consensus", f"""{_p('customer')}, {_CHAINS} SELECT u, v, count(*) > 1 OR NOT bool_or(is_primary) AS shadow,
+CASE WHEN count(*) > 1 OR NOT bool_or(is_primary) THEN 0 ELSE max(best_score) END AS weight, CASE WHEN count(DISTINCT direction) = 1 THEN bool_and(direction) END AS consensus FROM s GROUP BY u, v""")
+def consensus(spark: SparkSession, d: str) -> DataFrame:
+    return chaining.consensus(_whole_chains(spark, d))
+
+
+@query("cooccurrence", f"{_m('customer')} SELECT DISTINCT a.nano_id AS u, b.nano_id AS v FROM m a JOIN m b USING (illu_id) WHERE a.nano_id < b.nano_id")
+def cooccurrence(spark: SparkSession, d: str) -> DataFrame:
+    return A.cooccurrence(_matches(spark, d, "customer"))
+
+
+@query("merge_hits")
+def merge_hits(spark: SparkSession, d: str) -> DataFrame:
+    return A.merge_hits(align(spark, d))
+
+
+@query("sane_contraction", f"""{_p()}, {_HUNG}, {_CLASS},
+i AS (SELECT "start" AS s, "end" AS e, direction AS d FROM c WHERE is_contained),
+b AS (SELECT u AS s, v AS t, direction AS d, is_contained AS k, "start" AS st FROM c UNION ALL SELECT v, u, direction, is_contained, "start" FROM c),
+x AS (SELECT DISTINCT i.s, i.e FROM i JOIN b ON b.s = i.s AND b.t <> i.e LEFT JOIN b y ON y.s = i.e AND y.t = b.t
+ WHERE y.d IS NULL OR (i.d = y.d) <> b.d OR (y.k AND y.st <> b.t))
+SELECT s, e FROM i ANTI JOIN x USING (s, e)""")
+def sane_contraction(spark: SparkSession, d: str) -> DataFrame:
+    return contract.sane_contractions(materialize(_classes(spark, d), "classes"))
+
+
+@query("contraction_targets", f"""{_p('order')}, {_HUNG}, {_CLASS},
+i AS (SELECT "start" AS s, min("end") AS up FROM c WHERE is_contained GROUP BY 1),
+l AS (SELECT s, up FROM i WHERE up < s UNION ALL SELECT s, up FROM i WHERE up > s AND NOT EXISTS (SELECT 1 FROM i j WHERE j.up = i.s)),
+w AS (SELECT s, up, 1 AS n FROM l UNION ALL SELECT w.s, l.up, n + 1 FROM w JOIN l ON l.s = w.up)
+SELECT s, arg_max(up, n) AS target FROM w GROUP BY s""")
+def contraction_targets(spark: SparkSession, d: str) -> DataFrame:
+    return contract.targets(_classes(spark, d, "order").where("is_contained").select(F.col("start").alias("s"), F.col("end").alias("e")))
+
+
+@query("contraction_roots", ORACLES["contraction_targets"].replace("SELECT s, arg_max(up, n) AS target FROM w GROUP BY s", ", z AS (SELECT s, arg_max(up, n) AS target FROM w GROUP BY s) SELECT DISTINCT target AS id FROM z WHERE target NOT IN (SELECT s FROM z)"))
+def contraction_roots(spark: SparkSession, d: str) -> DataFrame:
+    return contract.roots(contraction_targets(spark, d))
+
+
+# --- intervals
+
+
+_PROFILE = """ev AS (SELECT illu_id, i_start AS pos, 1 AS d FROM x UNION ALL SELECT illu_id, i_end_x, -1 FROM x),
+es AS (SELECT illu_id, pos, sum(d) AS d FROM ev GROUP BY illu_id, pos HAVING sum(d) <> 0),
+pr AS (SELECT illu_id, pos AS seg_start, lead(pos) OVER w - 1 AS seg_end, CAST(sum(d) OVER w AS BIGINT) AS depth FROM es WINDOW w AS (PARTITION BY illu_id ORDER BY pos)),
+prof AS (SELECT * FROM pr WHERE depth > 0)"""
+
+
+def _profile(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.coverage(align(spark, d).withColumn("last", F.col("i_end_x") - 1), "illu_id", "i_start", "last")
+
+
+@query("coverage_profile", f"WITH {align_sql()}, x AS (SELECT * FROM align), {_PROFILE} SELECT * FROM prof")
+def coverage_profile(spark: SparkSession, d: str) -> DataFrame:
+    return _profile(spark, d)
+
+
+def _deepest(spark: SparkSession, d: str) -> DataFrame:
+    rows = A.first_match(align(spark, d)).withColumn("last", F.col("i_end_x") - 1)
+    return intervals.max_coverage(rows, intervals.coverage(rows, "illu_id", "i_start", "last"), "illu_id", "nano_id")
+
+
+_FIRST = f"x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nano_id, illu_id ORDER BY {_L}) AS rn FROM align) WHERE rn = 1)"
+_MAXCOV = f"{_FIRST}, {_PROFILE}, mc AS (SELECT illu_id, max(depth) AS max_cov FROM prof GROUP BY illu_id)"
+
+
+@query("max_coverage", f"WITH {align_sql()}, {_MAXCOV} SELECT illu_id, count(DISTINCT nano_id) AS n_reads, max_cov FROM x JOIN mc USING (illu_id) GROUP BY illu_id, max_cov")
+def max_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return _deepest(spark, d)
+
+
+_CUT = "cut AS (SELECT quantile_cont(max_cov, 0.25) AS q1, quantile_cont(max_cov, 0.75) AS q3 FROM mc), lim AS (SELECT q3, q3 + 1.5 * (q3 - q1) AS cutoff FROM cut)"
+
+
+@query("coverage_outliers", f"WITH {align_sql()}, {_MAXCOV}, {_CUT} SELECT illu_id, max_cov, cutoff, q3 FROM mc, lim WHERE max_cov > cutoff")
+def coverage_outliers(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.coverage_outliers(_deepest(spark, d), "illu_id")
+
+
+@query("coverage_summary", f"WITH {align_sql()}, {_MAXCOV}, {_CUT} SELECT count(*) AS anchors, CAST(sum(CAST(max_cov > cutoff AS INT)) AS BIGINT) AS outliers, max(cutoff) AS cutoff FROM mc, lim")
+def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
+    deepest = materialize(_deepest(spark, d), "depths")
+    return deepest.join(F.broadcast(intervals.quartile_cutoff(deepest))).agg(F.count("*").alias("anchors"), F.sum((F.col("max_cov") > F.col("cutoff")).cast("long")).alias("outliers"), F.max("cutoff").alias("cutoff"))
+
+
+@query("cut_peaks", f"""WITH {align_sql()}, {_MAXCOV}, {_CUT}, al AS (SELECT illu_id, q3 FROM mc, lim WHERE max_cov > cutoff),
+ev2 AS (SELECT illu_id, i_start AS pos, 1 AS d FROM align UNION ALL SELECT illu_id, i_end_x, -1 FROM align),
+es2 AS (SELECT illu_id, pos, sum(d) AS d FROM ev2 GROUP BY illu_id, pos HAVING sum(d) <> 0),
+pr2 AS (SELECT illu_id, pos AS a, lead(pos) OVER w - 1 AS z, sum(d) OVER w AS depth FROM es2 WINDOW w AS (PARTITION BY illu_id ORDER BY pos)),
+lo AS (SELECT pr2.*, CASE WHEN lag(z) OVER (PARTITION BY illu_id ORDER BY a) + 1 = a THEN 0 ELSE 1 END AS nw FROM pr2 JOIN al USING (illu_id) WHERE depth > 0 AND depth <= q3),
+isl AS (SELECT *, sum(nw) OVER (PARTITION BY illu_id ORDER BY a) AS g FROM lo),
+rn AS (SELECT illu_id, min(a) AS "start", max(z) AS "end" FROM isl GROUP BY illu_id, g HAVING max(z) - min(a) + 1 >= 100)
+SELECT illu_id, CAST(row_number() OVER (PARTITION BY illu_id ORDER BY "start") - 1 AS INT) AS piece, "start", "end" FROM rn""")
+def cut_peaks(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.cut_peaks(_profile(spark, d), coverage_outliers(spark, d), "illu_id", 100)
+
+
+_UNION = """un AS (SELECT nano_id, n_start AS s, max(n_end) AS e FROM align GROUP BY 1, 2),
+u1 AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY nano_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM un),
+u2 AS (SELECT *, sum(nw) OVER (PARTITION BY nano_id ORDER BY s) AS g FROM u1),
+mg AS (SELECT nano_id, min(s) AS "start", max(e) AS "end" FROM u2 GROUP BY nano_id, g)"""
+
+
+def _union(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.interval_union(align(spark, d, "order"), "nano_id", "n_start", "n_end")
+
+
+@query("interval_union", f"WITH {align_sql('order')}, {_UNION} SELECT * FROM mg")
+def interval_union(spark: SparkSession, d: str) -> DataFrame:
+    return _union(spark, d)
+
+
+@query("clip_ends", f"""WITH {align_sql('order')}, {_UNION}, le AS (SELECT nano_id, max(n_end) + 51 AS length FROM align GROUP BY 1),
+cl AS (SELECT nano_id, greatest("start", 200) AS "start", least("end", length - 200) AS "end" FROM mg JOIN le USING (nano_id))
+SELECT nano_id, "start", "end", CAST(row_number() OVER (PARTITION BY nano_id ORDER BY "start", "end") - 1 AS INT) AS piece FROM cl WHERE "start" <= "end" """)
+def clip_ends(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.clip_ends(_union(spark, d), A.vertices(align(spark, d, "order")), "nano_id")
+
+
+# --- sequences and k-mers
+
+
+_REV = "reverse(translate({0}, 'ACGT', 'TGCA'))"
+_KM = "km AS (SELECT id, least(k, reverse(translate(k, 'ACGT', 'TGCA'))) AS kmer FROM (SELECT id, substr(seq, i, {k}) AS k FROM (SELECT id, seq, unnest(range(1, length(seq) - {k} + 2)) AS i FROM seqs WHERE length(seq) >= {k}))), kc AS (SELECT kmer, count(*) AS n FROM km GROUP BY kmer)"
+_HIST = "hi AS (SELECT n AS abundance, count(*) AS frequency FROM kc GROUP BY n), mo AS (SELECT * FROM hi WHERE abundance > 1), tt AS (SELECT CAST(sum(frequency) AS BIGINT) AS total FROM mo), cu AS (SELECT abundance, sum(frequency) OVER (ORDER BY abundance) AS cum FROM mo), q1 AS (SELECT min(abundance) AS q1 FROM cu, tt WHERE cum >= round_even(0.25 * (total + 1), 0)), q3 AS (SELECT coalesce(min(abundance), 0) AS q3 FROM cu, tt, q1 WHERE abundance > q1 AND cum >= round_even(0.75 * (total + 1), 0)), th AS (SELECT total, q1, q3, q3 + 2 * (q3 - q1) AS threshold FROM tt, q1, q3)"
+_K = f"WITH {SEQ_SQL}, {_KM.format(k=11)}"
+
+
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.kmer_counts(sequences(spark, d), 11)
+
+
+@query("kmer_count", f"{_K} SELECT * FROM kc")
+def kmer_count(spark: SparkSession, d: str) -> DataFrame:
+    return _counts(spark, d)
+
+
+@query("kmer_histogram", f"{_K} SELECT n AS abundance, count(*) AS frequency FROM kc GROUP BY n")
+def kmer_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.histogram(_counts(spark, d))
+
+
+@query("kmer_threshold", f"{_K}, {_HIST} SELECT * FROM th")
+def kmer_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.quartile_threshold(materialize(kmers.histogram(_counts(spark, d)), "histogram"))
+
+
+def _reject(spark: SparkSession, d: str) -> DataFrame:
+    counts = materialize(_counts(spark, d), "kmers")
+    return kmers.frequent(counts, kmers.quartile_threshold(materialize(kmers.histogram(counts), "histogram")))
+
+
+@query("kmer_reject", f"{_K}, {_HIST} SELECT kmer, n FROM kc, th WHERE n >= threshold")
+def kmer_reject(spark: SparkSession, d: str) -> DataFrame:
+    return _reject(spark, d)
+
+
+@query("kmer_clean_pairs", f"{_K}, {_HIST}, bad AS (SELECT DISTINCT id // 2 AS p FROM km JOIN kc USING (kmer), th WHERE n >= threshold) SELECT id, CAST(length(seq) AS INT) AS n FROM seqs WHERE id // 2 NOT IN (SELECT p FROM bad)")
+def kmer_clean_pairs(spark: SparkSession, d: str) -> DataFrame:
+    seqs = sequences(spark, d).withColumn("pair", F.floor(F.col("id") / 2))
+    return kmers.without_kmers(seqs, _reject(spark, d), 11, "pair").select("id", F.length("seq").alias("n"))
+
+
+@query("revcomp", f"WITH {SEQ_SQL} SELECT id, {_REV.format('seq')} AS rc FROM seqs")
+def revcomp(spark: SparkSession, d: str) -> DataFrame:
+    return sequences(spark, d).select("id", S.revcomp(F.col("seq")).alias("rc"))
+
+
+@query("slice_inclusive", f"WITH {SEQ_SQL} SELECT id, substr(seq, 6, greatest(least(length(seq), 40), 5) - 5 + 1) AS piece, {_REV.format('substr(seq, 6, greatest(least(length(seq), 41), 5) - 5 + 1)')} AS turned FROM seqs")
+def slice_inclusive(spark: SparkSession, d: str) -> DataFrame:
+    s, i, j = F.col("seq"), F.lit(5), F.lit(40)
+    return sequences(spark, d).select("id", S.slice_inclusive(s, i, j).alias("piece"), S.directional_slice(s, i, j, F.lit(False)).alias("turned"))
+
+
+@query("fasta_wrap", f"WITH {SEQ_SQL} SELECT '>' || id || chr(10) || coalesce(array_to_string(list_transform(range(0, CAST(ceil(length(seq) / 60.0) AS BIGINT)), lambda i: substr(seq, CAST(i * 60 + 1 AS BIGINT), 60)), chr(10)), '') AS value FROM seqs")
+def fasta_wrap(spark: SparkSession, d: str) -> DataFrame:
+    return records.fasta_lines(sequences(spark, d))
+
+
+@query("long_sequences", f"WITH {SEQ_SQL} SELECT id, CAST(length(seq) AS INT) AS n FROM seqs WHERE length(seq) >= 500")
+def long_sequences(spark: SparkSession, d: str) -> DataFrame:
+    return sequences(spark, d).select("id", F.length("seq").alias("n")).where("n >= 500")
+
+
+@query("minimizer_overlaps")
+def minimizer_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.shared_minimizers(materialize(kmers.minimizers(sequences(spark, d)), "minimizers"))
+
+
+_UK = "uk AS (SELECT DISTINCT substr(seq, i, 14) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - 12)) AS i FROM seqs WHERE length(seq) >= 14))"
+
+
+@query("unitig_links", f"WITH {SEQ_SQL}, {_UK}, a AS (SELECT substr(kmer, 2) AS mid, min(kmer) AS a FROM uk GROUP BY 1 HAVING count(*) = 1), b AS (SELECT substr(kmer, 1, 13) AS mid, min(kmer) AS b FROM uk GROUP BY 1 HAVING count(*) = 1) SELECT a, b FROM a JOIN b USING (mid)")
+def unitig_links(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.unitig_links(sequences(spark, d), 14)
+
+
+# --- graphs
+
+
+def _thin(spark: SparkSession, d: str, reads: str = "customer", least: int = 5) -> DataFrame:
+    """Edges of reads that share at least ``least`` anchors: u, v, weight (positions in common), direction (of most)."""
+    e = _pairs(spark, d, reads).groupBy("u", "v").agg(F.count("*").alias("n"), F.sum((F.col("ov_end") - F.col("ov_start") + 1).cast("long")).alias("weight"), F.sum(F.col("direction").cast("int")).alias("same"))
+    return materialize(e.where(F.col("n") >= least).select("u", "v", "weight", (2 * F.col("same") >= F.col("n")).alias("direction")), "graph")
+
+
+def _g(reads: str = "customer", least: int = 5) -> str:
+    return f"{_p(reads)}, {_EDGES}, g AS (SELECT u, v, common AS weight, direction FROM e WHERE anchors >= {least})"
+
+
+_BOTH = "bw AS (SELECT u, v FROM g UNION ALL SELECT v, u FROM g)"
+
+
+@query("neighbours", f"{_g()}, {_BOTH} SELECT DISTINCT u AS id, v AS neighbour FROM bw")
+def neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return graph.neighbours(_thin(spark, d))
+
+
+@query("degrees", f"{_g()} SELECT id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT u AS id, 0 AS i, 1 AS o FROM g UNION ALL SELECT v, 1, 0 FROM g) GROUP BY id")
+def degrees(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degrees(_thin(spark, d))
+
+
+@query("boundary_edges", f"{_g()} SELECT u, v FROM g WHERE (u % 3 = 0) <> (v % 3 = 0)")
+def boundary_edges(spark: SparkSession, d: str) -> DataFrame:
+    g = _thin(spark, d)
+    return graph.boundary(g, graph.neighbours(g).select("id").where("id % 3 = 0"))
+
+
+@query("induced_subgraph", f"{_g()} SELECT u, v, weight FROM g WHERE u % 2 = 0 AND v % 2 = 0")
+def induced_subgraph(spark: SparkSession, d: str) -> DataFrame:
+    g = _thin(spark, d)
+    return graph.induced(g, graph.neighbours(g).select("id").where("id % 2 = 0")).select("u", "v", "weight")
+
+
+@query("anti_delete", f"{_g()} SELECT u, v, weight FROM g WHERE u % 5 <> 0 AND v % 5 <> 0")
+def anti_delete(spark: SparkSession, d: str) -> DataFrame:
+    g = _thin(spark, d)
+    return graph.without(g, graph.neighbours(g).select("id").where("id % 5 = 0")).select("u", "v", "weight")
+
+
+_COMP = "cc AS (SELECT u AS id, u AS c FROM bw UNION SELECT bw.v, cc.c FROM cc JOIN bw ON bw.u = cc.id), co AS (SELECT id, min(c) AS component FROM cc GROUP BY id)"
+
+
+@query("components", f"{_g('order', 2)}, {_BOTH}, {_COMP} SELECT * FROM co")
+def components(spark: SparkSession, d: str) -> DataFrame:
+    return graph.connected_components(_thin(spark, d, "order", 2))
+
+
+@query("shortest_hops", f"{_g()}, {_BOTH}, {_COMP}, ro AS (SELECT DISTINCT component AS id FROM co), sh AS (SELECT id, CAST(0 AS BIGINT) AS hops FROM ro UNION SELECT bw.v, hops + 1 FROM sh JOIN bw ON bw.u = sh.id WHERE hops < 40), s1 AS (SELECT id, min(hops) AS hops FROM sh GROUP BY id) SELECT s1.id, s1.hops, (SELECT min(bw.u) FROM bw JOIN s1 t ON t.id = bw.u WHERE bw.v = s1.id AND t.hops = s1.hops - 1) AS via FROM s1")
+def shortest_hops(spark: SparkSession, d: str) -> DataFrame:
+    g = _thin(spark, d)
+    return graph.hops(g, graph.connected_components(g).select(F.col("component").alias("id")).distinct())
+
+
+@query("topo_levels", f"{_g()}, tl AS (SELECT DISTINCT u AS id, CAST(0 AS BIGINT) AS level FROM g UNION SELECT g.v, level + 1 FROM tl JOIN g ON g.u = tl.id) SELECT id, max(level) AS level FROM tl GROUP BY id")
+def topo_levels(spark: SparkSession, d: str) -> DataFrame:
+    return graph.topological_levels(_thin(spark, d))
+
+
+_MSF = "hv AS (SELECT u, v, weight, row_number() OVER (ORDER BY weight DESC, u, v) AS r FROM g), hb AS (SELECT u, v, r FROM hv UNION ALL SELECT v, u, r FROM hv), re AS (SELECT r, u AS id FROM hv UNION SELECT re.r, hb.v FROM re JOIN hb ON hb.u = re.id AND hb.r < re.r), fo AS (SELECT hv.u, hv.v, hv.weight FROM hv WHERE NOT EXISTS (SELECT 1 FROM re WHERE re.r = hv.r AND re.id = hv.v))"
+
+
+@query("max_spanning_forest", f"{_g()}, {_MSF} SELECT * FROM fo")
+def max_spanning_forest(spark: SparkSession, d: str) -> DataFrame:
+    return graph.max_spanning_forest(_thin(spark, d))
+
+
+_SIGN = f"{_BOTH}, {_COMP}, {_MSF}, fd AS (SELECT fo.u, fo.v, g.direction AS d FROM fo JOIN g USING (u, v) UNION ALL SELECT fo.v, fo.u, g.direction FROM fo JOIN g USING (u, v)), po AS (SELECT DISTINCT component AS id, true AS s FROM co UNION SELECT fd.v, po.s = fd.d FROM po JOIN fd ON fd.u = po.id)"
+
+
+@query("parity_conflicts", f"{_g()}, {_SIGN} SELECT g.u, g.v, g.direction FROM g JOIN po a ON a.id = g.u JOIN po b ON b.id = g.v WHERE (a.s = b.s) <> g.direction")
+def parity_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    g = _thin(spark, d)
+    return graph.parity_conflicts(g, materialize(graph.max_spanning_forest(g), "forest"))
+
+
+def _directed(spark: SparkSession, d: str) -> DataFrame:
+    g = _thin(spark, d)
+    e = g.withColumn("start", F.col("u")).withColumn("end", F.col("v"))
+    return materialize(graph.oriented(e, materialize(graph.max_spanning_forest(g), "forest")), "directed")
+
+
+@query("orient", f"{_g()}, {_SIGN} SELECT DISTINCT CASE WHEN s THEN u ELSE v END AS src, CASE WHEN s THEN v ELSE u END AS dst, weight FROM g JOIN po ON po.id = g.u")
+def orient(spark: SparkSession, d: str) -> DataFrame:
+    return _directed(spark, d)
+
+
+def _ends(spark: SparkSession, d: str) -> DataFrame:
+    return _directed(spark, d).select(F.col("src").alias("u"), F.col("dst").alias("v"), "weight")
+
+
+@query("feedback_edges")
+def feedback_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.feedback_edges(_ends(spark, d))
+
+
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    e = _ends(spark, d)
+    return graph.best_paths(materialize(e.join(graph.feedback_edges(e).select("u", "v"), ["u", "v"], "left_anti"), "acyclic"))
+
+
+@query("paths")
+def paths(spark: SparkSession, d: str) -> DataFrame:
+    return _paths(spark, d)
+
+
+@query("assembly_records")
+def assembly_records(spark: SparkSession, d: str) -> DataFrame:
+    m = materialize(_matches(spark, d, "customer"), "matches")
+    placed = assemble.layout(_paths(spark, d), A.with_ranges(A.interval_pairs(m)), A.vertices(m))
+    return records.paf_lines(assemble.records(placed))

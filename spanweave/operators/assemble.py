@@ -1,0 +1,27 @@
+"""Layout of paths on one axis, from the shared anchors of neighbouring reads, and the records that describe it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def layout(paths: DataFrame, pairs: DataFrame, reads: DataFrame) -> DataFrame:
+    """``path, pos, id, lb, rb``: each read of a path on the path's axis. A read's offset to the one before it is the
+    rounded mean difference of their corrected ranges; the axis begins at the leftmost read."""
+    w = Window.partitionBy("path").orderBy("pos")
+    step = paths.withColumn("prev", F.lag("id").over(w))
+    gap = pairs.groupBy("u", "v").agg(F.round(F.avg(F.round(F.col("u_s") - F.col("v_s"), 3)), 3).alias("g"))
+    both = gap.select(F.col("u").alias("prev"), F.col("v").alias("id"), "g").union(gap.select("v", "u", -F.col("g")))
+    placed = step.join(both, ["prev", "id"], "left").withColumn("off", F.sum(F.coalesce(F.floor("g"), F.lit(0)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = placed.join(reads.select(F.col("nano_id").alias("id"), "length"), "id")
+    low = F.min("off").over(Window.partitionBy("path"))
+    return placed.select("path", "pos", "id", (F.col("off") - low).alias("lb"), (F.col("off") - low + F.col("length") - 1).alias("rb"))
+
+
+def records(placed: DataFrame, prefix: str = "asm_") -> DataFrame:
+    """Rows for paf_lines: each read as a middle piece on its path's target, numbered over all paths."""
+    end = placed.groupBy("path").agg((F.max("rb") + 1).alias("target_length"))
+    rows = placed.join(end, "path")
+    name = F.concat(F.lit("Middle."), F.col("id").cast("string"))
+    return rows.select(name.alias("name"), (F.col("rb") - F.col("lb") + 1).alias("length"), F.concat(F.lit(prefix), F.col("path").cast("string")).alias("target"), "target_length", "lb", "rb")

@@ -39,3 +39,158 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, u:
     found = found.groupBy("id").agg(F.min("component").alias("component"))
     rest = alone if vertices is None else alone.union(vertices.select(F.col(vertex).alias("id")).where("id IS NOT NULL")).distinct()
     return found.union(rest.join(found, "id", "left_anti").select("id", F.col("id").alias("component")))
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Each undirected edge (u, v, ...) once from either end."""
+    rest = [c for c in edges.columns if c not in ("u", "v")]
+    return edges.select("u", "v", *rest).union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), *rest))
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """``id, neighbour`` of an undirected graph, each once; loops don't count."""
+    return both_ways(edges.select("u", "v")).where("u <> v").distinct().select(F.col("u").alias("id"), F.col("v").alias("neighbour"))
+
+
+def degrees(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """``id, in_degree, out_degree`` of a directed graph, 0 where there is none; repeated edges count once."""
+    e = edges.select("u", "v").distinct()
+    ends = e.select(F.col("u").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(e.select("v", F.lit(1), F.lit(0)))
+    if ids is not None:
+        ends = ends.union(ids.select("id", F.lit(0), F.lit(0)))
+    return ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+
+
+def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with both ends in ``ids`` (id)."""
+    keep = ids.select("id").distinct()
+    return edges.join(keep.withColumnRenamed("id", "u"), "u", "left_semi").join(keep.withColumnRenamed("id", "v"), "v", "left_semi")
+
+
+def boundary(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with exactly one end in ``ids``."""
+    flag = ids.select("id").distinct().withColumn("inside", F.lit(True))
+    e = edges.join(flag.select(F.col("id").alias("u"), F.col("inside").alias("a")), "u", "left").join(flag.select(F.col("id").alias("v"), F.col("inside").alias("b")), "v", "left")
+    return e.where(F.coalesce("a", F.lit(False)) != F.coalesce("b", F.lit(False))).select("u", "v")
+
+
+def without(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges that touch none of ``ids``: what is left when vertices are deleted."""
+    gone = ids.select("id").distinct()
+    return edges.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").join(gone.withColumnRenamed("id", "v"), "v", "left_anti")
+
+
+def hops(edges: DataFrame, sources: DataFrame, directed: bool = False) -> DataFrame:
+    """``id, hops, via`` from the nearest of ``sources``, by frontier; ``via`` is the smallest neighbour one hop nearer.
+    Unreachable vertices are left out."""
+    e = (edges if directed else both_ways(edges)).select("u", "v").distinct()
+    done = materialize(sources.select("id", F.lit(0).cast("long").alias("hops"), F.lit(None).cast(sources.schema["id"].dataType).alias("via")).distinct(), "hops")
+    front, level = done, 0
+    while True:
+        level += 1
+        step = front.select(F.col("id").alias("u")).join(e, "u").groupBy(F.col("v").alias("id")).agg(F.min("u").alias("via"))
+        front = materialize(step.join(done.select("id"), "id", "left_anti").select("id", F.lit(level).cast("long").alias("hops"), "via"), "hops")
+        if not front.take(1):
+            return done
+        done = done.union(front)
+
+
+def topological_levels(edges: DataFrame) -> DataFrame:
+    """``id, level``: rounds of taking vertices without a predecessor left; (level, id) is a topological order.
+    Vertices on or behind a cycle are left out."""
+    left = materialize(edges.select("u", "v").where("u <> v").distinct(), "topo")
+    ids = materialize(left.select(F.col("u").alias("id")).union(left.select("v")).distinct(), "topo")
+    done, level = None, 0
+    while True:
+        free = materialize(ids.join(left.select(F.col("v").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(level).cast("long").alias("level")), "topo")
+        if not free.take(1):
+            return free if done is None else done
+        done = free if done is None else done.union(free)
+        ids = materialize(ids.join(free.select("id"), "id", "left_anti"), "topo")
+        left = materialize(left.join(free.select(F.col("id").alias("u")), "u", "left_anti"), "topo")
+        level += 1
+
+
+def max_spanning_forest(edges: DataFrame) -> DataFrame:
+    """``u, v, weight`` of the maximum spanning forest, ties to the smaller (u, v). Each round every component takes its
+    best edge out; components then merge, so rounds grow with the logarithm of the vertices."""
+    e = materialize(edges.where("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("weight").alias("weight")).select("u", "v", "weight", F.col("u").alias("cu"), F.col("v").alias("cv")), "forest")
+    chosen = None
+    while e.take(1):
+        out = e.select(F.col("cu").alias("c"), "u", "v", "weight").union(e.select("cv", "u", "v", "weight"))
+        best = out.groupBy("c").agg(F.max_by(F.struct("u", "v", "weight"), F.struct("weight", (-F.col("u")).alias("a"), (-F.col("v")).alias("b"))).alias("e"))
+        picked = materialize(best.select("e.u", "e.v", "e.weight").distinct(), "forest")
+        chosen = picked if chosen is None else chosen.union(picked)
+        joined = connected_components(e.join(picked.select("u", "v"), ["u", "v"], "left_semi").select("cu", "cv"), u="cu", v="cv")
+        new = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias(f"{c}2"))
+        e = e.join(new("cu"), "cu", "left").join(new("cv"), "cv", "left").select("u", "v", "weight", F.coalesce("cu2", "cu").alias("cu"), F.coalesce("cv2", "cv").alias("cv"))
+        e = materialize(e.where("cu <> cv"), "forest")
+    return edges.select("u", "v", "weight").limit(0) if chosen is None else chosen.distinct()
+
+
+def potentials(forest: DataFrame, roots: DataFrame) -> DataFrame:
+    """``id, root, sign``: along the forest from each root (id), the product of the edges' signs (booleans)."""
+    e = both_ways(forest.select("u", "v", "direction"))
+    done = materialize(roots.select("id", F.col("id").alias("root"), F.lit(True).alias("sign")), "signs")
+    front = done
+    while True:
+        step = front.select(F.col("id").alias("u"), "root", "sign").join(e, "u").select(F.col("v").alias("id"), "root", (F.col("sign") == F.col("direction")).alias("sign"))
+        front = materialize(step.join(done.select("id"), "id", "left_anti"), "signs")
+        if not front.take(1):
+            return done
+        done = done.union(front)
+
+
+def parity_conflicts(edges: DataFrame, forest: DataFrame) -> DataFrame:
+    """Edges (u, v, direction) whose sign disagrees with the path of the forest between their ends."""
+    tree = forest.select("u", "v").join(edges.select("u", "v", "direction"), ["u", "v"])
+    roots = connected_components(forest).select(F.col("component").alias("id")).distinct()
+    sign = potentials(tree, roots).select("id", "sign")
+    e = edges.join(sign.select(F.col("id").alias("u"), F.col("sign").alias("a")), "u").join(sign.select(F.col("id").alias("v"), F.col("sign").alias("b")), "v")
+    return e.where((F.col("a") == F.col("b")) != F.col("direction")).select("u", "v", "direction")
+
+
+def oriented(edges: DataFrame, forest: DataFrame) -> DataFrame:
+    """Directed edges ``src, dst``: each read gets the sign of its forest path from the smallest read of its component;
+    an edge runs from start to end, turned round where its start is reversed."""
+    tree = forest.select("u", "v").join(edges.select("u", "v", "direction"), ["u", "v"])
+    roots = connected_components(forest).select(F.col("component").alias("id")).distinct()
+    sign = potentials(tree, roots).select(F.col("id").alias("start"), "sign")
+    e = edges.join(sign, "start")
+    return e.select(F.when(F.col("sign"), F.col("start")).otherwise(F.col("end")).alias("src"), F.when(F.col("sign"), F.col("end")).otherwise(F.col("start")).alias("dst"), "weight").distinct()
+
+
+def feedback_edges(edges: DataFrame) -> DataFrame:
+    """Edges (u, v, weight) whose removal leaves no cycle: vertices without predecessors or without successors peel
+    off; when a component is stuck, its lightest edge goes (ties to the smaller u, v). All components step together."""
+    left = materialize(edges.where("u <> v").groupBy("u", "v").agg(F.min("weight").alias("weight")), "feedback")
+    gone = materialize(edges.where("u = v").select("u", "v", "weight"), "feedback")
+    while True:
+        kept = materialize(left.join(left.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(left.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v", "weight"), "feedback")
+        now, before = kept.count(), left.count()
+        left = kept
+        if not now:
+            return gone
+        if now < before:
+            continue
+        parts = connected_components(left).select(F.col("id").alias("u"), "component")
+        worst = left.join(parts, "u").groupBy("component").agg(F.min(F.struct("weight", "u", "v")).alias("e")).select("e.u", "e.v", "e.weight")
+        worst = materialize(worst, "feedback")
+        gone = gone.union(worst)
+        left = materialize(left.join(worst.select("u", "v"), ["u", "v"], "left_anti"), "feedback")
+
+
+def best_paths(edges: DataFrame) -> DataFrame:
+    """``path, pos, id``: paths of an acyclic graph along edges that are the heaviest out of u and into v at once (ties
+    to the smaller id), by pointer doubling. ``path`` is the first vertex. Isolated vertices are not in ``edges``."""
+    out = edges.groupBy("u").agg(F.max_by("v", F.struct("weight", (-F.col("v")).alias("t"))).alias("v"))
+    into = edges.groupBy("v").agg(F.max_by("u", F.struct("weight", (-F.col("u")).alias("t"))).alias("u"))
+    back = materialize(out.join(into, ["u", "v"]).select(F.col("v").alias("id"), F.col("u").alias("up"), F.lit(1).cast("long").alias("pos")), "paths")
+    ids = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct()
+    while True:
+        far = back.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("pos").alias("pos2"))
+        back = materialize(back.join(far, "up", "left").select("id", F.coalesce("up2", "up").alias("up"), (F.col("pos") + F.coalesce("pos2", F.lit(0))).alias("pos"), F.col("up2").isNotNull().alias("moved")), "paths")
+        if not back.where("moved").take(1):
+            break
+        back = back.drop("moved")
+    return ids.join(back, "id", "left").select(F.coalesce("up", "id").alias("path"), F.coalesce("pos", F.lit(0)).alias("pos"), "id")
