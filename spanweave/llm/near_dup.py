@@ -90,7 +90,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # the texts of representatives that are in a pair
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    needed = base.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    # the same plan at every size: texts are dealt by id, never the ids broadcast
+    needed = base.join(wanted.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
     needed = materialize(needed, "pair-texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +101,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 keep = pa.array(np.flatnonzero(like >= threshold))
                 yield pa.RecordBatch.from_arrays([part.column("a").take(keep), part.column("b").take(keep)], ["a", "b"])
 
-    text = lambda k, t: needed.select(F.col("id").alias(k), F.col("text").alias(t))
+    text = lambda k, t: needed.select(F.col("id").alias(k), F.col("text").alias(t)).hint("merge")
     links = materialize(pairs.join(text("a", "ta"), "a").join(text("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "near-links")
     classes = materialize(connected_components(links, u="a", v="b"), "classes")
 
@@ -121,7 +122,7 @@ def _across(large: DataFrame, texts: DataFrame, base: DataFrame, width: int, thr
     """Links (a, b) between each member outside its bucket's main class and all members of other classes: one for each
     pair of a text and a class, which is all that classes need."""
     ids = large.select(F.col("rep").alias("id")).distinct()
-    full = materialize(base.join(ids, "id", "left_semi").dropDuplicates(["id"]).join(texts.select(F.col("rep").alias("id"), "brief"), "id").withColumnRenamed("id", "rep"), "large-texts")
+    full = materialize(base.join(ids.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]).join(texts.select(F.col("rep").alias("id"), "brief"), "id").withColumnRenamed("id", "rep"), "large-texts")
     rows = large.join(full, "rep").withColumn("parts", F.ceil(F.col("size") / _PART).cast("long"))
     every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     there = rows.withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
