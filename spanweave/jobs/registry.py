@@ -429,10 +429,11 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return graph.connected_components(_thin(spark, d, "order", 2))
 
 
-@query("shortest_hops", f"{_g()}, {_BOTH}, {_COMP}, ro AS (SELECT DISTINCT component AS id FROM co), sh AS (SELECT id, CAST(0 AS BIGINT) AS hops FROM ro UNION SELECT bw.v, hops + 1 FROM sh JOIN bw ON bw.u = sh.id WHERE hops < 40), s1 AS (SELECT id, min(hops) AS hops FROM sh GROUP BY id) SELECT s1.id, s1.hops, (SELECT min(bw.u) FROM bw JOIN s1 t ON t.id = bw.u WHERE bw.v = s1.id AND t.hops = s1.hops - 1) AS via FROM s1")
+@query("shortest_hops", f"{_g()}, {_BOTH}, {_COMP}, ro AS (SELECT DISTINCT component AS id FROM co), sh AS (SELECT id, CAST(0 AS BIGINT) AS hops FROM ro UNION SELECT bw.v, hops + 1 FROM sh JOIN bw ON bw.u = sh.id WHERE hops < 40), s1 AS (SELECT id, min(hops) AS hops FROM sh GROUP BY id) SELECT s1.id, s1.hops, coalesce((SELECT min(bw.u) FROM bw JOIN s1 t ON t.id = bw.u WHERE bw.v = s1.id AND t.hops = s1.hops - 1), -1) AS via FROM s1")
 def shortest_hops(spark: SparkSession, d: str) -> DataFrame:
     g = _thin(spark, d)
-    return graph.hops(g, graph.connected_components(g).select(F.col("component").alias("id")).distinct())
+    found = graph.hops(g, graph.connected_components(g).select(F.col("component").alias("id")).distinct())
+    return found.withColumn("via", F.coalesce("via", F.lit(-1).cast("long")))
 
 
 @query("topo_levels", f"{_g()}, tl AS (SELECT DISTINCT u AS id, CAST(0 AS BIGINT) AS level FROM g UNION SELECT g.v, level + 1 FROM tl JOIN g ON g.u = tl.id) SELECT id, max(level) AS level FROM tl GROUP BY id")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,35 +51,33 @@ def best_chains(pairs: DataFrame) -> DataFrame:
     ok = compat_pairs(pairs).where("ok").select("u", "v", "direction", F.col("illu1").alias("a"), F.col("illu2").alias("b"))
     nodes = pairs.select("u", "v", "direction", "illu_id", "u_n_start", "u_n_end", F.floor("score").cast("long").alias("score"), "is_primary")
     keys = ["u", "v", "direction"]
-
-    def chain(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(["u_n_start", "u_n_end", "illu_id"])
-        at = {x: i for i, x in enumerate(left.illu_id)}
-        own, prime = left.score.tolist(), left.is_primary.tolist()
-        before: list[list[int]] = [[] for _ in own]
-        for a, b in zip(right.a, right.b, strict=True):
-            before[at[b]].append(at[a])
-        best, parent = own[:], [-1] * len(own)
-        for i, options in enumerate(before):
-            for j in sorted(options):
-                if best[j] + own[i] > best[i]:
-                    best[i], parent[i] = best[j] + own[i], j
-        end = max(range(len(own)), key=lambda i: (best[i], -i))
-        path, i = [], end
-        while i >= 0:
-            path.append(i)
-            i = parent[i]
-        return pd.DataFrame({"u": [key[0]], "v": [key[1]], "direction": [key[2]], "anchors": [len(own)], "best_score": [best[end]], "chain_length": [len(path)], "is_primary": [len(path) > 2 or any(prime[i] for i in path)]})
+    # edges of one anchor are their own chain; of the others all anchors and compatible pairs come in one row
+    own = nodes.groupBy(*keys).agg(F.collect_list(F.struct("u_n_start", "u_n_end", "illu_id", "score", "is_primary")).alias("nodes"))
+    alone = own.where(F.size("nodes") == 1).select(*keys, F.lit(1).cast("long").alias("anchors"), F.col("nodes")[0]["score"].alias("best_score"), F.lit(1).cast("long").alias("chain_length"), F.col("nodes")[0]["is_primary"].alias("is_primary"))
+    linked = ok.groupBy(*keys).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    more = own.where(F.size("nodes") > 1).withColumn("nodes", F.sort_array("nodes")).join(linked, keys, "left")
+    more = more.select(*keys, F.transform("nodes", lambda x: x["illu_id"]).alias("ids"), F.transform("nodes", lambda x: x["score"]).alias("scores"), F.transform("nodes", lambda x: x["is_primary"]).alias("primes"), "a", "b")
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ids, own, prime, a, b in zip(*(batch.column(c).to_pylist() for c in ("ids", "scores", "primes", "a", "b")), strict=True):
+                at = {x: i for i, x in enumerate(ids)}
+                best, parent = own[:], [-1] * len(own)
+                for i, j in sorted((at[y], at[x]) for x, y in zip(a or (), b or (), strict=True)):
+                    if best[j] + own[i] > best[i]:
+                        best[i], parent[i] = best[j] + own[i], j
+                i = end = max(range(len(own)), key=lambda i: (best[i], -i))
+                length, some = 0, False
+                while i >= 0:
+                    length, some, i = length + 1, some or prime[i], parent[i]
+                out.append((len(own), best[end], length, length > 2 or some))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], [*keys, "anchors", "best_score", "chain_length", "is_primary"])
 
     schema = "u long, v long, direction boolean, anchors long, best_score long, chain_length long, is_primary boolean"
-    # edges of one anchor are their own chain: no group is built for them
-    size = nodes.groupBy(*keys).agg(F.count("*").alias("anchors"), F.min("score").alias("best_score"), F.max("is_primary").alias("is_primary"))
-    alone = size.where("anchors = 1").select("u", "v", "direction", "anchors", "best_score", F.lit(1).cast("long").alias("chain_length"), "is_primary")
-    more = nodes.join(size.where("anchors > 1").select(*keys), keys, "left_semi")
-    left = more.select(*[F.col(c).alias(c) for c in more.columns])
-    right = ok.select(*[F.col(c).alias(f"{c}_") for c in keys], "a", "b")
-    chained = left.groupBy(*keys).cogroup(right.groupBy(*[f"{c}_" for c in keys])).applyInPandas(chain, schema)
-    return chained.unionByName(alone)
+    return more.mapInArrow(chain, schema).unionByName(alone)
 
 
 def retain_primary(chains: DataFrame) -> DataFrame:

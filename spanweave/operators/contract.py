@@ -28,7 +28,7 @@ def targets(contractions: DataFrame) -> DataFrame:
     up = materialize(contractions.groupBy("s").agg(F.min("e").alias("up")).where("s <> up"), "targets")
     # break circles: a read whose container chain comes back may only go to smaller ids
     low = up.where("up < s")
-    high = up.where("up > s").join(up.select(F.col("s").alias("up")), "up", "left_anti")
+    high = up.where("up > s").join(up.select(F.col("up").alias("s")).distinct(), "s", "left_anti")
     up = materialize(low.select("s", "up").unionByName(high.select("s", "up")), "targets")
     while True:
         far = up.select(F.col("s").alias("up"), F.col("up").alias("up2"))
