@@ -1,9 +1,10 @@
 """The queries of the training-data operators, one for each, and the DuckDB SQL of those that SQL can express."""
 
-from spanweave.llm import ann, bpe, decontaminate, near_dup, quality, quotation, substring_dedup, toxicity, warc
+from spanweave.llm import ann, bpe, decontaminate, near_dup, ngram_lm, quality, quotation, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_ngram_lm": ngram_lm.op2_ngram_lm,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_balanced_lists": ann.op4_balanced_lists,
     "op5_near_duplicates": near_dup.op5_near_duplicates,
