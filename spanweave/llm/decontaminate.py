@@ -53,6 +53,10 @@ def common_subsequence(a: list[int], b: list[int]) -> np.ndarray:
     return np.cumsum(bits)
 
 
+#: Share of a passage's squared weight in words of the benchmark from which it takes part in the decomposition.
+_CORE = 0.5
+
+
 class Latent:
     """What tasks need of one block of benchmark passages: words, weights, and after fit() the latent space."""
 
@@ -77,9 +81,11 @@ class Latent:
     def fit(self, sketch: np.ndarray) -> None:
         q, r = np.linalg.qr(sketch)
         self.basis = q[:, np.abs(np.diag(r)) > 1e-9 * max(1e-12, np.abs(np.diag(r)).max(initial=0))]
-        self.embed = (self.basis * self.idf[:, None]).astype(np.float32)
+        self.embed = self.basis * self.idf[:, None]
         latent = self.vectors() @ self.basis
-        self.targets = (latent / np.maximum(np.sqrt((latent * latent).sum(axis=1, keepdims=True)), 1e-12)).astype(np.float32)
+        targets = latent / np.maximum(np.sqrt((latent * latent).sum(axis=1, keepdims=True)), 1e-12)
+        #: What one word adds to the latent product with each benchmark passage.
+        self.gain = (self.embed @ targets.T).astype(np.float32)
 
 
 def _norms(latent: Latent, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +94,7 @@ def _norms(latent: Latent, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([[0], np.cumsum(np.where(idx >= 0, known, latent.other**2))]), np.concatenate([[0], np.cumsum(known)]))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, window: int = 32, stride: int = 8, rank: int = 256, cosine: float = 0.35, overlap: float = 0.6, tail: float = 0.25, block: int = 192) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, window: int = 32, stride: int = 8, rank: int = 256, cosine: float = 0.45, overlap: float = 0.6, tail: float = 0.25, block: int = 256) -> DataFrame:
     """``id, item_id, overlap, cosine``: the benchmark items found in each document, each once (its best find).
 
     An item is found where a window of ``window`` words has a latent cosine of at least ``cosine`` with one of its
@@ -155,7 +161,7 @@ def _search_block(spark: SparkSession, texts: DataFrame, items: pa.Table, window
     width = probe.shape[1]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of A'A * probe, for the passages A that are near enough to the benchmark's words to matter."""
+        """Rows of A'A * probe, for the passages A that lie mostly in words of the benchmark."""
         z, touched, used = np.zeros((size, width)), np.zeros(size, bool), 0
         for batch in batches:
             for part in W.slices(batch, "text"):
@@ -165,7 +171,7 @@ def _search_block(spark: SparkSession, texts: DataFrame, items: pa.Table, window
                 n = -(-np.diff(at) // window)
                 lo = W.ranges(np.zeros(len(n), np.int64), n) * window + np.repeat(at[:-1], n)
                 hi = np.minimum(lo + window, np.repeat(at[1:], n))
-                near = own_norm[hi] - own_norm[lo] >= cosine**2 * (norm[hi] - norm[lo])
+                near = own_norm[hi] - own_norm[lo] >= _CORE * (norm[hi] - norm[lo])
                 used += int(near.sum())
                 for a, b in zip(lo[near].tolist(), hi[near].tolist(), strict=True):
                     w = idx[a:b]
@@ -191,7 +197,7 @@ def _search_block(spark: SparkSession, texts: DataFrame, items: pa.Table, window
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", 1 << 20):
                 h, at = plain_words(part.column("text"))
                 idx = latent.index(h)
                 norm, own_norm = _norms(latent, idx)
@@ -201,18 +207,30 @@ def _search_block(spark: SparkSession, texts: DataFrame, items: pa.Table, window
                 hi = np.minimum(lo + window, at[1:][doc])
                 near = np.flatnonzero(own_norm[hi] - own_norm[lo] >= cosine**2 * (norm[hi] - norm[lo]))
                 best: dict[tuple[int, int], list] = {}
+                # products by steps of ``stride`` words; a window is the sum of its steps
+                steps = -(-np.diff(at) // stride)
+                first_step = np.concatenate([[0], np.cumsum(steps)])
+                last = int(first_step[-1])
+                lead = first_step[doc] + (lo - at[doc]) // stride
+                end = first_step[1:][doc]
+                wanted_step = np.zeros(last + 1, bool)
+                for k in range(window // stride):
+                    wanted_step[np.minimum(lead + k, end)[near]] = True
+                wanted_step[-1] = False
+                own = np.repeat(np.arange(len(part)), np.diff(at))
+                step = first_step[own] + (np.arange(len(h)) - at[own]) // stride
+                use = np.flatnonzero((idx >= 0) & wanted_step[step])
+                product = np.zeros((last + window // stride, latent.gain.shape[1]), np.float32)
+                if len(use):
+                    begin = np.flatnonzero(np.concatenate([[True], np.diff(step[use]) > 0]))
+                    product[step[use][begin]] = np.add.reduceat(latent.gain[idx[use]], begin, axis=0)
                 for s in range(0, len(near), 4096):
                     some = near[s : s + 4096]
-                    x = np.zeros((len(some), latent.embed.shape[1]), np.float32)
-                    long = hi[some] - lo[some]
-                    at_word = W.ranges(lo[some], long)
-                    row = np.repeat(np.arange(len(some)), long)
-                    known = idx[at_word] >= 0
-                    emb = latent.embed[idx[at_word][known]]
-                    begin = np.flatnonzero(np.concatenate([[True], np.diff(row[known]) > 0])) if known.any() else []
-                    if len(begin):
-                        x[row[known][begin]] = np.add.reduceat(emb, begin, axis=0)
-                    like = x @ latent.targets.T / np.sqrt(np.maximum(norm[hi[some]] - norm[lo[some]], 1e-12))[:, None]
+                    like = product[lead[some]].copy()
+                    for k in range(1, window // stride):
+                        inside = lead[some] + k < end[some]
+                        like[inside] += product[lead[some][inside] + k]
+                    like /= np.sqrt(np.maximum(norm[hi[some]] - norm[lo[some]], 1e-12))[:, None]
                     r, t = np.nonzero(like >= cosine)
                     for w, i, c in zip(some[r].tolist(), owner[t].tolist(), like[r, t].tolist(), strict=True):
                         best.setdefault((int(doc[w]), i), []).append((c, int(lo[w])))
