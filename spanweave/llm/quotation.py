@@ -52,7 +52,7 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
     """
     lines = quote_lines(messages, conv, turn, role, text)
     own = F.filter("lines", lambda x: x["level"] == 0)
-    said = F.trim(F.concat_ws("\n", F.transform(own, lambda x: x["said"])))
+    said = F.regexp_replace(F.concat_ws("\n", F.transform(own, lambda x: x["said"])), r"^\s+|\s+$", "")
     quoting = F.exists("lines", lambda x: x["level"] > 0)
     base = materialize(lines.select("conv_id", "turn", "role", said.alias("said"), F.when(quoting, F.filter(_passages(F.col("lines")), lambda x: x["level"] > 0)).otherwise(F.expr("cast(array() as array<struct<level:int,said:string>>)")).alias("quotes"), "lines", F.xxhash64("conv_id", "turn", "role", "lines").alias("row_key")), "quote-lines")
 
