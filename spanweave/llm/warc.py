@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -98,11 +99,13 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return materialize(rows.mapInArrow(write, INDEX), "warc-index")
 
 
-def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, most: int = 4 << 20) -> DataFrame:
+def read_records(index: DataFrame, folder: str, gap: int = 64 << 10, most: int = 4 << 20, task_bytes: int = 16 << 20) -> DataFrame:
     """The records (RECORD) that the rows of ``index`` name; a revisit has a null payload. Ranges that lie less than
     ``gap`` bytes apart are fetched together, up to ``most`` bytes a read (a longer record is one read)."""
     wanted = index.select("archive", "offset", "length").withColumn("part", F.floor(F.col("offset") / most))
-    wanted = wanted.repartition("archive", "part").sortWithinPartitions("archive", "offset")
+    # the index is small, what it points to isn't: as many tasks as the records' bytes ask for
+    tasks = max(1, math.ceil((wanted.agg(F.sum("length")).first()[0] or 0) / task_bytes))
+    wanted = wanted.repartition(tasks, "archive", "part").sortWithinPartitions("archive", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(folder)
