@@ -17,4 +17,5 @@ QUERIES = {
 ORACLES = {
     "op7_warc": warc.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
+    "op9_quotation_linking": quotation.ORACLE,
 }

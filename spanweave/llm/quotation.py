@@ -84,3 +84,24 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
 
 def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotations(read_table(spark, sf_dir, "conversations"))
+
+
+ORACLE = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r') AS raw FROM conversations),
+x AS (SELECT rid, conv_id, turn, i, raw[i] AS line FROM m, unnest(range(1, len(raw) + 1)) AS t(i)),
+y AS (SELECT *, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)*)', 1), '[^>]', '', 'g')) AS level, regexp_replace(line, '^((?:[ \t]*>)*)', '') AS said FROM x),
+z AS (SELECT *, lower(trim(regexp_replace(said, '\s+', ' ', 'g'))) AS n FROM y),
+b AS (SELECT *, CASE WHEN n = '' OR lag(n) OVER w = '' OR lag(level) OVER w IS DISTINCT FROM level THEN 1 ELSE 0 END AS fresh FROM z WINDOW w AS (PARTITION BY rid ORDER BY i)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS grp FROM b),
+p AS (SELECT rid, conv_id, turn, level, grp, string_agg(n, ' ' ORDER BY i) AS passage FROM g GROUP BY ALL HAVING string_agg(n, ' ' ORDER BY i) <> ''),
+o AS (SELECT q.rid, q.conv_id, q.turn, q.level, q.grp, max(w.turn) AS origin FROM p q JOIN p w ON w.conv_id = q.conv_id AND w.passage = q.passage AND w.level = 0 AND w.turn < q.turn WHERE q.level > 0 GROUP BY ALL),
+r AS (SELECT rid, conv_id, turn, count(*) AS n_linked, arg_min(origin, struct_pack(l := level, g := grp)) AS reply_to FROM o GROUP BY ALL),
+u AS (SELECT conv_id, turn, max(reply_to) AS up FROM r GROUP BY ALL),
+c AS (SELECT conv_id, turn, up, 1 AS depth FROM u UNION ALL SELECT c.conv_id, c.turn, u.up, c.depth + 1 FROM c JOIN u ON u.conv_id = c.conv_id AND u.turn = c.up),
+t AS (SELECT conv_id, turn, arg_max(up, depth) AS top, max(depth) AS above FROM c GROUP BY ALL),
+s AS (SELECT rid, regexp_replace(string_agg(said, chr(10) ORDER BY i) FILTER (WHERE level = 0), '^\s+|\s+$', '', 'g') AS said FROM y GROUP BY rid),
+k AS (SELECT rid, count(*) AS n_quotes FROM p WHERE level > 0 GROUP BY rid)
+SELECT m.conv_id, m.turn, m.role, coalesce(s.said, '') AS said, CAST(coalesce(n_quotes, 0) AS BIGINT) AS n_quotes, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, reply_to,
+       CAST(CASE WHEN reply_to IS NULL THEN 0 ELSE 1 + coalesce(above, 0) END AS BIGINT) AS depth, coalesce(top, reply_to, m.turn) AS thread
+FROM m JOIN s USING (rid) LEFT JOIN k USING (rid) LEFT JOIN r USING (rid) LEFT JOIN t ON t.conv_id = m.conv_id AND t.turn = r.reply_to
+"""

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -275,6 +276,12 @@ def test_quotations(spark):
     assert linked[2, 1, "another conversation"] == (1, 0, None, 0, 1)
     assert linked[None, 1, ""] == (1, 0, None, 0, 1)
     assert quotation.link_quotations(df.limit(0)).count() == 0
+    con = duckdb.connect()
+    con.register("conversations", df.drop("lines").toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    want = con.execute(quotation.ORACLE)
+    names = [c[0] for c in want.description]
+    plain = lambda x: [None if v is None or v != v else v for v in x]
+    assert Counter(repr(plain(r)) for r in want.fetchall()) == Counter(repr(plain(r[n] for n in names)) for r in got)
 
 
 def test_contaminated(spark, rows):
