@@ -17,9 +17,10 @@ state after it, so pieces of an id stream can be decoded as they come.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+import gc
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanweave.session import read_table
+from spanweave.llm import words as W
+from spanweave.session import materialize, read_table
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,10 +50,13 @@ def merge_pieces(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
+_NONE, _ANY = 1 << 60, (b"",)
+
+
 class Transducer:
     """Ranks compiled for encoding; see the module's text."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 1 << 17):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000):
         self.ranks, self.most = ranks, most_states
         self.trie: list[dict[int, int]] = [{}]
         self.token: list[bytes | None] = [None]
@@ -65,45 +70,99 @@ class Transducer:
                     self.token.append(None)
                 node = nxt
             self.token[node] = word
-        self.whole = {}  # does the token come out of merging its own bytes?
+        self.edges: dict[bytes, tuple | None] = {}
         self.pair: dict[tuple[bytes, bytes], bool] = {}
+        self.live: dict[tuple[bytes, int], bool] = {}
+        self.below: dict[int, list[bytes] | None] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.states: dict[tuple, int] = {}
         self.open: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple[bytes, ...]]]] = []
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # by 256 * state + byte
+        self.ends: dict[int, tuple[int, ...]] = {}
         self.start = self._state(((0, (b"",)),))
 
     def _state(self, key: tuple) -> int:
+        """States are numbered in steps of 256."""
         if key not in self.states:
-            self.states[key] = len(self.open)
+            self.states[key] = len(self.open) << 8
             self.open.append(key)
-            self.moves.append({})
         return self.states[key]
 
+    def _edges(self, token: bytes) -> tuple | None:
+        """While the token's own bytes merge: the parts at its right and at its left end, each with the rank of the
+        part that takes it in (the last: none). None if merging doesn't give the token back."""
+        if token not in self.edges:
+            parts = [token[i : i + 1] for i in range(len(token))]
+            right, left = [parts[-1]], [parts[0]]
+            while len(parts) > 1:
+                rank, at = min((self.ranks.get(parts[i] + parts[i + 1], _NONE), i) for i in range(len(parts) - 1))
+                if rank == _NONE:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                if parts[-1] != right[-1]:
+                    right.append(parts[-1])
+                if parts[0] != left[-1]:
+                    left.append(parts[0])
+            later = lambda side: [(x, self.ranks[y] if y else _NONE) for x, y in zip(side, [*side[1:], b""], strict=True)]
+            self.edges[token] = (later(right), later(left)) if len(parts) == 1 else None
+        return self.edges[token]
+
     def _fits(self, a: bytes, b: bytes) -> bool:
-        if b not in self.whole:
-            self.whole[b] = merge_pieces(b, self.ranks) == [b]
-        if not self.whole[b]:
-            return False
-        if not a:
-            return True
-        if (a, b) not in self.pair:
-            if len(self.pair) > 1 << 21:
+        """May token b follow token a (empty: the start)? If no merge across their border comes before the merges of
+        the two parts that face each other there."""
+        known = self.pair.get((a, b))
+        if known is None:
+            if len(self.pair) > 1 << 15:
                 self.pair.clear()
-            self.pair[a, b] = merge_pieces(a + b, self.ranks) == [a, b]
-        return self.pair[a, b]
-
-    def _step(self, state: int, b: int) -> tuple[int, tuple[bytes, ...]]:
+            known = self.pair[a, b] = self._border(a, b)
+        return known
+
+    def _border(self, a: bytes, b: bytes) -> bool:
+        own = self._edges(b)
+        if own is None or not a:
+            return own is not None
+        right, left, i, j = self._edges(a)[0], own[1], 0, 0
+        while True:
+            (x, x_ends), (y, y_ends) = right[i], left[j]
+            across = self.ranks.get(x + y, _NONE)
+            if across < x_ends and across <= y_ends and across < _NONE:
+                return False
+            if x_ends == y_ends == _NONE:
+                return True
+            if x_ends <= y_ends:
+                i += 1
+            else:
+                j += 1
+
+    def _lives(self, a: bytes, node: int) -> bool:
+        """Can some token through this trie node follow token a? Not looked into where many tokens pass."""
+        known = self.live.get((a, node))
+        if known is None:
+            if node not in self.below:
+                found, todo = [], [node]
+                while todo and len(found) <= 150:
+                    at = todo.pop()
+                    if self.token[at] is not None and at != node:
+                        found.append(self.token[at])
+                    todo.extend(self.trie[at].values())
+                self.below[node] = None if len(found) > 150 else found
+            below = self.below[node]
+            if len(self.live) > 1 << 15:
+                self.live.clear()
+            known = self.live[a, node] = below is None or any(self._border(a, t) for t in below)
+        return known
+
+    def _step(self, state: int, b: int) -> tuple[int, tuple[int, ...]]:
         after, ends = [], None
-        for node, path in self.open[state]:
+        for node, path in self.open[state >> 8]:
             to = self.trie[node].get(b)
             if to is None:
                 continue
             if ends is None and self.token[to] is not None and self._fits(path[-1], self.token[to]):
                 ends = (*path, self.token[to])
-            if self.trie[to]:
+            if self.trie[to] and self._lives(path[-1], to):
                 after.append((to, path))
         if ends is None:
             raise ValueError(f"no token ends at byte {b}: the ranks lack it")
@@ -111,9 +170,11 @@ class Transducer:
         shared = 1
         while all(len(p) > shared and p[shared] == ends[shared] for _, p in after) and shared < len(ends):
             shared += 1
-        out = ends[1:shared]  # the first of a path has been emitted already
-        move = (self._state(tuple((n, p[shared - 1 :]) for n, p in after)), out)
-        self.moves[state][b] = move
+        out = tuple(self.ranks[t] for t in ends[1:shared])  # the first of a path has been emitted already
+        # the last token emitted only matters where an open token would follow it directly
+        lead = ends[shared - 1 : shared] if any(len(p) == shared for _, p in after) else _ANY
+        move = (self._state(tuple((n, lead + p[shared:]) for n, p in after)), out)
+        self.moves[state + b] = move
         return move
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -122,30 +183,89 @@ class Transducer:
             return [self.ranks[piece]]
         if len(self.open) > self.most:
             self._reset()
-        state, out = self.start, []
+        state, out, moves = self.start, [], self.moves
         for b in piece:
-            move = self.moves[state].get(b) or self._step(state, b)
+            move = moves.get(state + b)
+            if move is None:
+                move = self._step(state, b)
             state = move[0]
             if move[1]:
                 out += move[1]
-        out += self.open[state][-1][1][1:]  # what the end of the piece decides
-        return [self.ranks[t] for t in out]
+        rest = self.ends.get(state)
+        if rest is None:  # what the end of the piece decides
+            rest = self.ends[state] = tuple(self.ranks[t] for t in self.open[state >> 8][-1][1][1:])
+        out += rest
+        return out
 
 
-class Pieces(dict):
-    """Ids of the pieces met so far; a text of new pieces only costs the transducer."""
+class Recent(dict):
+    """A bounded cache: what is asked for again outlives a change of generations."""
 
-    def __init__(self, transducer: Transducer, most: int = 1 << 19):
+    def __init__(self, most: int):
         super().__init__()
-        self.transducer, self.most = transducer, most
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.transducer.encode_piece(piece.encode()))
-        if len(piece) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = ids
-        return ids
+        self.most, self.old = most, {}
+
+    def keep(self, key: str, value: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class Pieces(Recent):
+    """Ids of the pieces met so far, as bytes of int32; a text of new pieces only costs the transducer."""
+
+    def __init__(self, transducer: Transducer, most: int = 1 << 16):
+        super().__init__(most)
+        self.transducer = transducer
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array("i", self.transducer.encode_piece(piece.encode())).tobytes()
+        return self.keep(piece, ids) if len(piece) <= 64 else ids
+
+
+class Encoder:
+    """Encodes many texts at once. No match of the pattern holds a space behind a character that isn't white space, so
+    such a space begins a match, and each stretch from a space to the next can be encoded on its own: once for all its
+    places in a batch."""
+
+    def __init__(self, pattern: regex.Pattern, pieces: Pieces):
+        self.find, self.pieces = pattern.findall, pieces
+        # the rule above holds if a space is white space for the pattern, and begins or is a match
+        self.usable = all(pattern.findall(x + " " + y)[: len(pattern.findall(x))] == pattern.findall(x) for x in ("a", "1", "!", "a!", "\u00e9", "'s") for y in ("", "a", " ", "1", "!", "\n"))
+
+    def text(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+
+    def batch(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text (null: none)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        split = pc.split_pattern(texts, " ")
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        codes, stretches = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        # a stretch that is empty or ends in white space must be matched together with what follows it
+        odd = np.fromiter((not x or x[-1].isspace() for x in stretches), bool, len(stretches))
+        found = [b"" if o else self.text(" " + x) for x, o in zip(stretches, odd.tolist(), strict=True)]
+        heads = [stretches[c] for c in codes[bounds[:-1]].tolist()]  # what stands before the first space
+        found += [self.text(x) for x in heads]
+        odd = np.append(odd, [bool(x) and x[-1].isspace() for x in heads])
+        codes[bounds[:-1]] = len(stretches) + np.arange(len(heads))
+        again = np.unique(np.searchsorted(bounds, np.flatnonzero(odd[codes]), side="right") - 1) if self.usable else np.arange(len(texts))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start, ids = np.cumsum(size) - size, np.frombuffer(b"".join(found), np.int32)
+        long = size[codes]
+        ends = np.concatenate([[0], np.cumsum(long)])[bounds]
+        ids = ids[W.ranges(start[codes], long)]
+        if len(again):
+            parts = [ids[b:e] for b, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            for i in again.tolist():
+                parts[i] = np.frombuffer(self.text(texts[i].as_py()), np.int32)
+            ids, ends = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
 
 
 # UTF-8: lead bytes with the number of bytes after them, and the range of the first of these
@@ -183,14 +303,22 @@ class Decoder:
         self.tokens = tokens
         self.moves: dict[bytes, dict[int, tuple[bytes, str]]] = {b"": {}}
         self.state = b""
-
-    def feed(self, ids: Iterable[int]) -> str:
+        self.plain: dict[int, str] = {}  # moves from the empty state to itself
+
+    def feed(self, ids: list[int]) -> str:
+        if not self.state:
+            try:
+                return "".join(map(self.plain.__getitem__, ids))
+            except KeyError:
+                pass
         out, state, moves = [], self.state, self.moves[self.state]
         for i in ids:
             move = moves.get(i)
             if move is None:
                 move = moves[i] = utf8_step(state, self.tokens[i])
                 self.moves.setdefault(move[0], {})
+                if not state and not move[0]:
+                    self.plain[i] = move[1]
             out.append(move[1])
             if move[0] != state:
                 state = move[0]
@@ -204,8 +332,8 @@ class Decoder:
 
 
 @lru_cache(2)
-def _encoder(path: str, pattern: str) -> tuple[regex.Pattern, Pieces]:
-    return regex.compile(pattern), Pieces(Transducer(read_ranks(path)))
+def _encoder(path: str, pattern: str) -> Encoder:
+    return Encoder(regex.compile(pattern), Pieces(Transducer(read_ranks(path))))
 
 
 @lru_cache(2)
@@ -213,7 +341,7 @@ def _decoder(path: str) -> Decoder:
     return Decoder({i: t for t, i in read_ranks(path).items()})
 
 
-_FLUSH = 1 << 20  # ids of a batch that a task gives back
+_BYTES = 4 << 20  # of text that a task encodes at once
 
 
 def _passed(df: DataFrame, extra: str, kind: T.DataType, name: str) -> tuple[DataFrame, T.StructType]:
@@ -230,20 +358,11 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     own, schema = _passed(df, text_col, T.ArrayType(T.IntegerType()), ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, pieces = _encoder(ranks_path, pattern)
+        encoder = _encoder(ranks_path, pattern)
+        gc.freeze()  # the automaton and the caches hold no cycles; don't search them again and again
         for batch in batches:
-            texts, rows = batch.column("input"), batch.column("row")
-            ids, sizes, total, done = [], [], 0, 0
-            for n in range(len(texts)):
-                text = texts[n].as_py() or ""
-                found = np.fromiter(chain.from_iterable(map(pieces.__getitem__, find.findall(text))), np.int32)
-                ids.append(found)
-                sizes.append(len(found))
-                total += len(found)
-                if total >= _FLUSH or n == len(texts) - 1:
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(ids)))
-                    yield pa.RecordBatch.from_arrays([rows.slice(done, n + 1 - done), lists], ["row", ids_col])
-                    ids, sizes, total, done = [], [], 0, n + 1
+            for part in W.slices(batch, "input", _BYTES):
+                yield pa.RecordBatch.from_arrays([part.column("row"), encoder.batch(part.column("input"))], ["row", ids_col])
 
     return own.mapInArrow(run, schema).select("row.*", ids_col)
 
@@ -279,5 +398,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
     docs = encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).select("doc_id", "token_ids")
     ids = F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256)
+    # written in between, so that a task never holds an encoder and a decoder at once
+    docs = materialize(docs, "token-ids")
     docs = docs.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"))
     return decode(docs, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
