@@ -2,8 +2,8 @@
 
 Corpus and benchmark are cut into passages, weighted by TF-IDF with document frequencies counted over the whole
 corpus. A distributed randomised SVD of the passages gives a latent space; every window of every document is compared
-with every benchmark passage by cosine there, and candidates are checked by their longest common subsequence of words
-and by their answers. Windows whose weight lies too little in words of the benchmark can't reach the cosine (it is at
+with every benchmark passage by cosine there and in all words, and candidates are checked by their longest common
+subsequence of words and by their answers. Windows whose weight lies too little in words of the benchmark can't reach the cosine (it is at
 most the share of their norm in these words) and are passed over before they are projected, so the cost follows the
 corpus, not corpus times benchmark. The benchmark is taken in blocks, whose size bounds all that tasks are sent.
 """
@@ -53,8 +53,8 @@ def common_subsequence(a: list[int], b: list[int]) -> np.ndarray:
     return np.cumsum(bits)
 
 
-#: Share of a passage's squared weight in words of the benchmark from which it takes part in the decomposition.
-_CORE = 0.5
+#: Up to this many words of a block, the products of the passages are summed word by word, which is quicker.
+_SQUARE = 5000
 
 
 class Latent:
@@ -84,8 +84,11 @@ class Latent:
         self.embed = self.basis * self.idf[:, None]
         latent = self.vectors() @ self.basis
         targets = latent / np.maximum(np.sqrt((latent * latent).sum(axis=1, keepdims=True)), 1e-12)
-        #: What one word adds to the latent product with each benchmark passage.
-        self.gain = (self.embed @ targets.T).astype(np.float32)
+        plain = self.vectors()
+        plain /= np.maximum(np.sqrt((plain * plain).sum(axis=1, keepdims=True)), 1e-12)
+        #: What one word adds to the latent and to the plain product with each benchmark passage: the latent space has
+        #: fewer dimensions than passages, so alone it would lose passages that lie in none of them.
+        self.gain = np.concatenate([self.embed @ targets.T, self.idf[:, None] * plain.T], axis=1).astype(np.float32)
 
 
 def _norms(latent: Latent, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,13 +97,13 @@ def _norms(latent: Latent, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([[0], np.cumsum(np.where(idx >= 0, known, latent.other**2))]), np.concatenate([[0], np.cumsum(known)]))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, window: int = 32, stride: int = 8, rank: int = 256, cosine: float = 0.45, overlap: float = 0.6, tail: float = 0.25, block: int = 256) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, window: int = 32, stride: int = 8, rank: int = 256, cosine: float = 0.25, overlap: float = 0.6, tail: float = 0.25, block: int = 256) -> DataFrame:
     """``id, item_id, overlap, cosine``: the benchmark items found in each document, each once (its best find).
 
-    An item is found where a window of ``window`` words has a latent cosine of at least ``cosine`` with one of its
-    passages, ``overlap`` of the item's words are a common subsequence with the document around it, and its answer is
-    there: all words of ``answer_col`` in order where that is given and not empty, else ``overlap`` of the last
-    ``tail`` of the item. Case and punctuation don't count.
+    An item is found where a window of ``window`` words has a cosine of at least ``cosine`` with one of its passages,
+    in the latent space or in all words (the larger counts), ``overlap`` of the item's words are a common subsequence
+    with the document around it, and its answer is there: all words of ``answer_col`` in order where that is given and
+    not empty, else ``overlap`` of the last ``tail`` of the item. Case and punctuation don't count.
 
     Items and texts that are null or have no words are found nowhere. Rows with a null id give null ids; repeated rows
     give one result; of repeated items each has its own. Empty tables give an empty table; other columns don't matter.
@@ -161,8 +164,9 @@ def _search_block(spark: SparkSession, texts: DataFrame, items: pa.Table, window
     width = probe.shape[1]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of A'A * probe, for the passages A that lie mostly in words of the benchmark."""
+        """Rows of A'A * probe, for the passages A that can reach the cosine with a passage of the benchmark."""
         z, touched, used = np.zeros((size, width)), np.zeros(size, bool), 0
+        square = np.zeros(size * size if size <= _SQUARE else 0)
         for batch in batches:
             for part in W.slices(batch, "text"):
                 h, at = plain_words(part.column("text"))
@@ -171,15 +175,27 @@ def _search_block(spark: SparkSession, texts: DataFrame, items: pa.Table, window
                 n = -(-np.diff(at) // window)
                 lo = W.ranges(np.zeros(len(n), np.int64), n) * window + np.repeat(at[:-1], n)
                 hi = np.minimum(lo + window, np.repeat(at[1:], n))
-                near = own_norm[hi] - own_norm[lo] >= _CORE * (norm[hi] - norm[lo])
-                used += int(near.sum())
-                for a, b in zip(lo[near].tolist(), hi[near].tolist(), strict=True):
-                    w = idx[a:b]
-                    w, count = np.unique(w[w >= 0], return_counts=True)
-                    weight = count * latent.idf[w]
-                    weight /= np.sqrt((weight * weight).sum())
-                    z[w] += weight[:, None] * (weight @ probe[w])
+                near = np.flatnonzero((own_norm[hi] > own_norm[lo]) & (own_norm[hi] - own_norm[lo] >= cosine**2 * (norm[hi] - norm[lo])))
+                used += len(near)
+                for s in range(0, len(near), 512):
+                    some = near[s : s + 512]
+                    long = hi[some] - lo[some]
+                    w, row = idx[W.ranges(lo[some], long)], np.repeat(np.arange(len(some)), long)
+                    key, count = np.unique(row[w >= 0] * size + w[w >= 0], return_counts=True)
+                    row, w = key // size, key % size
                     touched[w] = True
+                    weight = count * latent.idf[w]
+                    weight /= np.sqrt(np.bincount(row, weight * weight, len(some)))[row]
+                    words = np.bincount(row, minlength=len(some))
+                    begin = np.cumsum(words) - words
+                    if len(square):
+                        left, right = np.repeat(np.arange(len(w)), words[row]), W.ranges(begin[row], words[row])
+                        np.add.at(square, w[left] * size + w[right], weight[left] * weight[right])
+                    else:
+                        y = np.add.reduceat(weight[:, None] * probe[w], begin, axis=0)
+                        np.add.at(z, w, weight[:, None] * y[row])
+        if len(square):
+            z = square.reshape(size, size) @ probe
         some = np.flatnonzero(touched)
         if len(some):
             word, k = np.repeat(some, width), np.tile(np.arange(width), len(some))
@@ -230,6 +246,7 @@ def _search_block(spark: SparkSession, texts: DataFrame, items: pa.Table, window
                     for k in range(1, window // stride):
                         inside = lead[some] + k < end[some]
                         like[inside] += product[lead[some][inside] + k]
+                    like = np.maximum(like[:, : len(owner)], like[:, len(owner) :])
                     like /= np.sqrt(np.maximum(norm[hi[some]] - norm[lo[some]], 1e-12))[:, None]
                     r, t = np.nonzero(like >= cosine)
                     for w, i, c in zip(some[r].tolist(), owner[t].tolist(), like[r, t].tolist(), strict=True):
