@@ -366,7 +366,9 @@ def long_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 @query("minimizer_overlaps")
 def minimizer_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    return kmers.shared_minimizers(materialize(kmers.minimizers(sequences(spark, d)), "minimizers"))
+    once, members = kmers.fold_equal(sequences(spark, d))
+    minis = materialize(kmers.minimizers(once), "minimizers")
+    return kmers.with_members(kmers.shared_minimizers(minis), minis, members)
 
 
 _UK = "uk AS (SELECT DISTINCT substr(seq, i, 14) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - 12)) AS i FROM seqs WHERE length(seq) >= 14))"
