@@ -67,6 +67,17 @@ def test_transducer_equals_merging(rows):
         assert machine.encode_piece(piece) == want
 
 
+def test_transducer_takes_many_pieces_at_once_and_grows():
+    ranks, rng = bpe.read_ranks(bpe.tokenizer()[0]), random.Random(6)
+    pieces = [bytes(rng.choice(b" aeinrst\xc3\xa9=") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    machine = bpe.Transducer(ranks, most_states=100)
+    for _ in range(2):
+        ids, at = machine.encode_pieces(np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in pieces])]))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [[ranks[t] for t in bpe.merge_pieces(p, ranks)] for p in pieces]
+    long = bytes(rng.choice(b"abcdefgh \xe4\xbd\xa0") for _ in range(3000))
+    assert machine.encode_piece(long) == [ranks[t] for t in bpe.merge_pieces(long, ranks)]
+
+
 def test_decoder_streams_and_replaces():
     tokens = {0: b"a\xc3", 1: b"\xa9b", 2: b"\xff", 3: "👩".encode()[:2], 4: "👩".encode()[2:]}
     for ids in ([0, 1], [3, 4, 0], [2, 3, 2, 1]):
