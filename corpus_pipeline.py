@@ -50,7 +50,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether decoding gives the text back."""
     path, pattern = tokenizer()
-    tokens = materialize(encode(docs.select(*COLUMNS), path, pattern), "token-ids")
+    tokens = materialize(encode(docs.select("doc_id", "text", "lang", "source"), path, pattern), "token-ids")
     tokens = decode(tokens, path)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
     return tokens.select("doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
