@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 from spanweave.session import materialize, read_table
 
 _MARKS = r"^((?:[ \t]*>)*)"
+_BLANK = r"[ \t\n\x0B\f\r]"
 
 
 def _normal(c):
-    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(c, _BLANK + "+", " ")))
+
+
+def _let(value, body):
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def quote_lines(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -25,18 +31,18 @@ def quote_lines(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
 
 def _passages(lines):
-    """Maximal runs of lines of one level, none of them blank; the runs' normalised text."""
-    start = F.array().cast("array<struct<level:int,said:string>>")
+    """Maximal runs of lines of one level, none of them blank; the runs' normalised text. Each line is looked at with
+    its neighbours only, so the work is linear in their number."""
 
-    def step(acc, x):
-        blank = F.trim(x["said"]) == ""
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (last["level"] == x["level"]) & ~blank & (last["said"] != "")
-        grown = F.struct(x["level"].alias("level"), F.concat_ws(" ", last["said"], _normal(x["said"])).alias("said"))
-        fresh = F.struct(x["level"].alias("level"), _normal(x["said"]).alias("said"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(fresh)))
+    def runs(x):
+        at, last = F.sequence(F.lit(0), F.size(x) - 1), F.size(x) - 1
+        said, level = (lambda i: x[i]["said"] != ""), (lambda i: x[i]["level"])
+        begin = F.filter(at, lambda i: said(i) & ((i == 0) | ~said(F.greatest(i - 1, F.lit(0))) | (level(F.greatest(i - 1, F.lit(0))) != level(i))))
+        end = F.filter(at, lambda i: said(i) & ((i == last) | ~said(F.least(i + 1, last)) | (level(F.least(i + 1, last)) != level(i))))
+        text = lambda b, e: F.array_join(F.transform(F.slice(x, b + 1, e - b + 1), lambda y: y["said"]), " ")
+        return F.zip_with(begin, end, lambda b, e: F.struct(level(b).alias("level"), text(b, e).alias("said")))
 
-    return F.filter(F.aggregate(lines, start, step), lambda x: x["said"] != "")
+    return _let(F.transform(lines, lambda y: F.struct(y["level"].alias("level"), _normal(y["said"]).alias("said"))), runs)
 
 
 def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -52,7 +58,7 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
     """
     lines = quote_lines(messages, conv, turn, role, text)
     own = F.filter("lines", lambda x: x["level"] == 0)
-    said = F.regexp_replace(F.concat_ws("\n", F.transform(own, lambda x: x["said"])), r"^\s+|\s+$", "")
+    said = F.regexp_replace(F.concat_ws("\n", F.transform(own, lambda x: x["said"])), f"^{_BLANK}+|{_BLANK}+\\z", "")
     quoting = F.exists("lines", lambda x: x["level"] > 0)
     base = materialize(lines.select("conv_id", "turn", "role", said.alias("said"), F.when(quoting, F.filter(_passages(F.col("lines")), lambda x: x["level"] > 0)).otherwise(F.expr("cast(array() as array<struct<level:int,said:string>>)")).alias("quotes"), "lines", F.xxhash64("conv_id", "turn", "role", "lines").alias("row_key")), "quote-lines")
 
@@ -90,7 +96,7 @@ ORACLE = r"""
 WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r') AS raw FROM conversations),
 x AS (SELECT rid, conv_id, turn, i, raw[i] AS line FROM m, unnest(range(1, len(raw) + 1)) AS t(i)),
 y AS (SELECT *, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)*)', 1), '[^>]', '', 'g')) AS level, regexp_replace(line, '^((?:[ \t]*>)*)', '') AS said FROM x),
-z AS (SELECT *, lower(trim(regexp_replace(said, '\s+', ' ', 'g'))) AS n FROM y),
+z AS (SELECT *, lower(trim(regexp_replace(said, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS n FROM y),
 b AS (SELECT *, CASE WHEN n = '' OR lag(n) OVER w = '' OR lag(level) OVER w IS DISTINCT FROM level THEN 1 ELSE 0 END AS fresh FROM z WINDOW w AS (PARTITION BY rid ORDER BY i)),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS grp FROM b),
 p AS (SELECT rid, conv_id, turn, level, grp, string_agg(n, ' ' ORDER BY i) AS passage FROM g GROUP BY ALL HAVING string_agg(n, ' ' ORDER BY i) <> ''),
@@ -99,7 +105,7 @@ r AS (SELECT rid, conv_id, turn, count(*) AS n_linked, arg_min(origin, struct_pa
 u AS (SELECT conv_id, turn, max(reply_to) AS up FROM r GROUP BY ALL),
 c AS (SELECT conv_id, turn, up, 1 AS depth FROM u UNION ALL SELECT c.conv_id, c.turn, u.up, c.depth + 1 FROM c JOIN u ON u.conv_id = c.conv_id AND u.turn = c.up),
 t AS (SELECT conv_id, turn, arg_max(up, depth) AS top, max(depth) AS above FROM c GROUP BY ALL),
-s AS (SELECT rid, regexp_replace(string_agg(said, chr(10) ORDER BY i) FILTER (WHERE level = 0), '^\s+|\s+$', '', 'g') AS said FROM y GROUP BY rid),
+s AS (SELECT rid, regexp_replace(string_agg(said, chr(10) ORDER BY i) FILTER (WHERE level = 0), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+\z', '', 'g') AS said FROM y GROUP BY rid),
 k AS (SELECT rid, count(*) AS n_quotes FROM p WHERE level > 0 GROUP BY rid)
 SELECT m.conv_id, m.turn, m.role, coalesce(s.said, '') AS said, CAST(coalesce(n_quotes, 0) AS BIGINT) AS n_quotes, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked, reply_to,
        CAST(CASE WHEN reply_to IS NULL THEN 0 ELSE 1 + coalesce(above, 0) END AS BIGINT) AS depth, coalesce(top, reply_to, m.turn) AS thread

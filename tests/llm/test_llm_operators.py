@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -315,6 +316,54 @@ def test_quotations(spark):
     assert Counter(repr(plain(r)) for r in want.fetchall()) == Counter(repr(plain(r[n] for n in names)) for r in got)
 
 
+def quoting_conversations(n):
+    """Conversations whose messages quote earlier ones, at several levels, with odd blanks and line ends."""
+    rng = random.Random(11)
+    said = ["yes", "No  way", "see\tbelow", "One two three", "ok.", "RE: plan", ""]
+    data = []
+    for conv in range(n):
+        texts = []
+        for turn in range(rng.randint(1, 7)):
+            lines = []
+            for _ in range(rng.randint(1, 4)):
+                kind = rng.random()
+                if texts and kind < 0.5:
+                    mark = rng.choice([">", "> ", " > ", "\t>"])
+                    lines += [mark + x for x in re.split("\r\n|\n|\r", rng.choice(texts))[: rng.randint(1, 5)]]
+                elif kind < 0.6:
+                    lines.append(rng.choice([">", ">\t", "> >", "  ", "\t", ">>\x0b"]))
+                else:
+                    lines.append(rng.choice(said) + rng.choice(["", " ", "\t", " x"]))
+            texts.append(rng.choice(["\n", "\r\n", "\r"]).join(lines))
+            data.append((conv, turn, rng.choice(["user", "assistant"]), texts[-1]))
+            if rng.random() < 0.05:
+                data.append((conv, turn, "user", rng.choice(texts)))
+    return data
+
+
+def test_quotations_equal_sql(spark):
+    data = [(-1, 0, "user", "a\n\nb"), (-1, 1, "user", "> a\n>\t\n> b"), *quoting_conversations(1500)]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    got = quotation.link_quotations(df).collect()
+    assert {(r.n_quotes, r.n_linked, r.reply_to) for r in got if (r.conv_id, r.turn) == (-1, 1)} == {(2, 2, 0)}
+    assert sum(r.n_linked for r in got) > 2000 and max(r.depth for r in got) > 3
+    con = duckdb.connect()
+    con.register("conversations", pa.table(dict(zip(("conv_id", "turn", "role", "text"), map(list, zip(*data)), strict=True))))
+    want = con.execute(quotation.ORACLE)
+    names = [c[0] for c in want.description]
+    assert Counter(want.fetchall()) == Counter(tuple(r[n] for n in names) for r in got)
+
+
+def test_quotation_of_a_very_long_message(spark):
+    lines = [f"line {k}" for k in range(20_000)]
+    long = "\n\n".join(lines)
+    data = [(1, 0, "user", long), (1, 1, "user", "\n>\n".join("> " + x for x in lines) + "\nall"), (1, 2, "user", "> " + "\n> ".join(lines))]
+    began = time.time()
+    got = {r.turn: (r.n_quotes, r.n_linked, r.reply_to) for r in quotation.link_quotations(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: (0, 0, None), 1: (20_000, 20_000, 0), 2: (1, 0, None)}
+    assert time.time() - began < 60
+
+
 def test_contaminated(spark, rows):
     item = [even(700 + k, 40) for k in range(30)]
     changed = " ".join("other" if k % 6 == 3 and k < 28 else w for k, w in enumerate(item[2].split()))
