@@ -35,6 +35,12 @@ _TAIL = np.uint64(24)  # bits of a word's hash within its context
 _STEP = math.log10(2) / 12  # quantisation: a byte counts twelfths of a power of two
 
 
+_1, _2, _3, _4, _8 = (np.uint64(x) for x in (1, 2, 3, 4, 8))
+_01, _0F, _33, _55, _80, _FF = (np.uint64(x) for x in (0x0101010101010101, 0x0F0F0F0F0F0F0F0F, 0x3333333333333333, 0x5555555555555555, 0x8080808080808080, 0xFF))
+#: Place of the k-th set bit of a byte, by 8 * byte + k.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for b in range(256) for k in range(8)], np.int64)
+
+
 class EliasFano:
     """A rising sequence of uint64 in about 2 + log2(universe / n) bits each, mapped from a file and read in place."""
 
@@ -66,14 +72,15 @@ class EliasFano:
         """Place of the k-th set (or unset) bit of the upper part."""
         index = self.ones if ones else self.zeros
         word = np.searchsorted(index, k, side="right") - 1
-        bits, left, place = self.upper[word], k - index[word], word * 64
+        bits, left = self.upper[word], (k - index[word]).astype(np.uint64)
         bits = bits if ones else ~bits
-        for size in (32, 16, 8, 4, 2, 1):
-            n = np.bitwise_count(bits & np.uint64((1 << size) - 1)).astype(np.int64)
-            go = left >= n
-            left, place = left - n * go, place + size * go
-            bits = np.where(go, bits >> np.uint64(size), bits)
-        return place
+        # bits up to each byte of the word, side by side; the byte that holds the wanted one; its place there
+        per = bits - ((bits >> _1) & _55)
+        per = (per & _33) + ((per >> _2) & _33)
+        upto = (((per + (per >> _4)) & _0F) * _01).astype(np.uint64)
+        byte = np.bitwise_count((((left * _01) | _80) - upto) & _80).astype(np.uint64)
+        left -= ((upto << _8) >> (byte << _3)) & _FF
+        return word * 64 + (byte << _3).astype(np.int64) + _IN_BYTE[(((bits >> (byte << _3)) & _FF) << _3 | left).astype(np.int64)]
 
     def at(self, i: np.ndarray) -> np.ndarray:
         """The elements of these numbers."""
@@ -87,19 +94,18 @@ class EliasFano:
         return (high << np.uint64(self.low_bits)) | low
 
     def within(self, wanted: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Number of the wanted element among those from lo to hi (exclusive), or -1."""
-        lo, hi, end = lo.copy(), hi.copy(), hi
-        live = np.flatnonzero(lo < hi)
+        """Number of a wanted element among those from lo to hi (exclusive), or -1."""
+        out, live = np.full(len(wanted), -1, np.int64), np.flatnonzero(lo < hi)
+        lo, hi, wanted = lo[live], hi[live], wanted[live]
         while len(live):
-            mid = (lo[live] + hi[live]) >> 1
-            less = self.at(mid) < wanted[live]
-            lo[live] = np.where(less, mid + 1, lo[live])
-            hi[live] = np.where(less, hi[live], mid)
-            live = live[lo[live] < hi[live]]
-        some = np.flatnonzero(lo < end)
-        out = np.full(len(wanted), -1, np.int64)
-        hit = some[self.at(lo[some]) == wanted[some]]
-        out[hit] = lo[hit]
+            mid = (lo + hi) >> 1
+            there = self.at(mid)
+            hit = there == wanted
+            out[live[hit]] = mid[hit]
+            less = there < wanted
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            on = np.flatnonzero((lo < hi) & ~hit)
+            live, lo, hi, wanted = live[on], lo[on], hi[on], wanted[on]
         return out
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
@@ -160,7 +166,10 @@ class Trie:
         some = np.flatnonzero(parent >= 0)
         up = parent[some]
         key = (up.astype(np.uint64) << _TAIL) | tail[some]
-        out[some] = level.within(key, pointers.at(up).astype(np.int64), pointers.at(up + 1).astype(np.int64))
+        new = np.flatnonzero(np.diff(up, prepend=-1))  # what is asked comes by parents, and so do the pointers
+        lo, hi = pointers.at(up[new]).astype(np.int64), pointers.at(up[new] + 1).astype(np.int64)
+        n = np.diff(np.append(new, len(up)))
+        out[some] = level.within(key, np.repeat(lo, n), np.repeat(hi, n))
         return out
 
     @staticmethod
@@ -230,8 +239,9 @@ class Grams:
         self.words, code = np.unique(np.append(token, START), return_inverse=True)
         k, self.code, begin = len(self.words), code[:-1], code[-1]
         left = np.concatenate([[begin], self.code[:-1]])
-        left[at[:-1][at[:-1] < len(left)]] = begin
-        second = np.ones(len(token), bool)  # tokens with two before them, the start counts as one
+        left[at[:-1]] = begin
+        del token, code
+        second = np.ones(len(left), bool)  # tokens with two before them, the start counts as one
         second[at[:-1]] = False
         self.has = np.flatnonzero(second)
         parts = np.ones(k, np.int64)
@@ -448,7 +458,7 @@ def frequent_words(texts: DataFrame, total_bytes: int, most: int, sample_bytes:
     return w[order], (1 + n * share // most)[order]
 
 
-def score_documents(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, most: int = 200_000) -> DataFrame:
+def score_documents(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 6 << 20, most: int = 200_000) -> DataFrame:
     """``id, n_tokens, n_known, train_tokens, base_score, score`` of each row, from a model learned on the rows that
     ``may_learn`` (an expression on the column ``id``) allows.
 
@@ -468,6 +478,7 @@ def score_documents(docs: DataFrame, may_learn: Column, id_col: str = "doc_id",
 
     def ask(key: tuple, left: pa.Table) -> pa.Table:
         rows = list(Grams(left.column("text"), left.column("train").to_numpy(), hot, parts).requests(blocks))
+        W.give_back()
         kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         s, a, b, h = (pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True))
         return pa.table([s, pa.array(np.full(len(rows), key[0].as_py(), np.int32)), a, b, h], ["shard", "block", "roots", "grams", "hot"])
@@ -507,7 +518,9 @@ def score_documents(docs: DataFrame, may_learn: Column, id_col: str = "doc_id",
         if not len(left):
             return pa.table([pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.binary())], ["at", "shard", "said"])
         known = dict(zip(right.column("whole").to_pylist(), zip(right.column("c").to_pylist(), right.column("t").to_pylist(), strict=True), strict=True))
-        return pa.table([left.column("block"), left.column("shard"), pa.array(_Asked(left).answers(known), pa.binary())], ["at", "shard", "said"])
+        said = pa.array(_Asked(left).answers(known), pa.binary())
+        W.give_back()
+        return pa.table([left.column("block"), left.column("shard"), said], ["at", "shard", "said"])
 
     replies = asked.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(reply, "at int, shard int, said binary")
     none = lambda kind: F.lit(None).cast(kind)
@@ -521,6 +534,8 @@ def score_documents(docs: DataFrame, may_learn: Column, id_col: str = "doc_id",
         grams = Grams(left.column("text"), left.column("train").to_numpy(), hot, parts)
         n_kinds = facts["v"] + (facts["d"] > 0)  # the end is a token too
         n_tokens, n_known, base, found = grams.scores(told, facts["n"], n_kinds, len(left), facts["d"])
+        del grams
+        W.give_back()
         return pa.table([left.column("id"), *(pa.array(x) for x in (n_tokens, n_known, np.full(len(left), facts["n"]), base, found))], _SCORES)
 
     return dealt.groupBy("block").cogroup(known.groupBy("at")).applyInArrow(score, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -52,6 +52,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iter
         if end > at:
             yield batch.slice(at, end - at)
         at = end
+    give_back()
 
 
 def text_buffer(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,12 +85,25 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes (with ``lower``: A-Z as a-z)."""
-    up, down = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_BYTE[_LOWER] if lower else _BYTE)[data] * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, chunk: int = 1 << 19) -> np.ndarray:
+    """A 64-bit hash of each word's bytes (with ``lower``: A-Z as a-z). The bytes are taken in chunks that end between
+    words, so that 8-byte numbers are held for a chunk only."""
+    table, out = (_BYTE[_LOWER] if lower else _BYTE), np.empty(len(starts), np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data) + 1, chunk)), len(starts)))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        lo, hi = int(starts[a]), int(ends[b - 1])
+        up, down = _power(hi - lo + 1)
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(table[data[lo:hi]] * up[:-1], out=total[1:])
+        s, e = starts[a:b] - lo, ends[a:b] - lo
+        out[a:b] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+    return out
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker lives on for other stages."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
 
 
 def rolling(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
