@@ -1,17 +1,23 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Corpus and benchmark are cut into passages, weighted by TF-IDF with document frequencies counted over the whole
-corpus. A distributed randomised SVD of the passages gives a latent space; every window of every document is compared
-with every benchmark passage by cosine there and in all words, and candidates are checked by their longest common
-subsequence of words and by their answers. Windows whose weight lies too little in words of the benchmark can't reach the cosine (it is at
-most the share of their norm in these words) and are passed over before they are projected, so the cost follows the
-corpus, not corpus times benchmark. The benchmark is taken in blocks, whose size bounds all that tasks are sent.
+The corpus is cut into passages, which are rows of a TF-IDF matrix over hashed words, with document frequencies counted
+over the whole corpus. Its randomised SVD takes two scans, however long the benchmark: the first counts words and
+applies A'A to random vectors (without weights, as they aren't known yet), the second applies the weighted A'A to an
+orthonormal basis of that, and the small eigenproblem of the projection gives singular vectors and values. Tasks send
+packed partial sums, whose size doesn't depend on the input.
+
+A third scan searches. Every benchmark passage is compared with the windows of the documents by cosine, in the latent
+space and in all words (the larger counts); candidates are checked by their longest common subsequence of words and by
+their answers. Windows that can't pass the subsequence check aren't compared: of an item's rarest words, so many must be
+near each other that those missing could all be among the words that the check allows to be missing. An index of these
+words is all that a token meets, so the cost follows the corpus, not corpus times benchmark, and nothing is lost by it.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.llm import words as W
-from spanweave.session import materialize, read_table
+from spanweave.session import read_table
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x30:0x3A], _FOLD[0x61:0x7B], _FOLD[0x80:] = np.arange(0x30, 0x3A), np.arange(0x61, 0x7B), np.arange(0x80, 0x100)
@@ -53,51 +59,194 @@ def common_subsequence(a: list[int], b: list[int]) -> np.ndarray:
     return np.cumsum(bits)
 
 
-#: Up to this many words of a block, the products of the passages are summed word by word, which is quicker.
-_SQUARE = 5000
-
-
-class Latent:
-    """What tasks need of one block of benchmark passages: words, weights, and after fit() the latent space."""
-
-    def __init__(self, items: list[list[int]]):
-        self.items = items
-        self.vocabulary = np.unique(np.array([w for x in items for w in x], np.uint64))
-        self.idf = np.ones(len(self.vocabulary))
-        self.other = 1.0
-        self.basis = np.zeros((len(self.vocabulary), 0))
+_BITS, _RANK_BITS = 18, 15  # hashed words: for frequencies, and as columns of the matrix
+_ALL, _COLUMNS = 1 << _BITS, 1 << _RANK_BITS
+_PART = 1 << 13  # numbers of a partial sum in one row
+
+
+def _passages(texts, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words of each passage, sorted, one row each; and which of them come first among equals."""
+    h, at = plain_words(texts)
+    n = -(-np.diff(at) // window)
+    lo = W.ranges(np.zeros(len(n), np.int64), n) * window + np.repeat(at[:-1], n)
+    place = lo[:, None] + np.arange(window)
+    there = place < np.repeat(at[1:], n)[:, None]
+    words = np.full(place.shape, _ALL, np.int32)
+    words[there] = (h & np.uint64(_ALL - 1)).astype(np.int32)[place[there]]
+    words.sort(axis=1)
+    first = words < _ALL
+    first[:, 1:] &= words[:, 1:] != words[:, :-1]
+    return words, first
+
+
+def _gram(words: np.ndarray, weight: np.ndarray, basis: np.ndarray, into: np.ndarray) -> None:
+    """Adds A'(A basis) of these passages, rows scaled to unit length, to ``into`` (columns first)."""
+    for s in range(0, len(words), 4096):
+        w, x = words[s : s + 4096] & (_COLUMNS - 1), weight[s : s + 4096]
+        norm = np.sqrt((x * x).sum(axis=1))
+        x = x / np.maximum(norm, 1e-12)[:, None]
+        y = np.zeros((len(w), basis.shape[1]), np.float32)
+        for k in range(w.shape[1]):
+            y += x[:, k, None] * basis[w[:, k]]
+        row, col = np.nonzero(x)
+        w, x = w[row, col], x[row, col]
+        for j in range(basis.shape[1]):
+            into[j] += np.bincount(w, x * y[row, j], _COLUMNS)
+
+
+def _rows(kind: int, sums: np.ndarray) -> pa.RecordBatch:
+    flat = sums.astype(np.float64).reshape(-1)
+    parts = [flat[k : k + _PART].tobytes() for k in range(0, len(flat), _PART)]
+    return pa.RecordBatch.from_arrays([pa.array([kind << 32 | k for k in range(len(parts))], pa.int64()), pa.array(parts, pa.binary())], ["part", "sums"])
+
+
+def _added(partial: DataFrame, tasks: int) -> dict[int, np.ndarray]:
+    """Sums of each kind of ``part long, sums binary``. A task adds up the parts dealt to it as they come; what the
+    driver gets has the size of one partial sum."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, raw in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                x = np.frombuffer(raw)
+                have[part] = have[part] + x if part in have else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.int64()), pa.array([x.tobytes() for x in have.values()], pa.binary())], ["part", "sums"])
 
-    def index(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of each word in the vocabulary, or -1."""
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at, -1)
+    found = sorted(partial.repartition(tasks, "part").mapInArrow(add, "part long, sums binary").toArrow().to_pylist(), key=lambda r: r["part"])
+    kinds = {r["part"] >> 32 for r in found}
+    return {kind: np.concatenate([np.frombuffer(r["sums"]) for r in found if r["part"] >> 32 == kind]) for kind in kinds}
 
-    def vectors(self) -> np.ndarray:
-        x = np.zeros((len(self.items), len(self.vocabulary)))
-        for i, item in enumerate(self.items):
-            np.add.at(x[i], self.index(np.array(item, np.uint64)), 1.0)
-        return x * self.idf
 
-    def fit(self, sketch: np.ndarray) -> None:
-        q, r = np.linalg.qr(sketch)
-        self.basis = q[:, np.abs(np.diag(r)) > 1e-9 * max(1e-12, np.abs(np.diag(r)).max(initial=0))]
-        self.embed = self.basis * self.idf[:, None]
-        latent = self.vectors() @ self.basis
-        targets = latent / np.maximum(np.sqrt((latent * latent).sum(axis=1, keepdims=True)), 1e-12)
-        plain = self.vectors()
-        plain /= np.maximum(np.sqrt((plain * plain).sum(axis=1, keepdims=True)), 1e-12)
-        #: What one word adds to the latent and to the plain product with each benchmark passage: the latent space has
-        #: fewer dimensions than passages, so alone it would lose passages that lie in none of them.
-        self.gain = np.concatenate([self.embed @ targets.T, self.idf[:, None] * plain.T], axis=1).astype(np.float32)
+@dataclass
+class Space:
+    """TF-IDF weights of hashed words, and the right singular vectors of the passages (columns x rank) with their
+    singular values."""
 
+    idf: np.ndarray
+    vectors: np.ndarray
+    values: np.ndarray
 
-def _norms(latent: Latent, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Running sums of the squared weights of all words and of vocabulary words."""
-    known = np.where(idx >= 0, latent.idf[np.maximum(idx, 0)] ** 2, 0.0)
-    return (np.concatenate([[0], np.cumsum(np.where(idx >= 0, known, latent.other**2))]), np.concatenate([[0], np.cumsum(known)]))
 
+def latent_space(texts: DataFrame, window: int = 32, rank: int = 24, spare: int = 8, seed: int = 11, tasks: int = 16) -> Space:
+    """Randomised SVD of the passages (``window`` words each) of all rows of ``texts`` (a column ``text``)."""
+    width = rank + spare
+    omega = np.random.default_rng(seed).normal(size=(_COLUMNS, width)).astype(np.float32)
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, window: int = 32, stride: int = 8, rank: int = 256, cosine: float = 0.25, overlap: float = 0.6, tail: float = 0.25, block: int = 256) -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, z = np.zeros(_ALL + 1, np.int64), np.zeros((width, _COLUMNS))
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                words, first = _passages(part.column("text"), window)
+                df += np.bincount(words[first], minlength=_ALL + 1)
+                df[_ALL] += len(words)
+                _gram(words, first.astype(np.float32), omega, z)
+        if df[_ALL]:
+            yield _rows(0, df)
+            yield _rows(1, z)
+
+    got = _added(texts.select("text").mapInArrow(count, "part long, sums binary"), tasks)
+    if not got:
+        return Space(np.ones(_ALL, np.float32), np.zeros((_COLUMNS, 0), np.float32), np.zeros(0))
+    total = got[0][_ALL]
+    idf = (np.log((total + 1) / (got[0][:_ALL] + 1)) + 0.1).astype(np.float32)
+    basis = np.linalg.qr(got[1].reshape(width, _COLUMNS).T)[0].astype(np.float32)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, some = np.zeros((width, _COLUMNS)), False
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                words, first = _passages(part.column("text"), window)
+                some |= bool(len(words))
+                _gram(words, np.where(first, idf[words & (_ALL - 1)], np.float32(0)), basis, z)
+        if some:
+            yield _rows(1, z)
+
+    z = _added(texts.select("text").mapInArrow(project, "part long, sums binary"), tasks)[1].reshape(width, _COLUMNS).T
+    # Q'A'AQ is small; its eigenvectors turn the basis into singular vectors of A
+    small = basis.T.astype(np.float64) @ z
+    squares, turn = np.linalg.eigh((small + small.T) / 2)
+    keep = np.argsort(-squares)[:rank]
+    keep = keep[squares[keep] > 1e-9 * max(squares.max(), 1e-12)]
+    return Space(idf, (basis @ turn[:, keep]).astype(np.float32), np.sqrt(squares[keep]))
+
+
+class Items:
+    """Benchmark items with an index of the words that a place must hold for an item to be possible there."""
+
+    def __init__(self, table: pa.Table, space: Space, overlap: float, passage: int = 48, least: float = 0.2):
+        hashes, first = plain_words(table.column("text"))
+        answers, answer_first = plain_words(table.column("answer"))
+        some = np.flatnonzero(np.diff(first))
+        self.words = [hashes[first[i] : first[i + 1]] for i in some]
+        self.answers = [answers[answer_first[i] : answer_first[i + 1]].tolist() for i in some]
+        self.ids = [table.column("item_id")[int(i)].as_py() for i in some]
+        self.size = np.array([len(x) for x in self.words], np.int64)
+        self.need = np.zeros(len(some), np.int64)
+        self.passages: list[list[tuple]] = []
+        index = []
+        for i, x in enumerate(self.words):
+            # so many places of the item may be unmatched; of that many and ``need`` more, ``need`` are matched
+            spare = len(x) - math.ceil(overlap * len(x) - 1e-9)
+            self.need[i] = need = max(1, math.ceil(least * len(x)))
+            rare = np.lexsort((x, -space.idf[(x & np.uint64(_ALL - 1)).astype(np.int64)]))[: spare + need]
+            index.append(np.unique(x[rare]))
+            cut = [x[k : k + passage] for k in range(0, len(x), passage)]
+            self.passages.append([_vector(p, space) for p in cut if len(p) >= 8 or len(cut) == 1])
+        owner = np.repeat(np.arange(len(index)), [len(x) for x in index])
+        flat = np.concatenate(index) if index else np.zeros(0, np.uint64)
+        order = np.lexsort((owner, flat))
+        self.key, self.at = np.unique(flat[order], return_index=True)
+        self.at, self.owner = np.append(self.at, len(flat)), owner[order]
+
+    def places(self, h: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+        """``text, item, begin, end`` of the places that can hold an item, places that touch as one."""
+        near = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
+        p = np.flatnonzero(self.key[near] == h)
+        k = near[p]
+        n = self.at[k + 1] - self.at[k]
+        item, p = self.owner[W.ranges(self.at[k], n)], np.repeat(p, n)
+        order = np.argsort(item, kind="stable")
+        item, p = item[order], p[order]
+        text = np.searchsorted(at, p, side="right") - 1
+        last = np.arange(len(p)) + self.need[item] - 1
+        ok = last < len(p)
+        last = np.minimum(last, max(len(p) - 1, 0))
+        ok &= (item[last] == item) & (text[last] == text) & (p[last] - p <= window + 2 * self.size[item])
+        item, text, begin, end = item[ok], text[ok], p[ok], p[last[ok]] + 1
+        begin, end = np.maximum(begin - self.size[item], at[text]), np.minimum(end + self.size[item], at[text + 1])
+        new = np.ones(len(item), bool)
+        new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (begin[1:] > end[:-1])
+        lead = np.flatnonzero(new)
+        return text[lead], item[lead], begin[lead], end[np.append(lead[1:], len(item)) - 1] if len(lead) else end
+
+
+def _vector(words: np.ndarray, space: Space) -> tuple:
+    """Distinct words with their unit weights, and the unit latent vector."""
+    w, n = np.unique(words, return_counts=True)
+    x = n * space.idf[(w & np.uint64(_ALL - 1)).astype(np.int64)].astype(np.float64)
+    latent = x @ space.vectors[(w & np.uint64(_COLUMNS - 1)).astype(np.int64)]
+    return w, x / np.sqrt((x * x).sum()), latent / max(np.sqrt((latent * latent).sum()), 1e-12)
+
+
+def window_cosines(h: np.ndarray, passages: list[tuple], space: Space, window: int, stride: int) -> float:
+    """The largest cosine of a window of these words with one of the passages, in all words or in the latent space."""
+    idf = space.idf[(h & np.uint64(_ALL - 1)).astype(np.int64)].astype(np.float64)
+    lo = np.arange(0, max(1, len(h) - window + stride), stride)
+    hi = np.minimum(lo + window, len(h))
+    total = lambda x: np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)])
+    between = lambda x: x[hi] - x[lo]
+    norm = np.sqrt(np.maximum(between(total(idf * idf)), 1e-12))
+    latent = between(total(idf[:, None] * space.vectors[(h & np.uint64(_COLUMNS - 1)).astype(np.int64)]))
+    latent_norm = np.sqrt(np.maximum((latent * latent).sum(axis=1), 1e-12))
+    best = 0.0
+    for words, weights, vector in passages:
+        near = np.minimum(np.searchsorted(words, h), len(words) - 1)
+        plain = between(total(np.where(words[near] == h, idf * weights[near], 0.0))) / norm
+        best = max(best, float(plain.max()), float((latent @ vector / latent_norm).max()))
+    return best
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, window: int = 32, stride: int = 8, rank: int = 24, cosine: float = 0.25, overlap: float = 0.6, tail: float = 0.25, block: int = 32_768) -> DataFrame:
     """``id, item_id, overlap, cosine``: the benchmark items found in each document, each once (its best find).
 
     An item is found where a window of ``window`` words has a cosine of at least ``cosine`` with one of its passages,
@@ -107,174 +256,44 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Items and texts that are null or have no words are found nowhere. Rows with a null id give null ids; repeated rows
     give one result; of repeated items each has its own. Empty tables give an empty table; other columns don't matter.
-    Very long items are cut into passages of 48 words for retrieval, but checked as a whole.
+    Very long items are cut into passages of 48 words for retrieval, but checked as a whole. The corpus is scanned
+    twice for the latent space and once for each ``block`` of items, which bounds what tasks are sent.
     """
     spark = docs.sparkSession
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     answer = F.lit("") if answer_col is None else F.coalesce(benchmark[answer_col].cast("string"), F.lit(""))
     items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text].cast("string").alias("text"), answer.alias("answer")).where("text IS NOT NULL").distinct()
     n_blocks = max(1, math.ceil(items.count() / block))
-    items = materialize(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))), "items")
-    found = [_search_block(spark, texts, items.where(F.col("block") == b).orderBy("item_id", "text", "answer").toArrow(), window, stride, rank, cosine, overlap, tail) for b in range(n_blocks)]
-    found = [x for x in found if x is not None] or [spark.createDataFrame([], "id long, item_id long, overlap double, cosine double")]
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
+    space = latent_space(texts, window, rank)
+    out = spark.createDataFrame([], "id long, item_id long, overlap double, cosine double")
+    for b in range(n_blocks):
+        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).orderBy("item_id", "text", "answer").toArrow()
+        out = out.unionByName(_search(texts, Items(some, space, overlap), space, window, stride, cosine, overlap, tail))
     return out.groupBy("id", "item_id").agg(F.max("overlap").alias("overlap"), F.max("cosine").alias("cosine"))
 
 
-def _search_block(spark: SparkSession, texts: DataFrame, items: pa.Table, window: int, stride: int, rank: int, cosine: float, overlap: float, tail: float) -> DataFrame | None:
-    hashes, first = plain_words(items.column("text"))
-    answers, answer_first = plain_words(items.column("answer"))
-    whole = [hashes[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
-    wanted = [answers[a:b].tolist() for a, b in zip(answer_first[:-1], answer_first[1:], strict=True)]
-    ids = items.column("item_id").to_pylist()
-    pieces = [(i, x[k : k + 48]) for i, x in enumerate(whole) for k in range(0, len(x), 48) if len(x[k : k + 48]) >= 8 or k == 0]
-    pieces = [(i, x) for i, x in pieces if x]
-    if not pieces:
-        return None
-    owner = np.array([i for i, _ in pieces])
-    latent = Latent([x for _, x in pieces])
-    size = len(latent.vocabulary)
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(size, np.int64), 0
-        for batch in batches:
-            for part in W.slices(batch, "text"):
-                h, at = plain_words(part.column("text"))
-                own = np.repeat(np.arange(len(part)), np.diff(at))
-                passage = (np.arange(len(h)) - at[own]) // window + np.concatenate([[0], np.cumsum(-(-np.diff(at) // window))])[own]
-                n += int((-(-np.diff(at) // window)).sum())
-                idx = latent.index(h)
-                pairs = np.unique(passage[idx >= 0] * size + idx[idx >= 0])
-                df += np.bincount(pairs % size, minlength=size)
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], n))], ["word", "n"])
-
-    counts = texts.select("text").mapInArrow(frequencies, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # one row for each word of the block
-    df, total = np.zeros(size), 0
-    for word, n in counts:
-        if word < 0:
-            total = n
-        else:
-            df[word] = n
-    latent.idf = np.log((total + 1.0) / (df + 1.0)) + 0.1
-    latent.other = 0.75 * (math.log(total + 1.0) + 0.1)
-    probe = np.random.default_rng(11).normal(size=(size, min(rank, size)))
-    width = probe.shape[1]
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of A'A * probe, for the passages A that can reach the cosine with a passage of the benchmark."""
-        z, touched, used = np.zeros((size, width)), np.zeros(size, bool), 0
-        square = np.zeros(size * size if size <= _SQUARE else 0)
-        for batch in batches:
-            for part in W.slices(batch, "text"):
-                h, at = plain_words(part.column("text"))
-                idx = latent.index(h)
-                norm, own_norm = _norms(latent, idx)
-                n = -(-np.diff(at) // window)
-                lo = W.ranges(np.zeros(len(n), np.int64), n) * window + np.repeat(at[:-1], n)
-                hi = np.minimum(lo + window, np.repeat(at[1:], n))
-                near = np.flatnonzero((own_norm[hi] > own_norm[lo]) & (own_norm[hi] - own_norm[lo] >= cosine**2 * (norm[hi] - norm[lo])))
-                used += len(near)
-                for s in range(0, len(near), 512):
-                    some = near[s : s + 512]
-                    long = hi[some] - lo[some]
-                    w, row = idx[W.ranges(lo[some], long)], np.repeat(np.arange(len(some)), long)
-                    key, count = np.unique(row[w >= 0] * size + w[w >= 0], return_counts=True)
-                    row, w = key // size, key % size
-                    touched[w] = True
-                    weight = count * latent.idf[w]
-                    weight /= np.sqrt(np.bincount(row, weight * weight, len(some)))[row]
-                    words = np.bincount(row, minlength=len(some))
-                    begin = np.cumsum(words) - words
-                    if len(square):
-                        left, right = np.repeat(np.arange(len(w)), words[row]), W.ranges(begin[row], words[row])
-                        np.add.at(square, w[left] * size + w[right], weight[left] * weight[right])
-                    else:
-                        y = np.add.reduceat(weight[:, None] * probe[w], begin, axis=0)
-                        np.add.at(z, w, weight[:, None] * y[row])
-        if len(square):
-            z = square.reshape(size, size) @ probe
-        some = np.flatnonzero(touched)
-        if len(some):
-            word, k = np.repeat(some, width), np.tile(np.arange(width), len(some))
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(word, -1)), pa.array(np.append(k, 0)), pa.array(np.append(z[some].reshape(-1), used))], ["word", "k", "v"])
-
-    z = np.zeros((size, width))
-    # at most (words of the block) x rank rows, summed on the executors
-    sums = texts.select("text").mapInArrow(sketch, "word long, k long, v double").groupBy("word", "k").agg(F.sum("v").alias("v")).toArrow()
-    word, k, v = (sums.column(c).to_numpy() for c in ("word", "k", "v"))
-    z[word[word >= 0], k[word >= 0]] = v[word >= 0]
-    own = latent.vectors()
-    own /= np.maximum(np.sqrt((own * own).sum(axis=1, keepdims=True)), 1e-12)
-    share = max(1.0, v[word < 0].sum() / len(own))  # benchmark and corpus passages weigh the same in the space
-    latent.fit(z + share * (own.T @ (own @ probe)))
-
+def _search(texts: DataFrame, items: Items, space: Space, window: int, stride: int, cosine: float, overlap: float, tail: float) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, "text", 1 << 20):
+            for part in W.slices(batch, "text"):
                 h, at = plain_words(part.column("text"))
-                idx = latent.index(h)
-                norm, own_norm = _norms(latent, idx)
-                n = np.where(np.diff(at) > 0, np.maximum(1, -(-(np.diff(at) - window) // stride) + 1), 0)
-                lo = W.ranges(np.zeros(len(n), np.int64), n) * stride + np.repeat(at[:-1], n)
-                doc = np.repeat(np.arange(len(part)), n)
-                hi = np.minimum(lo + window, at[1:][doc])
-                near = np.flatnonzero(own_norm[hi] - own_norm[lo] >= cosine**2 * (norm[hi] - norm[lo]))
-                best: dict[tuple[int, int], list] = {}
-                # products by steps of ``stride`` words; a window is the sum of its steps
-                steps = -(-np.diff(at) // stride)
-                first_step = np.concatenate([[0], np.cumsum(steps)])
-                last = int(first_step[-1])
-                lead = first_step[doc] + (lo - at[doc]) // stride
-                end = first_step[1:][doc]
-                wanted_step = np.zeros(last + 1, bool)
-                for k in range(window // stride):
-                    wanted_step[np.minimum(lead + k, end)[near]] = True
-                wanted_step[-1] = False
-                own = np.repeat(np.arange(len(part)), np.diff(at))
-                step = first_step[own] + (np.arange(len(h)) - at[own]) // stride
-                use = np.flatnonzero((idx >= 0) & wanted_step[step])
-                product = np.zeros((last + window // stride, latent.gain.shape[1]), np.float32)
-                if len(use):
-                    begin = np.flatnonzero(np.concatenate([[True], np.diff(step[use]) > 0]))
-                    product[step[use][begin]] = np.add.reduceat(latent.gain[idx[use]], begin, axis=0)
-                for s in range(0, len(near), 4096):
-                    some = near[s : s + 4096]
-                    like = product[lead[some]].copy()
-                    for k in range(1, window // stride):
-                        inside = lead[some] + k < end[some]
-                        like[inside] += product[lead[some][inside] + k]
-                    like = np.maximum(like[:, : len(owner)], like[:, len(owner) :])
-                    like /= np.sqrt(np.maximum(norm[hi[some]] - norm[lo[some]], 1e-12))[:, None]
-                    r, t = np.nonzero(like >= cosine)
-                    for w, i, c in zip(some[r].tolist(), owner[t].tolist(), like[r, t].tolist(), strict=True):
-                        best.setdefault((int(doc[w]), i), []).append((c, int(lo[w])))
                 out = []
-                for (d, i), places in best.items():
-                    item, top, spans = whole[i], 0.0, []
-                    for _, p in sorted(places, key=lambda x: x[1]):  # windows that touch are checked together
-                        a, b = max(at[d], p - len(item)), min(at[d + 1], p + window + len(item))
-                        if spans and a <= spans[-1][1]:
-                            spans[-1][1] = max(b, spans[-1][1])
-                        else:
-                            spans.append([a, b])
-                    for a, b in spans:
-                        around = h[a:b].tolist()
-                        lengths = common_subsequence(item, around)
-                        share = lengths[-1] / len(item)
-                        if share < overlap or share <= top:
-                            continue
-                        if wanted[i]:
-                            right = common_subsequence(wanted[i], around)[-1] == len(wanted[i])
-                        else:
-                            end = item[-max(1, math.ceil(tail * len(item))) :]
-                            right = common_subsequence(end, around)[-1] >= overlap * len(end)
-                        if right:
-                            top = float(share)
-                    if top:
-                        out.append((part.column("id")[d].as_py(), ids[i], top, max(c for c, _ in places)))
+                places = items.places(h, at, window) if len(items.key) else ()
+                for d, i, a, b in zip(*(x.tolist() for x in places), strict=True):
+                    like = window_cosines(h[a:b], items.passages[i], space, window, stride)
+                    if like < cosine:
+                        continue
+                    item, around = items.words[i].tolist(), h[a:b].tolist()
+                    share = common_subsequence(item, around)[-1] / len(item)
+                    if share < overlap:
+                        continue
+                    if items.answers[i]:
+                        right = common_subsequence(items.answers[i], around)[-1] == len(items.answers[i])
+                    else:
+                        end = item[-max(1, math.ceil(tail * len(item))) :]
+                        right = common_subsequence(end, around)[-1] >= overlap * len(end)
+                    if right:
+                        out.append((part.column("id")[d].as_py(), items.ids[i], float(share), like))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["id", "item_id", "overlap", "cosine"])
 
