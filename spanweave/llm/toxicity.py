@@ -1,11 +1,12 @@
 """Toxicity by compression distance.
 
-Separate zstandard dictionaries are trained on toxic and on ordinary text. A window of a document is compressed with
-the ordinary dictionary, and with the ordinary one extended by the toxic one (their entropy tables are the same, so
-lengths differ only by what the toxic text adds): the bytes saved measure how toxic it reads. Window differences of a
+Separate zstandard dictionaries are trained on ordinary and on toxic text. A window of a document is compressed with the
+ordinary dictionary, and with the ordinary one and the toxic one behind each other (their entropy tables are the same,
+so lengths differ only by what the toxic text adds): the bytes saved measure how toxic it reads. Window differences of a
 document become a score by thresholds and weights calibrated on labelled documents.
 
-A toxic document is mostly ordinary text, so the toxic dictionary is trained on those fragments of toxic documents
+A toxic document is mostly ordinary text. A dictionary of its windows holds the same ordinary words as the other one, and
+the difference of two such lengths is noise; so the toxic dictionary is trained on those fragments of toxic documents
 that are in excess there, judged by their five- and six-character runs.
 """
 
@@ -98,18 +99,23 @@ def _excess(texts: list[str], labels: np.ndarray, least: int) -> list[str]:
     return sorted(words, key=lambda w: (words[w], w))
 
 
-def fit_toxicity(texts: list[str], labels: np.ndarray, width: int = 12, ordinary_bytes: int = 65536, toxic_bytes: int = 16384) -> ToxicityModel:
-    """Dictionaries and calibration from labelled texts. Up to eight windows of each ordinary text, evenly spread,
-    train the ordinary dictionary; fragments in excess train the toxic one."""
+def _trained(size: int, samples: list[bytes]) -> bytes:
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:  # too little text: an untrained dictionary of that text
+        return b" ".join(samples)[-size:]
+
+
+def fit_toxicity(texts: list[str], labels: np.ndarray, width: int = 12, ordinary_bytes: int = 65536, toxic_bytes: int = 16384, train_bytes: int = 8 << 20) -> ToxicityModel:
+    """Dictionaries and calibration from labelled texts. Windows of all ordinary texts, evenly spread where they are
+    more than ``train_bytes``, train the ordinary dictionary; fragments in excess train the toxic one."""
     labels = np.asarray(labels, int)
     if not len(texts):
         return ToxicityModel(b" " * 64, b"", width, np.zeros(17), np.ones(17), np.zeros(18))
-    windows = [w for t, label in zip(texts, labels.tolist(), strict=True) if not label for ws in [_windows(t, width)] for w in ws[:: max(1, len(ws) // 8)] if w]
-    try:
-        ordinary = zstandard.train_dictionary(ordinary_bytes, windows).as_bytes()
-    except zstandard.ZstdError:  # too little text: an untrained dictionary of that text
-        ordinary = (b" ".join(windows) + b" " * 64)[-ordinary_bytes:]
-    toxic = " ".join(_excess(texts, labels, max(3, int(labels.sum()) // 50))).encode()[-toxic_bytes:]
+    windows = [w for t, label in zip(texts, labels.tolist(), strict=True) if not label for w in _windows(t, width) if w]
+    ordinary = _trained(ordinary_bytes, windows[:: max(1, -(-sum(map(len, windows)) // train_bytes))]) + b" " * 64
+    fragments = [f" {w} ".encode() for w in _excess(texts, labels, max(3, int(labels.sum()) // 50))]
+    toxic = _trained(toxic_bytes, fragments * 3)
     distance = Distance(ordinary, toxic, width)
     x = np.array([distance.features(t) for t in texts])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3

@@ -153,6 +153,14 @@ def test_elias_fano(tmp_path):
             assert [x >= 0 for x in seq.within(ask, lo, hi)] == [a in values[b:e] for a, b, e in zip(ask, lo, hi)]
 
 
+def test_labelled_sample(spark):
+    some = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, None), (4, "d" * 50), (5, "e")], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1), (4, 0), (5, 7), (None, 1)], "doc_id long, toxic int")
+    sample = lambda **k: sorted(map(tuple, labels.labelled_sample(some, marks, "toxic", F.lit(True), 10, **k).collect()))
+    assert sample() == [(1, "a", 0), (2, "c", 1), (4, "d" * 50, 0)]
+    assert sum(len(t) for _, t, _ in sample(most_bytes=10)) <= 10
+
+
 def test_toxicity(spark, rows):
     rng = random.Random(3)
     texts = [prose(100 + k, 80) for k in range(400)]
