@@ -199,7 +199,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         width = max(1, -(-int(a.max()).bit_length() // 8)) if len(a) else 1
         out += [struct.pack("<qB", len(a), width), np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -458,7 +458,7 @@ def frequent_words(texts: DataFrame, total_bytes: int, most: int, sample_bytes:
     return w[order], (1 + n * share // most)[order]
 
 
-def score_documents(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 6 << 20, most: int = 200_000) -> DataFrame:
+def score_documents(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20, most: int = 200_000) -> DataFrame:
     """``id, n_tokens, n_known, train_tokens, base_score, score`` of each row, from a model learned on the rows that
     ``may_learn`` (an expression on the column ``id``) allows.
 
