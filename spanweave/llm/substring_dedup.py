@@ -4,8 +4,9 @@ into maximal removal intervals.
 How the plan stays linear in the text. Documents are dealt into blocks of a few megabytes by a hash of id and text.
 Two equal windows share their *anchor*: the smallest hash among the word runs of ``anchor`` words inside the window.
 So anchors (about one for every eight words) are counted first, and only windows whose anchor occurs twice are hashed
-and counted themselves. Both counts see a key at most once for each block, so that a passage that a third of all
-documents share is as cheap as any other: no group is ever collected, and no row is left out.
+and counted themselves. An anchor that occurs twice within a slice of a task is known to be shared: it is told to the
+others once for the slice, and its own rows need no counting. Windows are counted once for each block. So a passage that
+a third of all documents share costs a row for each slice and block, not for each document, and no row is left out.
 """
 
 from __future__ import annotations
@@ -107,6 +108,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table. Other columns of ``docs`` don't matter, whatever their names. Equality of windows is equality of 96 bits of
     two independent rolling hashes.
     """
+    if not anchor <= width <= 255 + anchor:
+        raise ValueError("a window must hold its anchor, in one of 256 places")
     carry = list(carry or [id_col])
     base = docs.select(F.struct(*[docs[c] for c in carry]).alias("row"), docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -127,14 +130,17 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 a, b = mine[order], owner[order]
                 new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
                 a, b = a[new], b[new]
-                lead = np.concatenate([[True], a[1:] != a[:-1]])  # the count of the slice goes with one of its rows
-                n = np.where(lead, counts[np.searchsorted(values, a)], 0)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "block", "n"])
-
-    # a key has at most one row for each slice and block, so a window over it stays small
-    found = base.select("block", "text").mapInArrow(find_anchors, "anchor long, block int, n int")
-    found = found.withColumn("times", F.sum("n").over(Window.partitionBy("anchor")))
-    shared = found.where("times > 1").select("block", "anchor")
+                sure = counts[np.searchsorted(values, a)] > 1
+                tell = np.unique(a[sure])
+                key = np.concatenate([np.where(sure, W.mix(a + b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), a), tell])
+                n = np.concatenate([np.where(sure, 2, 1), np.full(len(tell), 2)])
+                a, b = np.concatenate([a, tell]), np.concatenate([b, np.full(len(tell), -1)])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(a.view(np.int64), mask=a == key), pa.array(b.astype(np.int32)), pa.array(n.astype(np.int32))], ["key", "anchor", "block", "n"])
+
+    # rows of a shared anchor have keys of their own, but for the one that tells the others (block -1)
+    found = base.select("block", "text").mapInArrow(find_anchors, "key long, anchor long, block int, n int")
+    found = found.withColumn("times", F.sum("n").over(Window.partitionBy("key")))
+    shared = found.where("times > 1 AND block >= 0").select("block", F.coalesce("anchor", "key").alias("anchor"))
 
     texts = base.repartition(blocks, "block")
 

@@ -41,7 +41,8 @@ def _record(page_id: int | None, url: str | None, payload: bytes, kind: str, ref
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:x-page:{'none' if refers is None else refers}>"]
         body = b""
     else:
-        head.append("Content-Type: text/html; charset=utf-8")
+        head.append("Content-Type: application/http; msgtype=response")
+        body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -51,28 +52,29 @@ def _parse(raw: bytes) -> tuple:
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
     page = lambda x: None if x is None or x.endswith(":none>") else int(x[len("<urn:x-page:") : -1])
     digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-    payload = rest[: int(fields["Content-Length"])]
+    payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
     kind = fields["WARC-Type"]
     return page(fields["WARC-Record-ID"]), kind, page(fields.get("WARC-Refers-To")), int(fields["X-Payload-Length"]), digest, fields.get("WARC-Target-URI"), payload if kind == "response" else None
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", revisit_bytes: int = 1000) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", revisit_bytes: int = 1000, archive_bytes: int = 1 << 30) -> DataFrame:
     """Write one record for each row into archives under ``folder``; returns the index (INDEX), written as Parquet.
 
     Of rows with equal payloads (UTF-8 bytes of the body; null: empty) of at least ``revisit_bytes`` bytes, the one
-    with the largest id becomes the response and the others revisit it; of equal largest ids exactly one row is the
-    response. Smaller payloads are all responses. Null ids rank lowest, a null URL is left out of the record. An empty
-    table gives an empty index. Other columns don't matter.
+    with the largest id becomes the response and the others revisit it; rows that share the largest id are all
+    responses. Smaller payloads are all responses. Null ids rank lowest, a null URL is left out of the record. An empty
+    table gives an empty index. Other columns don't matter. A task begins another archive after ``archive_bytes``.
     """
     body = F.coalesce(pages[body_col].cast("string"), F.lit(""))
-    rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), body.alias("body"), F.monotonically_increasing_id().alias("at"))
+    rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), body.alias("body"))
     large = F.octet_length("body") >= revisit_bytes
-    # a key that only large payloads can share: small ones never meet in one task
-    rows = rows.withColumn("same", F.when(large, F.unhex(F.sha2("body", 256))).otherwise(F.encode(F.col("at").cast("string"), "UTF-8")))
-    lead = rows.where(large).groupBy("same").agg(F.max(F.struct("page_id", "at")).alias("lead"))
+    # a key that only large payloads can share: small ones are dealt by what they are, and match nothing
+    own = F.encode(F.concat(F.lit("small "), F.xxhash64("page_id", "url", "body").cast("string")), "UTF-8")
+    rows = rows.withColumn("same", F.when(large, F.unhex(F.sha2("body", 256))).otherwise(own))
+    lead = rows.where(large).groupBy("same").agg(F.max("page_id").alias("lead"))
     rows = rows.join(lead.hint("shuffle_hash"), "same", "left")
-    kind = F.when(F.col("lead").isNull() | (F.col("lead.at") == F.col("at")), "response").otherwise("revisit")
-    rows = rows.select("page_id", "url", "body", kind.alias("kind"), F.when(kind == "revisit", F.col("lead.page_id")).alias("refers"))
+    revisit = F.col("lead").isNotNull() & ~F.col("lead").eqNullSafe(F.col("page_id"))
+    rows = rows.select("page_id", "url", "body", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("lead")).alias("refers"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(folder)
@@ -84,6 +86,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 page_id, url, body, kind, refers = row
                 payload = body.encode()
                 member = gzip.compress(_record(page_id, url, payload, kind, refers), 6, mtime=0)
+                if out is not None and at >= archive_bytes:
+                    out.close()
+                    name, at, out = f"pages-{uuid.uuid4().hex}.warc.gz", 0, None
                 if out is None:
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)
                 out.write(member)
