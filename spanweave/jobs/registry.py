@@ -148,41 +148,70 @@ def _compat(spark: SparkSession, d: str) -> DataFrame:
     return chaining.compat_pairs(A.with_ranges(_pairs(spark, d, "customer")))
 
 
-@query("compat_pairs", f"{_p('customer')}, {_COMPAT} SELECT * FROM k")
+@query("compat_pairs", f"{_p('customer')}, {_COMPAT} SELECT u, v, direction, count(*) AS pairs, CAST(sum(CAST(ok AS INT)) AS BIGINT) AS compatible, CAST(sum(CASE WHEN ok THEN illu1 * 31 + illu2 ELSE 0 END) AS BIGINT) AS which FROM k GROUP BY u, v, direction")
 def compat_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _compat(spark, d)
+    """Of each edge and direction: pairs of anchors, how many agree, and a sum that tells which."""
+    ok = F.col("ok").cast("long")
+    return _compat(spark, d).groupBy("u", "v", "direction").agg(F.count("*").alias("pairs"), F.sum(ok).alias("compatible"), F.sum(ok * (F.col("illu1") * 31 + F.col("illu2"))).alias("which"))
+
+
+_CHAIN = f"""{_HUNG}, {_COMPAT},
+n AS (SELECT u, v, direction, illu_id, CAST(floor(score) AS BIGINT) AS sc, is_primary AS pr, row_number() OVER (PARTITION BY u, v, direction ORDER BY u_n_start, u_n_end, illu_id) AS ix FROM p),
+g AS (SELECT u, v, direction, illu_id AS last, ix, sc AS score, [illu_id] AS ids, [ix] AS rv FROM n
+ UNION ALL SELECT g.u, g.v, g.direction, k.illu2, n.ix, g.score + n.sc, list_append(g.ids, k.illu2), list_prepend(n.ix, g.rv) FROM g JOIN k ON k.ok AND k.u = g.u AND k.v = g.v AND k.direction = g.direction AND k.illu1 = g.last
+ JOIN n ON n.u = g.u AND n.v = g.v AND n.direction = g.direction AND n.illu_id = k.illu2),
+pe AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY u, v, direction, last ORDER BY score DESC, rv) AS rn FROM g) WHERE rn = 1),
+pt AS (SELECT *, max(score) OVER w AS top, row_number() OVER (PARTITION BY u, v, direction ORDER BY score DESC, ix) AS first FROM pe WINDOW w AS (PARTITION BY u, v, direction)),
+cd AS (SELECT u, v, direction, ids, score, row_number() OVER (PARTITION BY u, v, direction ORDER BY CASE WHEN first = 1 THEN 0 ELSE 1 END, ix) AS pos FROM pt WHERE first = 1 OR score * 4 > top * 3),
+gr AS (SELECT u, v, direction, pos, ids AS taken, true AS used FROM cd WHERE pos = 1
+ UNION ALL SELECT c.u, c.v, c.direction, c.pos, CASE WHEN list_has_any(gr.taken, c.ids) THEN gr.taken ELSE list_concat(gr.taken, c.ids) END, NOT list_has_any(gr.taken, c.ids) FROM gr JOIN cd c ON c.u = gr.u AND c.v = gr.v AND c.direction = gr.direction AND c.pos = gr.pos + 1),
+ch AS (SELECT cd.*, CAST(row_number() OVER (PARTITION BY cd.u, cd.v, cd.direction ORDER BY cd.pos) - 1 AS INT) AS chain, count(*) OVER (PARTITION BY cd.u, cd.v, cd.direction) AS cnt FROM cd JOIN gr ON gr.used AND gr.u = cd.u AND gr.v = cd.v AND gr.direction = cd.direction AND gr.pos = cd.pos),
+pl AS (SELECT nano_id, illu_id, row_number() OVER (PARTITION BY nano_id ORDER BY n_start, n_end, illu_id) AS place, count(*) OVER (PARTITION BY nano_id) AS places FROM m),
+un AS (SELECT u, v, direction, chain, cnt, len(ids) AS anchors, unnest(ids) AS illu_id, generate_subscripts(ids, 1) AS j FROM ch),
+ul AS (SELECT un.*, n.pr, a.place AS pu, a.places AS nu, CASE WHEN un.direction THEN b.place ELSE b.places + 1 - b.place END AS pv, b.places AS nv FROM un JOIN n USING (u, v, direction, illu_id) JOIN pl a ON a.nano_id = u AND a.illu_id = un.illu_id JOIN pl b ON b.nano_id = v AND b.illu_id = un.illu_id),
+ug AS (SELECT *, pu - 1 > coalesce(lag(pu) OVER w, 0) AND pv - 1 > coalesce(lag(pv) OVER w, 0) OR (j = 1 AND pu <> 1 AND pv <> 1) OR (j = anchors AND pu <> nu AND pv <> nv) AS gap FROM ul WINDOW w AS (PARTITION BY u, v, direction, chain ORDER BY j)),
+pm AS (SELECT u, v, direction, chain, (bool_or(pr) OR (chain = 0 AND max(anchors) > 2)) AND NOT (max(cnt) = 1 AND bool_or(gap)) AS is_primary FROM ug GROUP BY u, v, direction, chain),
+en AS (SELECT ch.u, ch.v, ch.direction, ch.chain, ch.ids, CAST(len(ch.ids) AS INT) AS anchors, ch.score, pm.is_primary, round(a.u_left, 6) AS l1, round(z.u_right, 6) AS r1,
+ round(CASE WHEN ch.direction THEN a.v_left ELSE a.v_right END, 6) AS l2, round(CASE WHEN ch.direction THEN z.v_right ELSE z.v_left END, 6) AS r2
+ FROM ch JOIN pm USING (u, v, direction, chain) JOIN h a ON a.u = ch.u AND a.v = ch.v AND a.illu_id = ch.ids[1] JOIN h z ON z.u = ch.u AND z.v = ch.v AND z.illu_id = ch.ids[-1]),
+od AS (SELECT u, v, direction, chain, ids, anchors, score, is_primary, CASE WHEN fw THEN u ELSE v END AS "start", CASE WHEN fw THEN v ELSE u END AS "end", round(abs(l1 - l2), 4) AS left_offset, round(abs(r1 - r2), 4) AS right_offset, inside AS is_contained
+ FROM (SELECT *, (l1 <= l2 AND r1 <= r2) OR (NOT (l1 >= l2 AND r1 >= r2) AND l1 > l2) AS fw, (l1 <= l2 AND r1 <= r2) OR (l1 >= l2 AND r1 >= r2) AS inside FROM en)),
+o1 AS (SELECT * FROM (SELECT *, bool_or(is_primary) OVER (PARTITION BY u, v) AS ap FROM od) WHERE is_primary OR NOT ap),
+rt AS (SELECT * FROM (SELECT *, bool_or(anchors > 1) OVER (PARTITION BY u, v) AS al FROM o1) WHERE anchors > 1 OR NOT al),
+cs AS (SELECT u, v, count(*) > 1 OR NOT bool_or(is_primary) AS shadow, CASE WHEN count(*) > 1 OR NOT bool_or(is_primary) THEN 0 ELSE max(score) END AS weight, CASE WHEN count(DISTINCT direction) = 1 THEN bool_and(direction) END AS consensus FROM rt GROUP BY u, v)"""
+
+
+def _chains(spark: SparkSession, d: str, reads: str = "customer") -> DataFrame:
+    m = _matches(spark, d, reads)
+    return chaining.chains(A.with_ranges(A.interval_pairs(A.placed(m, A.vertices(m)))))
 
 
-_CHAIN = f"""{_COMPAT},
-g AS (SELECT u, v, direction, illu_id AS last, CAST(floor(score) AS BIGINT) AS score, 1 AS n FROM p
- UNION ALL SELECT g.u, g.v, g.direction, k.illu2, g.score + CAST(floor(p.score) AS BIGINT), g.n + 1 FROM g JOIN k ON k.ok AND k.u = g.u AND k.v = g.v AND k.direction = g.direction AND k.illu1 = g.last
- JOIN p ON p.u = g.u AND p.v = g.v AND p.illu_id = k.illu2)"""
+@query("chain_best", f"{_p('customer')}, {_CHAIN} SELECT u, v, direction, score AS best_score FROM od WHERE chain = 0")
+def chain_best(spark: SparkSession, d: str) -> DataFrame:
+    return _chains(spark, d).where("chain = 0").select("u", "v", "direction", F.col("score").alias("best_score"))
 
 
-@query("chain_best", f"{_p('customer')}, {_CHAIN} SELECT u, v, direction, max(score) AS best_score FROM g GROUP BY u, v, direction")
-def chain_best(spark: SparkSession, d: str) -> DataFrame:
-    return chaining.best_chains(A.with_ranges(_pairs(spark, d, "customer"))).select("u", "v", "direction", "best_score")
+_ORDER = ["u", "v", "direction", "chain", "anchors", "score", "is_primary", "start", "end", "left_offset", "right_offset", "is_contained"]
+_ORDER_SQL = ", ".join(f'"{c}"' for c in _ORDER) + ", CAST(ids[1] AS BIGINT) AS first_anchor, CAST(ids[-1] AS BIGINT) AS last_anchor"
 
 
-_CHAINS = """s AS (SELECT u, v, direction, CAST(sum(CAST(floor(score) AS BIGINT)) AS BIGINT) AS best_score, count(*) AS chain_length, bool_or(is_primary) AS is_primary FROM p GROUP BY u, v, direction)"""
+def _order(orders: DataFrame) -> DataFrame:
+    return orders.select(*_ORDER, F.element_at("ids", 1).alias("first_anchor"), F.element_at("ids", -1).alias("last_anchor"))
 
 
-def _whole_chains(spark: SparkSession, d: str) -> DataFrame:
-    """All anchors of an edge and direction as one chain: what the chain filters are tried on."""
-    return _pairs(spark, d, "customer").groupBy("u", "v", "direction").agg(F.sum(F.floor("score").cast("long")).alias("best_score"), F.count("*").alias("chain_length"), F.max("is_primary").alias("is_primary"))
+@query("chain_orders", f"{_p('customer')}, {_CHAIN} SELECT {_ORDER_SQL} FROM od")
+def chain_orders(spark: SparkSession, d: str) -> DataFrame:
+    return _order(_chains(spark, d))
 
 
-@query("any_primary_retain", f"""{_p('customer')}, {_CHAINS}, t AS (SELECT *, bool_or(is_primary) OVER (PARTITION BY u, v) AS ap FROM s),
-t2 AS (SELECT *, bool_or(chain_length > 1) OVER (PARTITION BY u, v) AS al FROM t WHERE is_primary OR NOT ap)
-SELECT u, v, direction, best_score, chain_length, is_primary FROM t2 WHERE chain_length > 1 OR NOT al""")
+@query("any_primary_retain", f"{_p('customer')}, {_CHAIN} SELECT {_ORDER_SQL} FROM rt")
 def any_primary_retain(spark: SparkSession, d: str) -> DataFrame:
-    return chaining.retain_primary(_whole_chains(spark, d))
+    return _order(chaining.retain_primary(_chains(spark, d)))
 
 
-@query("consensus", f"""{_p('customer')}, {_CHAINS} SELECT u, v, count(*) > 1 OR NOT bool_or(is_primary) AS shadow,
-CASE WHEN count(*) > 1 OR NOT bool_or(is_primary) THEN 0 ELSE max(best_score) END AS weight, CASE WHEN count(DISTINCT direction) = 1 THEN bool_and(direction) END AS consensus FROM s GROUP BY u, v""")
+@query("consensus", f"{_p('customer')}, {_CHAIN} SELECT * FROM cs")
 def consensus(spark: SparkSession, d: str) -> DataFrame:
-    return chaining.consensus(_whole_chains(spark, d))
+    return chaining.consensus(chaining.retain_primary(_chains(spark, d)))
 
 
 @query("cooccurrence", f"{_m('customer')} SELECT DISTINCT a.nano_id AS u, b.nano_id AS v FROM m a JOIN m b USING (illu_id) WHERE a.nano_id < b.nano_id")
@@ -195,28 +224,67 @@ def merge_hits(spark: SparkSession, d: str) -> DataFrame:
     return A.merge_hits(align(spark, d))
 
 
-@query("sane_contraction", f"""{_p()}, {_HUNG}, {_CLASS},
-i AS (SELECT "start" AS s, "end" AS e, direction AS d FROM c WHERE is_contained),
-b AS (SELECT u AS s, v AS t, direction AS d, is_contained AS k, "start" AS st FROM c UNION ALL SELECT v, u, direction, is_contained, "start" FROM c),
-x AS (SELECT DISTINCT i.s, i.e FROM i JOIN b ON b.s = i.s AND b.t <> i.e LEFT JOIN b y ON y.s = i.e AND y.t = b.t
- WHERE y.d IS NULL OR (i.d = y.d) <> b.d OR (y.k AND y.st <> b.t))
-SELECT s, e FROM i ANTI JOIN x USING (s, e)""")
+_SANE = """so AS (SELECT *, "start" AS s, "end" AS e FROM rt WHERE is_contained AND is_primary),
+bo AS (SELECT u AS a, v AS b, rt.* FROM rt UNION ALL SELECT v, u, rt.* FROM rt),
+ne AS (SELECT u AS s, v AS t FROM cs WHERE NOT shadow UNION ALL SELECT v, u FROM cs WHERE NOT shadow),
+te AS (SELECT so.u, so.v, so.direction, so.chain, so.s, so.e, ne.t, f.direction AS fd, n.direction AS nd, f.is_contained AS fc, n.is_contained AS nc,
+ f."start" = ne.t AS fs, n."start" = ne.t AS ns, f.u = ne.t AS fb, n.u = ne.t AS nb, f."end" = ne.t AS fe, n."end" = ne.t AS ned, n.u IS NOT NULL AS has,
+ so.u <> so."end" AS ob, f.u <> f."end" AS fbe, so.left_offset AS ol, so.right_offset AS orr, f.left_offset AS fl, f.right_offset AS fr, n.left_offset AS nl, n.right_offset AS nr
+ FROM so JOIN ne ON ne.s = so.s AND ne.t <> so.e JOIN bo f ON f.a = so.s AND f.b = ne.t LEFT JOIN bo n ON n.a = so.e AND n.b = ne.t),
+sg AS (SELECT *, has AND ((direction = nd) = fd) AND CASE
+ WHEN fc AND nc THEN ns
+ WHEN fc THEN fe OR (CASE WHEN (NOT ned) <> (NOT direction AND ob) THEN ol ELSE orr END)
+   + (CASE WHEN (CASE WHEN ned THEN NOT direction ELSE direction END) <> (NOT fd AND fbe) THEN fl ELSE fr END) + (CASE WHEN NOT ned THEN nl ELSE nr END) < 300
+ WHEN nc THEN ns
+ ELSE ((fs <> (NOT fd AND fb)) <> (NOT direction)) = (ns <> (NOT nd AND nb)) END AS ok FROM te),
+st AS (SELECT u, v, direction, chain, s, e, t, bool_or(coalesce(ok, false)) AS ok FROM sg GROUP BY ALL),
+bad AS (SELECT DISTINCT u, v, direction, chain FROM st WHERE NOT ok),
+sc AS (SELECT u, v, s, e FROM (SELECT so.*, row_number() OVER (PARTITION BY u, v ORDER BY direction, chain) AS rn FROM so ANTI JOIN bad USING (u, v, direction, chain)) WHERE rn = 1)"""
+
+
+def _orders(spark: SparkSession, d: str, reads: str = "customer") -> DataFrame:
+    """Orders of the retained chains, written once for the several joins behind them."""
+    return materialize(chaining.retain_primary(_chains(spark, d, reads)), "orders")
+
+
+def _sane(spark: SparkSession, d: str) -> DataFrame:
+    orders = _orders(spark, d)
+    return contract.sane_contractions(orders, chaining.consensus(orders))
+
+
+@query("sane_contraction", f"{_p('customer')}, {_CHAIN}, {_SANE} SELECT u, v, s, e FROM sc")
 def sane_contraction(spark: SparkSession, d: str) -> DataFrame:
-    return contract.sane_contractions(materialize(_classes(spark, d), "classes"))
+    return _sane(spark, d).select("u", "v", "s", "e")
+
+
+_TARGET = """fl AS (SELECT nano_id, row_number() OVER (ORDER BY """ + _L + """) AS line FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nano_id ORDER BY """ + _L + """) AS r1 FROM f) WHERE r1 = 1)),
+up AS (SELECT s, e FROM (SELECT s, e, row_number() OVER (PARTITION BY s ORDER BY line, e) AS rn FROM sc JOIN fl ON fl.nano_id = e) WHERE rn = 1),
+re AS (SELECT s, e AS cur, 1 AS n, [s, e] AS seen, false AS circle FROM up UNION ALL SELECT re.s, up.e, n + 1, list_append(seen, up.e), list_contains(seen, up.e) FROM re JOIN up ON up.s = re.cur WHERE NOT circle),
+cy AS (SELECT DISTINCT s AS id FROM re WHERE circle AND cur = s),
+lo AS (SELECT id, (SELECT min(r.cur) FROM re r WHERE r.s = cy.id) AS low FROM cy),
+u2 AS (SELECT s, e FROM up WHERE s NOT IN (SELECT id FROM lo WHERE id = low)),
+w AS (SELECT s, e AS cur, 1 AS n FROM u2 UNION ALL SELECT w.s, u2.e, n + 1 FROM w JOIN u2 ON u2.s = w.cur),
+tg AS (SELECT s, arg_max(cur, n) AS target FROM w GROUP BY s)"""
+
 
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    first = A.vertices(A.filter_matches(align(spark, d, "customer"))).select(F.col("nano_id").alias("e"), "first_line")
+    return contract.targets(_sane(spark, d).join(first, "e"))
 
-@query("contraction_targets", f"""{_p('order')}, {_HUNG}, {_CLASS},
-i AS (SELECT "start" AS s, min("end") AS up FROM c WHERE is_contained GROUP BY 1),
-l AS (SELECT s, up FROM i WHERE up < s UNION ALL SELECT s, up FROM i WHERE up > s AND NOT EXISTS (SELECT 1 FROM i j WHERE j.up = i.s)),
-w AS (SELECT s, up, 1 AS n FROM l UNION ALL SELECT w.s, l.up, n + 1 FROM w JOIN l ON l.s = w.up)
-SELECT s, arg_max(up, n) AS target FROM w GROUP BY s""")
+
+@query("contraction_targets", f"{_p('customer')}, {_CHAIN}, {_SANE}, {_TARGET} SELECT s, target FROM tg")
 def contraction_targets(spark: SparkSession, d: str) -> DataFrame:
-    return contract.targets(_classes(spark, d, "order").where("is_contained").select(F.col("start").alias("s"), F.col("end").alias("e")))
+    return _targets(spark, d)
 
 
-@query("contraction_roots", ORACLES["contraction_targets"].replace("SELECT s, arg_max(up, n) AS target FROM w GROUP BY s", ", z AS (SELECT s, arg_max(up, n) AS target FROM w GROUP BY s) SELECT DISTINCT target AS id FROM z WHERE target NOT IN (SELECT s FROM z)"))
+@query("contraction_roots", f"{_p('customer')}, {_CHAIN}, {_SANE}, {_TARGET} SELECT DISTINCT target AS id FROM tg WHERE target NOT IN (SELECT s FROM tg)")
 def contraction_roots(spark: SparkSession, d: str) -> DataFrame:
-    return contract.roots(contraction_targets(spark, d))
+    return contract.roots(_targets(spark, d))
+
+
+@query("collected", f"{_p('customer')}, {_CHAIN}, {_SANE}, {_TARGET} SELECT target AS root, m.nano_id, m.illu_id, m.n_start, m.n_end FROM tg JOIN m ON m.nano_id = tg.s SEMI JOIN m r ON r.nano_id = tg.target AND r.illu_id = m.illu_id")
+def collected(spark: SparkSession, d: str) -> DataFrame:
+    return contract.collected(_targets(spark, d), _matches(spark, d, "customer"))
 
 
 # --- intervals

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,7 +11,8 @@ def filter_matches(align: DataFrame, least: int = 400, primary: int = 500) -> Da
     the primary flag (both at least ``primary``)."""
     span = F.col("i_end_x") - F.col("i_start")
     rows = align.where((F.col("matches") >= least) & (span >= least))
-    return rows.select("nano_id", "illu_id", "n_start", "n_end", "i_start", (F.col("i_end_x") - 1).alias("i_end"), (span / (F.col("n_end") - F.col("n_start") + 1)).alias("r_ratio"), "direction", F.col("matches").cast("long").alias("score"), ((span >= primary) & (F.col("matches") >= primary)).alias("is_primary"), "line")
+    own = [c for c in ("n_len",) if c in rows.columns]
+    return rows.select("nano_id", "illu_id", *own, "n_start", "n_end", "i_start", (F.col("i_end_x") - 1).alias("i_end"), (span / (F.col("n_end") - F.col("n_start") + 1)).alias("r_ratio"), "direction", F.col("matches").cast("long").alias("score"), ((span >= primary) & (F.col("matches") >= primary)).alias("is_primary"), "line")
 
 
 def first_match(rows: DataFrame) -> DataFrame:
@@ -22,8 +23,18 @@ def first_match(rows: DataFrame) -> DataFrame:
 
 
 def vertices(rows: DataFrame) -> DataFrame:
-    """One row for each read: ``length`` (its furthest match and a margin, where the table has no lengths) and first line."""
-    return rows.groupBy("nano_id").agg((F.max("n_end") + 51).cast("int").alias("length"), F.min("line").alias("first_line"))
+    """One row for each read: ``length`` (the table's own, ``n_len``; where it has none, the furthest match and a margin)
+    and first line. Of a read with several lengths, that of its first line."""
+    length = F.min_by("n_len", "line") if "n_len" in rows.columns else F.max("n_end") + 51
+    return rows.groupBy("nano_id").agg(length.cast("int").alias("length"), F.min("line").alias("first_line"))
+
+
+def placed(matches: DataFrame, reads: DataFrame) -> DataFrame:
+    """``matches`` with each read's ``length``, the ``place`` (from 1) of each match among its read's in the order of
+    ranges, and how many ``places`` there are. The window is over one read's anchors, each of which it has once."""
+    own = Window.partitionBy("nano_id")
+    rows = matches.withColumn("place", F.row_number().over(own.orderBy("n_start", "n_end", "illu_id"))).withColumn("places", F.count("*").over(own).cast("int"))
+    return rows.join(reads.select("nano_id", "length"), "nano_id")
 
 
 _SIDE = ["n_start", "n_end", "i_start", "i_end", "r_ratio", "direction", "score", "is_primary"]
@@ -32,13 +43,14 @@ _SIDE = ["n_start", "n_end", "i_start", "i_end", "r_ratio", "direction", "score"
 def interval_pairs(matches: DataFrame, least: int = 100) -> DataFrame:
     """The interval-overlap self-join of each anchor: pairs of reads (u < v) whose anchor intervals share more than
     ``least`` positions. An equi-join on the anchor with a residual predicate; a hot anchor is split by AQE."""
-    side = lambda p, k: matches.select("illu_id", F.col("nano_id").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in _SIDE])
+    kept = [*_SIDE, *[c for c in ("length", "place", "places") if c in matches.columns]]
+    side = lambda p, k: matches.select("illu_id", F.col("nano_id").alias(k), *[F.col(c).alias(f"{p}_{c}") for c in kept])
     a, b = side("u", "u"), side("v", "v")
     lo, hi = F.greatest("u_i_start", "v_i_start"), F.least("u_i_end", "v_i_end")
     both = a.join(b, "illu_id").where((F.col("u") < F.col("v")) & (hi - lo > least))
     common = hi - lo + 1
     part = lambda p: F.col(f"{p}_score") * common / (F.col(f"{p}_i_end") - F.col(f"{p}_i_start") + 1)
-    return both.select("u", "v", "illu_id", lo.alias("ov_start"), hi.alias("ov_end"), (F.col("u_direction") == F.col("v_direction")).alias("direction"), (part("u") + part("v")).alias("score"), (F.col("u_is_primary") & F.col("v_is_primary")).alias("is_primary"), *[f"{p}_{c}" for p in "uv" for c in _SIDE])
+    return both.select("u", "v", "illu_id", lo.alias("ov_start"), hi.alias("ov_end"), (F.col("u_direction") == F.col("v_direction")).alias("direction"), (part("u") + part("v")).alias("score"), (F.col("u_is_primary") & F.col("v_is_primary")).alias("is_primary"), *[f"{p}_{c}" for p in "uv" for c in kept])
 
 
 def edge_summary(pairs: DataFrame) -> DataFrame:

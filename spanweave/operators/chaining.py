@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,53 +45,149 @@ def compat_pairs(pairs: DataFrame) -> DataFrame:
     return both.select("u", "v", "direction", "illu1", "illu2", compatible().alias("ok"))
 
 
-def best_chains(pairs: DataFrame) -> DataFrame:
-    """``u, v, direction, anchors, best_score, chain_length, is_primary``: the chain of compatible neighbours with the
-    largest sum of whole anchor scores, per edge and direction. Ties go to the earliest predecessor and the first
-    best end. An edge's anchors fit one group: reads bound them, not the table."""
-    ok = compat_pairs(pairs).where("ok").select("u", "v", "direction", F.col("illu1").alias("a"), F.col("illu2").alias("b"))
-    nodes = pairs.select("u", "v", "direction", "illu_id", "u_n_start", "u_n_end", F.floor("score").cast("long").alias("score"), "is_primary")
-    keys = ["u", "v", "direction"]
-    # edges of one anchor are their own chain; of the others all anchors and compatible pairs come in one row
-    own = nodes.groupBy(*keys).agg(F.collect_list(F.struct("u_n_start", "u_n_end", "illu_id", "score", "is_primary")).alias("nodes"))
-    alone = own.where(F.size("nodes") == 1).select(*keys, F.lit(1).cast("long").alias("anchors"), F.col("nodes")[0]["score"].alias("best_score"), F.lit(1).cast("long").alias("chain_length"), F.col("nodes")[0]["is_primary"].alias("is_primary"))
-    linked = ok.groupBy(*keys).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-    more = own.where(F.size("nodes") > 1).withColumn("nodes", F.sort_array("nodes")).join(linked, keys, "left")
-    more = more.select(*keys, F.transform("nodes", lambda x: x["illu_id"]).alias("ids"), F.transform("nodes", lambda x: x["score"]).alias("scores"), F.transform("nodes", lambda x: x["is_primary"]).alias("primes"), "a", "b")
-
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_FIELDS = ["u_n_start", "u_n_end", "illu_id", "v_n_start", "v_n_end", "u_s", "u_e", "v_s", "v_e", "score", "is_primary", "u_place", "u_places", "v_place", "v_places", "u_length", "v_length"]
+
+
+def _turns(s: np.ndarray, e: np.ndarray, n: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+    """_side() for the anchors i and j of one read."""
+    s1, e1, s2, e2, n1, m1, n2, m2 = s[i], e[i], s[j], e[j], n[i], m[i], n[j], m[j]
+    meet, before, after = (s1 <= e2) & (s2 <= e1), (s1 < s2) & (e1 < e2), (s1 > s2) & (e1 > e2)
+    turn = np.where(meet, np.where(before, 2, np.where(after, -2, 0)), np.where(s1 < s2, 1, -1))
+    dist = np.where(meet, np.where(before, e1 - s2 + 1, np.where(after, e2 - s1 + 1, 0.0)), np.where(s1 < s2, s2 - e1 + 1, s1 - e2 + 1))
+    raw = np.where((n1 < n2) & (m1 < m2), 2, np.where((n1 > n2) & (m1 > m2), -2, 0))
+    return turn, dist, (n1 <= m2) & (n2 <= m1) & (((turn < 0) & (raw >= 0)) | ((turn > 0) & (raw <= 0)))
+
+
+def _agree(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, same: np.ndarray, wiggle: int, percent: int) -> np.ndarray:
+    """compatible() for the anchors i and j; same: is the edge parallel."""
+    (t1, d1, bad1), (t2, d2, bad2) = (_turns(x[f"{p}_s"], x[f"{p}_e"], x[f"{p}_n_start"], x[f"{p}_n_end"], i, j) for p in "uv")
+    t2, apart = np.where(same, t2, -t2), np.abs(d1 - d2)
+    near = (apart <= wiggle) | (apart * 100 <= percent * np.maximum(d1, d2))
+    ok = np.where(t1 == t2, near, (np.sign(t1) == np.sign(t2)) & (d1 + d2 <= wiggle))
+    return ok & (t1 != 0) & (t2 != 0) & ~bad1 & ~bad2
+
+
+def _passed_over(x: dict[str, np.ndarray], chain: list[int], same: bool) -> bool:
+    """Do the reads have anchors that the chain leaves out: at an end of both, or between two of the chain's on both?"""
+    u, n, m = x["u_place"], int(x["u_places"][chain[0]]), int(x["v_places"][chain[0]])
+    v = x["v_place"] if same else m + 1 - x["v_place"]
+    if (u[chain[0]] != 1 and v[chain[0]] != 1) or (u[chain[-1]] != n and v[chain[-1]] != m):
+        return True
+    i = j = 0
+    for k in chain:
+        gap_u, gap_v = u[k] - 1 > i or u[k] <= i < n, v[k] - 1 > j or v[k] <= j < m
+        i, j = (int(u[k]) if u[k] > i else n), (int(v[k]) if v[k] > j else m)
+        if gap_u and gap_v:
+            return True
+    return False
+
+
+def _chains_of(x: dict[str, np.ndarray], ok: np.ndarray, same: bool) -> list[tuple[list[int], int, bool]]:
+    """The best chain and the disjoint ones above three quarters of its score: anchors, score, is it primary."""
+    own, n = x["score"], len(x["score"])
+    best, parent = own.copy(), np.full(n, -1)
+    for k in range(1, n):
+        before = np.where(ok[:k, k], best[:k], 0)
+        at = int(before.argmax())
+        if before[at] > 0:
+            best[k], parent[k] = own[k] + before[at], at
+
+    def path(k: int) -> list[int]:
+        out = [k]
+        while parent[out[-1]] >= 0:
+            out.append(int(parent[out[-1]]))
+        return out[::-1]
+
+    top = int(best.argmax())
+    lead = path(top)
+    found = [(lead, int(best[top]), bool(x["is_primary"][lead].any()) or len(lead) > 2)]
+    taken = set(lead)
+    for k in np.flatnonzero(best * 4 > best[top] * 3).tolist():
+        chain = path(k)
+        if not taken & set(chain):
+            taken |= set(chain)
+            found.append((chain, int(best[k]), bool(x["is_primary"][chain].any())))
+    if len(found) == 1 and found[0][2] and _passed_over(x, lead, same):
+        found = [(*found[0][:2], False)]
+    return found
+
+
+def _overlap(x: dict[str, np.ndarray], chain: list[int], same: bool) -> tuple[bool, float, float, bool]:
+    """Does the order run from u to v, left and right offset, is one read contained in the other: from what the reads
+    have before the chain's first and behind its last anchor."""
+    a, z = chain[0], chain[-1]
+    left = lambda p, k: round(float(x[f"{p}_s"][k]), 6)
+    right = lambda p, k: round(float(x[f"{p}_length"][k] - x[f"{p}_e"][k]), 6)
+    l1, r1 = left("u", a), right("u", z)
+    l2, r2 = (left("v", a), right("v", z)) if same else (right("v", a), left("v", z))
+    inner, outer = l1 <= l2 and r1 <= r2, l1 >= l2 and r1 >= r2
+    return inner or (not outer and l1 > l2), round(abs(l1 - l2), 4), round(abs(r1 - r2), 4), inner or outer
+
+
+_CHAINS = "u long, v long, direction boolean, chain int, ids array<long>, anchors int, score long, is_primary boolean, start long, end long, left_offset double, right_offset double, is_contained boolean"
+
+
+def chains(pairs: DataFrame, wiggle: int = 300, percent: int = 15, pairs_at_once: int = 1 << 20) -> DataFrame:
+    """Chains of each edge and direction with the order of the reads that each gives.
+
+    ``pairs`` are those of placed() matches, with_ranges(). The anchors of a (u, v, direction) come in one row, in the
+    order of u; compatible ones are chained for the largest sum of whole scores (ties to the earliest predecessor and
+    to the first end). ``chain`` 0 is the best; further ones are the disjoint chains above three quarters of its score,
+    in the order of their ends. ``is_primary``: some anchor is, or the best chain has more than two; a primary chain
+    that is alone is no longer primary if both reads have anchors that it passes over. ``start`` to ``end`` is the
+    order of the reads; ``is_contained``: start lies within end. Ranges are taken to 6 places. An edge's anchors fit
+    one row: reads bound them, not the table; compatible pairs are worked out for ``pairs_at_once`` at a time.
+    """
+    struct = F.struct(*[F.round(c, 6).alias(c) if c in _RANGES[:4] else F.floor(c).cast("long").alias(c) if c == "score" else F.col(c) for c in _FIELDS])
+    grouped = pairs.groupBy("u", "v", "direction").agg(F.sort_array(F.collect_list(struct)).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for ids, own, prime, a, b in zip(*(batch.column(c).to_pylist() for c in ("ids", "scores", "primes", "a", "b")), strict=True):
-                at = {x: i for i, x in enumerate(ids)}
-                best, parent = own[:], [-1] * len(own)
-                for i, j in sorted((at[y], at[x]) for x, y in zip(a or (), b or (), strict=True)):
-                    if best[j] + own[i] > best[i]:
-                        best[i], parent[i] = best[j] + own[i], j
-                i = end = max(range(len(own)), key=lambda i: (best[i], -i))
-                length, some = 0, False
-                while i >= 0:
-                    length, some, i = length + 1, some or prime[i], parent[i]
-                out.append((len(own), best[end], length, length > 2 or some))
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True))], [*keys, "anchors", "best_score", "chain_length", "is_primary"])
-
-    schema = "u long, v long, direction boolean, anchors long, best_score long, chain_length long, is_primary boolean"
-    return more.mapInArrow(chain, schema).unionByName(alone)
-
-
-def retain_primary(chains: DataFrame) -> DataFrame:
+            lists = batch.column("x")
+            counts = np.diff(lists.offsets.to_numpy())
+            done = np.cumsum(counts * counts)
+            cuts = np.unique(np.searchsorted(done, np.arange(0, int(done[-1]) if len(done) else 0, pairs_at_once)))
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(batch)], strict=True):
+                yield part(batch.slice(lo, hi - lo))
+
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("x")
+        at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        flat = lists.flatten()
+        x = {f: flat.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(_FIELDS)}
+        n = np.diff(at)
+        same = batch.column("direction").to_numpy(zero_copy_only=False)
+        # all pairs i, j of each edge; entry i * n + j of its block
+        block = np.concatenate([[0], np.cumsum(n * n)])
+        edge = np.repeat(np.arange(len(n)), n * n)
+        place = np.arange(block[-1]) - block[edge]
+        ok = _agree(x, at[edge] + place // n[edge], at[edge] + place % n[edge], same[edge], wiggle, percent)
+        u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
+        out = []
+        for k in range(len(n)):
+            own = {f: c[at[k] : at[k + 1]] for f, c in x.items()}
+            for number, (chain, score, primary) in enumerate(_chains_of(own, ok[block[k] : block[k + 1]].reshape(n[k], n[k]), bool(same[k]))):
+                forward, left, right, inside = _overlap(own, chain, bool(same[k]))
+                ends = (u[k], v[k]) if forward else (v[k], u[k])
+                out.append((u[k], v[k], bool(same[k]), number, own["illu_id"][chain].tolist(), len(chain), score, primary, *ends, left, right, inside))
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
+        names = [f.split()[0] for f in _CHAINS.split(", ")]
+        columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    return grouped.mapInArrow(run, _CHAINS)
+
+
+def retain_primary(found: DataFrame) -> DataFrame:
     """Per edge: if any chain is primary only the primary ones stay; then, if any has more than one anchor, only those."""
-    some = chains.groupBy("u", "v").agg(F.max("is_primary").alias("any_primary"))
-    rows = chains.join(some, ["u", "v"]).where(F.col("is_primary") | ~F.col("any_primary")).drop("any_primary")
-    some = rows.groupBy("u", "v").agg(F.max(F.col("chain_length") > 1).alias("any_long"))
-    return rows.join(some, ["u", "v"]).where((F.col("chain_length") > 1) | ~F.col("any_long")).drop("any_long")
+    edge = Window.partitionBy("u", "v")  # both passes in one shuffle
+    rows = found.withColumn("some", F.max("is_primary").over(edge)).where(F.col("is_primary") | ~F.col("some"))
+    return rows.withColumn("some", F.max(F.col("anchors") > 1).over(edge)).where((F.col("anchors") > 1) | ~F.col("some")).drop("some")
 
 
-def consensus(chains: DataFrame) -> DataFrame:
+def consensus(found: DataFrame) -> DataFrame:
     """``u, v, shadow, weight, consensus``: an edge of several chains, or of one that isn't primary, is a shadow. It has
     weight 0 and a direction only if all chains agree; another edge has those of its chain."""
-    e = chains.groupBy("u", "v").agg(F.count("*").alias("n"), F.max("is_primary").alias("p"), F.min("direction").alias("lo"), F.max("direction").alias("hi"), F.max("best_score").alias("s"))
+    e = found.groupBy("u", "v").agg(F.count("*").alias("n"), F.max("is_primary").alias("p"), F.min("direction").alias("lo"), F.max("direction").alias("hi"), F.max("score").alias("s"))
     shadow = (F.col("n") > 1) | ~F.col("p")
     return e.select("u", "v", shadow.alias("shadow"), F.when(shadow, 0).otherwise(F.col("s")).cast("long").alias("weight"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("consensus"))

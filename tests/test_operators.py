@@ -1,3 +1,6 @@
+import random
+from collections import defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,27 +51,83 @@ def test_first_match_and_pairs(spark):
     assert (pairs[1, 3].ov_start, pairs[1, 3].ov_end) == (398, 499)
 
 
+def chained(spark, rows):
+    m = A.first_match(A.filter_matches(spark.createDataFrame(rows, ALIGN)))
+    return chaining.chains(A.with_ranges(A.interval_pairs(A.placed(m, A.vertices(m)))))
+
+
 def test_chain_of_three(spark):
     rows = [match(n, a, 0, 500, 500, True, 0, base + a * 1000) for n, base in ((1, 0), (2, 70)) for a in (1, 2, 3)]
-    pairs = A.with_ranges(A.interval_pairs(A.first_match(A.filter_matches(spark.createDataFrame(rows, ALIGN)))))
-    chain = chaining.best_chains(pairs).collect()
-    assert [(r.u, r.v, r.anchors, r.best_score, r.chain_length, r.is_primary) for r in chain] == [(1, 2, 3, 3000, 3, True)]
+    found = chained(spark, rows).collect()
+    assert [(r.u, r.v, r.chain, r.ids, r.score, r.is_primary) for r in found] == [(1, 2, 0, [1, 2, 3], 3000, True)]
+    # read 2 has 70 more before the first anchor, and both end 51 behind the last match
+    assert (found[0].start, found[0].end, found[0].left_offset, found[0].right_offset, found[0].is_contained) == (1, 2, 70.0, 0.0, True)
+
+
+def test_alternate_chains_and_anchors_passed_over(spark):
+    # anchors 1, 2 agree on both reads, and so do 3, 4, but the two pairs lie 5000 apart on read 2 only
+    rows = [match(1, a, 0, 500, 500, True, 0, a * 1000) for a in (1, 2, 3, 4)] + [match(2, a, 0, 500, 500, True, 0, a * 1000 + 5000 * (a > 2)) for a in (1, 2, 3, 4)]
+    found = sorted((r.chain, r.ids, r.score, r.is_primary) for r in chained(spark, rows).collect())
+    assert found == [(0, [1, 2], 2000, True), (1, [3, 4], 2000, True)]
+    # one chain, but both reads have an anchor of their own between its first and second
+    rows = [match(n, a, 0, 500, 500, True, 0, a * 1000) for n in (1, 2) for a in (1, 3)] + [match(n, 90 + n, 0, 500, 500, True, 0, 2000) for n in (1, 2)]
+    assert [(r.ids, r.is_primary) for r in chained(spark, rows).collect()] == [([1, 3], False)]
+
+
+def test_chains_equal_the_definition(spark):
+    """Compatibility inside chains() is compatible(), and scores are those of all chains tried out."""
+    rng = random.Random(3)
+    rows = [match(n, a, 0, 500, rng.choice((450, 500)), rng.random() < 0.7, 0, a * 700 + rng.randint(-400, 400)) for n in range(1, 7) for a in range(6)]
+    m = A.first_match(A.filter_matches(spark.createDataFrame(rows, ALIGN)))
+    pairs = A.with_ranges(A.interval_pairs(A.placed(m, A.vertices(m)))).cache()
+    ok = {(r.u, r.v, r.direction, r.illu1, r.illu2) for r in chaining.compat_pairs(pairs).where("ok").collect()}
+    anchors = defaultdict(list)
+    for r in pairs.collect():
+        anchors[r.u, r.v, r.direction].append(((r.u_n_start, r.u_n_end, r.illu_id), int(r.score)))
+    best = {}
+    for key, own in anchors.items():
+        own.sort()
+        ends = []
+        for k, (a, s) in enumerate(own):
+            ends.append(s + max([ends[j] for j in range(k) if (*key, own[j][0][2], a[2]) in ok], default=0))
+        best[key] = max(ends)
+    found = chaining.chains(pairs).collect()
+    assert {(r.u, r.v, r.direction): r.score for r in found if r.chain == 0} == best
+    assert len(ok) > 20 and any(r.chain > 0 for r in found)
 
 
 def test_retain_and_consensus(spark):
     rows = [(1, 2, True, 9, 1, True), (1, 2, False, 5, 3, False), (3, 4, True, 7, 2, False), (5, 6, False, 8, 3, True)]
-    df = spark.createDataFrame(rows, "u long, v long, direction boolean, best_score long, chain_length long, is_primary boolean")
-    assert {(r.u, r.best_score) for r in chaining.retain_primary(df).collect()} == {(1, 9), (3, 7), (5, 8)}
+    df = spark.createDataFrame(rows, "u long, v long, direction boolean, score long, anchors int, is_primary boolean")
+    assert {(r.u, r.score) for r in chaining.retain_primary(df).collect()} == {(1, 9), (3, 7), (5, 8)}
     found = {r.u: (r.shadow, r.weight, r.consensus) for r in chaining.consensus(df).collect()}
     assert found == {1: (True, 0, None), 3: (True, 0, True), 5: (False, 8, False)}
 
 
 def test_contraction(spark):
-    orders = spark.createDataFrame([(1, 2, True, True, 1, 2), (2, 3, True, False, 2, 3), (1, 3, True, False, 1, 3), (4, 5, True, True, 4, 5), (4, 6, True, False, 4, 6)], "u long, v long, direction boolean, is_contained boolean, start long, end long")
-    assert [tuple(r) for r in contract.sane_contractions(orders).collect()] == [(1, 2)]
-    found = contract.targets(spark.createDataFrame([(5, 4), (4, 2), (2, 1), (9, 8)], "s long, e long"))
-    assert {tuple(r) for r in found.collect()} == {(5, 1), (4, 1), (2, 1), (9, 8)}
-    assert {r.id for r in contract.roots(found).collect()} == {1, 8}
+    orders = spark.createDataFrame(
+        [(1, 2, True, 0, True, True, 1, 2, 5.0, 5.0), (2, 3, True, 0, False, True, 2, 3, 5.0, 5.0), (1, 3, True, 0, False, True, 1, 3, 5.0, 5.0),
+         (4, 5, True, 0, True, True, 4, 5, 5.0, 5.0), (4, 6, True, 0, False, True, 4, 6, 5.0, 5.0),  # no edge 5-6
+         (7, 8, True, 0, True, True, 7, 8, 5.0, 5.0), (7, 9, True, 0, False, True, 7, 9, 5.0, 5.0), (8, 9, True, 0, False, True, 9, 8, 5.0, 5.0)],  # 9 on other sides
+        "u long, v long, direction boolean, chain int, is_contained boolean, is_primary boolean, start long, end long, left_offset double, right_offset double",
+    )
+    edges = orders.select("u", "v", F.lit(False).alias("shadow"))
+    assert {(r.s, r.e) for r in contract.sane_contractions(orders, edges).collect()} == {(1, 2)}
+    assert {(r.s, r.e) for r in contract.sane_contractions(orders, edges.withColumn("shadow", F.col("v") == 6)).collect()} == {(1, 2), (4, 5)}
+    # containment of t in s needs little left over
+    three = spark.createDataFrame([(1, 2, True, 0, True, True, 1, 2, 5.0, 5.0), (1, 3, True, 0, True, False, 3, 1, 9.0, 9.0), (2, 3, True, 0, False, False, 2, 3, 5.0, 5.0)], orders.schema)
+    edges = three.select("u", "v", F.lit(False).alias("shadow"))
+    assert contract.sane_contractions(three, edges).count() == 1 and contract.sane_contractions(three, edges, wiggle=10).count() == 0
+
+
+def test_targets(spark):
+    found = contract.targets(spark.createDataFrame([(5, 4), (4, 2), (2, 1), (9, 8), (3, 5), (1, 7)], "s long, e long"))
+    assert {tuple(r) for r in found.collect()} == {(5, 7), (4, 7), (2, 7), (3, 7), (1, 7), (9, 8)}
+    assert {r.id for r in contract.roots(found).collect()} == {7, 8}
+    circle = contract.targets(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 3), (6, 4), (8, 9), (9, 8)], "s long, e long"))
+    assert {tuple(r) for r in circle.collect()} == {(2, 1), (3, 1), (4, 1), (6, 1), (9, 8)}
+    first = spark.createDataFrame([(1, 2, 9), (1, 3, 4)], "s long, e long, first_line long")
+    assert [tuple(r) for r in contract.targets(first).collect()] == [(1, 3)]
 
 
 def test_intervals(spark):
