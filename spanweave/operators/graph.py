@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanweave.session import materialize
@@ -128,36 +128,139 @@ def max_spanning_forest(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v", "weight").limit(0) if chosen is None else chosen.distinct()
 
 
+def rooted(forest: DataFrame, roots: DataFrame) -> DataFrame:
+    """``id, parent`` of each vertex of a forest (u, v) but its ``roots`` (id), one in each tree. The tree is walked
+    round: behind an arc into a vertex comes the arc to its next neighbour. How far each arc is from the end of the walk
+    comes from pointer doubling, and of an edge's two arcs the one that comes first leads away from the root; so rounds
+    grow with the logarithm of the vertices, however deep the tree."""
+    arcs = both_ways(forest.select("u", "v")).distinct()
+    around = Window.partitionBy("u").orderBy("v")
+    turn = arcs.select(F.col("u").alias("at"), F.col("v").alias("came"), F.coalesce(F.lead("v").over(around), F.first("v").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("goes"))
+    start = arcs.join(roots.select(F.col("id").alias("u")), "u").groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("at"), F.col("v").alias("goes"), F.lit(True).alias("begin"))
+    step = turn.join(start, ["at", "goes"], "left")
+    there = F.when(F.col("begin").isNull(), F.struct(F.col("at").alias("u"), F.col("goes").alias("v")))
+    walk = materialize(step.select(F.col("came").alias("u"), F.col("at").alias("v"), there.alias("to"), there.isNotNull().cast("long").alias("far")), "walk")
+    while walk.where("to IS NOT NULL").take(1):
+        ahead = walk.select(F.struct("u", "v").alias("to"), F.col("to").alias("to2"), F.col("far").alias("far2"))
+        walk = materialize(walk.join(ahead, "to", "left").select("u", "v", F.col("to2").alias("to"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far")), "walk")
+    back = walk.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("far").alias("back"))
+    return walk.join(back, ["u", "v"]).where("far > back").select(F.col("v").alias("id"), F.col("u").alias("parent"))
+
+
 def potentials(forest: DataFrame, roots: DataFrame) -> DataFrame:
-    """``id, root, sign``: along the forest from each root (id), the product of the edges' signs (booleans)."""
-    e = both_ways(forest.select("u", "v", "direction"))
-    done = materialize(roots.select("id", F.col("id").alias("root"), F.lit(True).alias("sign")), "signs")
-    front = done
+    """``id, root, sign, depth``: along the forest (u, v, direction) from each root (id), the product of the edges' signs
+    (booleans) and their number, by pointer doubling."""
+    signs = both_ways(forest.select("u", "v", "direction")).select(F.col("u").alias("id"), F.col("v").alias("root"), F.col("direction").alias("sign"))
+    up = materialize(rooted(forest, roots).select("id", F.col("parent").alias("root")).join(signs, ["id", "root"]).withColumn("depth", F.lit(1).cast("long")), "signs")
     while True:
-        step = front.select(F.col("id").alias("u"), "root", "sign").join(e, "u").select(F.col("v").alias("id"), "root", (F.col("sign") == F.col("direction")).alias("sign"))
-        front = materialize(step.join(done.select("id"), "id", "left_anti"), "signs")
-        if not front.take(1):
-            return done
-        done = done.union(front)
+        far = up.select(F.col("id").alias("root"), F.col("root").alias("root2"), F.col("sign").alias("sign2"), F.col("depth").alias("depth2"))
+        up = materialize(up.join(far, "root", "left").select("id", F.coalesce("root2", "root").alias("root"), (F.col("sign") == F.coalesce("sign2", F.lit(True))).alias("sign"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.col("root2").isNotNull().alias("moved")), "signs")
+        if not up.where("moved").take(1):
+            break
+        up = up.drop("moved")
+    return roots.select("id", F.col("id").alias("root"), F.lit(True).alias("sign"), F.lit(0).cast("long").alias("depth")).union(up.drop("moved"))
+
+
+def component_roots(edges: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
+    """``id``: of each component the vertex with the largest ``length`` (id, length), the smallest of several; without
+    lengths the smallest."""
+    parts = connected_components(edges)
+    if lengths is None:
+        return parts.select(F.col("component").alias("id")).distinct()
+    best = parts.join(lengths.select("id", "length"), "id", "left").groupBy("component").agg(F.max_by("id", F.struct(F.coalesce("length", F.lit(-1)), -F.col("id"))).alias("id"))
+    return best.select("id")
 
 
-def parity_conflicts(edges: DataFrame, forest: DataFrame) -> DataFrame:
+def parity_conflicts(edges: DataFrame, forest: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Edges (u, v, direction) whose sign disagrees with the path of the forest between their ends."""
     tree = forest.select("u", "v").join(edges.select("u", "v", "direction"), ["u", "v"])
-    roots = connected_components(forest).select(F.col("component").alias("id")).distinct()
-    sign = potentials(tree, roots).select("id", "sign")
+    sign = potentials(tree, component_roots(forest) if roots is None else roots).select("id", "sign")
     e = edges.join(sign.select(F.col("id").alias("u"), F.col("sign").alias("a")), "u").join(sign.select(F.col("id").alias("v"), F.col("sign").alias("b")), "v")
     return e.where((F.col("a") == F.col("b")) != F.col("direction")).select("u", "v", "direction")
 
 
-def oriented(edges: DataFrame, forest: DataFrame) -> DataFrame:
-    """Directed edges ``src, dst``: each read gets the sign of its forest path from the smallest read of its component;
-    an edge runs from start to end, turned round where its start is reversed."""
+def tree_paths(forest: DataFrame, ends: DataFrame, roots: DataFrame) -> DataFrame:
+    """``u, v, lightest (weight, a, b), heaviest``: of the path of the forest (u, v, weight) between the ends (u, v) its
+    lightest edge (a < b; of equal ones the first on the way from u) and its largest weight. Ancestors 1, 2, 4, ... steps
+    up are tabled with both, so a path takes a logarithmic number of joins."""
+    weights = both_ways(forest.select("u", "v", "weight")).select(F.col("u").alias("id"), F.col("v").alias("parent"), "weight")
+    edge = F.struct("weight", F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b"))
+    level = materialize(rooted(forest, roots).join(weights, ["id", "parent"]).select("id", F.col("parent").alias("up"), edge.alias("near"), edge.alias("far"), F.col("weight").alias("most")), "ancestors")
+    # of equal edges, ``near`` is the one next to the vertex, ``far`` the one next to the root
+    nearer = lambda x, y: F.when(y["weight"] < x["weight"], y).otherwise(x)
+    farther = lambda x, y: F.when(x["weight"] < y["weight"], x).otherwise(y)
+    levels, depth = [], None
+    while level.take(1):
+        levels.append(level)
+        more = level.select(F.col("id").alias("up"), *[F.col(c).alias(f"{c}2") for c in ("up", "near", "far", "most")])
+        level = materialize(level.join(more, "up").select("id", F.col("up2").alias("up"), nearer(F.col("near"), F.col("near2")).alias("near"), farther(F.col("far"), F.col("far2")).alias("far"), F.greatest("most", "most2").alias("most")), "ancestors")
+        have = levels[-1].select("id", F.lit(1 << (len(levels) - 1)).cast("long").alias("step"))
+        depth = have if depth is None else depth.union(have)
+    if depth is None:
+        return ends.select("u", "v", F.lit(None).cast("struct<weight:long,a:long,b:long>").alias("lightest"), F.lit(None).cast("long").alias("heaviest")).limit(0)
+    # the depth of a vertex, from the largest step down
+    deep = materialize(_depths(levels), "depths")
+    way = ends.select("u", "v").distinct()
+    for p in "uv":
+        way = way.join(deep.select(F.col("id").alias(p), F.col("depth").alias(f"{p}_depth")), p, "left").withColumn(f"{p}_depth", F.coalesce(f"{p}_depth", F.lit(0)))
+    nothing = F.lit(None).cast(levels[0].schema["near"].dataType)
+    way = materialize(way.select("u", "v", F.col("u").alias("x"), F.col("v").alias("y"), "u_depth", "v_depth", nothing.alias("lo_u"), nothing.alias("lo_v"), F.lit(None).cast("long").alias("most")), "ways")
+
+    def climb(way: DataFrame, k: int, of_u, of_v) -> DataFrame:
+        for side, at, cond, tie, combine in (("u", "x", of_u, "near", nearer), ("v", "y", of_v, "far", farther)):
+            up = levels[k].select(F.col("id").alias(at), F.col("up").alias("_up"), F.col(tie).alias("_lo"), F.col("most").alias("_most"))
+            lo = F.col(f"lo_{side}")
+            go = F.col("_go") & F.col("_up").isNotNull()
+            way = way.withColumn("_go", cond).join(up, at, "left")
+            way = way.withColumns({f"lo_{side}": F.when(go, F.when(lo.isNull(), F.col("_lo")).otherwise(combine(lo, F.col("_lo")))).otherwise(lo), "most": F.when(go, F.greatest("most", "_most")).otherwise(F.col("most")), at: F.when(go, F.col("_up")).otherwise(F.col(at)), f"{side}_depth": F.when(go, F.col(f"{side}_depth") - (1 << k)).otherwise(F.col(f"{side}_depth"))}).drop("_go", "_up", "_lo", "_most")
+        return materialize(way, "ways")
+
+    for k in reversed(range(len(levels))):
+        way = climb(way, k, F.col("u_depth") - F.col("v_depth") >= 1 << k, F.col("v_depth") - F.col("u_depth") >= 1 << k)
+    for k in reversed(range(len(levels))):
+        other = [levels[k].select(F.col("id").alias(at), F.col("up").alias(f"_{at}")) for at in "xy"]
+        apart = way.join(other[0], "x", "left").join(other[1], "y", "left").withColumn("_apart", (F.col("_x") != F.col("_y")) & F.col("_x").isNotNull()).drop("_x", "_y")
+        way = climb(apart, k, F.coalesce("_apart", F.lit(False)), F.coalesce("_apart", F.lit(False))).drop("_apart")
+    differ = F.col("x") != F.col("y")
+    way = climb(way.withColumn("_apart", differ), 0, F.col("_apart"), F.col("_apart"))
+    lo_u, lo_v = F.col("lo_u"), F.col("lo_v")
+    best = F.when(lo_u.isNull() | (lo_v.isNotNull() & (lo_v["weight"] < lo_u["weight"])), lo_v).otherwise(lo_u)
+    return way.where("x = y").select("u", "v", best.alias("lightest"), F.col("most").alias("heaviest"))
+
+
+def _depths(levels: list[DataFrame]) -> DataFrame:
+    """``id, depth``: steps of powers of two up to the root, the largest first."""
+    at = levels[0].select("id", F.col("id").alias("at"), F.lit(0).cast("long").alias("depth"))
+    for k in reversed(range(len(levels))):
+        up = levels[k].select(F.col("id").alias("at"), F.col("up").alias("_up"))
+        at = at.join(up, "at", "left").select("id", F.coalesce("_up", "at").alias("at"), (F.col("depth") + F.when(F.col("_up").isNull(), 0).otherwise(1 << k)).alias("depth"))
+    return at.select("id", "depth")
+
+
+def decycled(edges: DataFrame, forest: DataFrame, roots: DataFrame, base_share: float = 1.1, most_share: float = 0.8) -> DataFrame:
+    """``u, v``: edges (u, v, weight, direction) to be deleted so that directions agree: every edge beside the forest whose
+    direction disagrees with the forest's path between its ends, and that path's lightest edge where it is lighter than
+    the edge, or not over ``base_share`` of its weight while under ``most_share`` of the path's heaviest."""
+    bad = materialize(parity_conflicts(edges, forest, roots).select("u", "v").join(edges.select("u", "v", F.col("weight").alias("base")), ["u", "v"]), "conflicts")
+    path = tree_paths(forest, bad, roots).join(bad, ["u", "v"])
+    low = F.col("lightest.weight")
+    goes = (low < F.col("base")) | ((F.col("base") * base_share >= low) & (low < F.col("heaviest") * most_share))
+    return bad.select("u", "v").union(path.where(goes).select("lightest.a", "lightest.b")).distinct()
+
+
+def oriented(edges: DataFrame, forest: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Directed edges ``src, dst, weight``: each read gets the sign of its forest path from the root of its component. An
+    edge (u, v, weight, direction, start, end) is looked at from the end that is nearer to its root (of two as near, the
+    smaller): it runs from start to end, turned round if that read is reversed, or if the edge is antiparallel and v is
+    that read, but not if both."""
     tree = forest.select("u", "v").join(edges.select("u", "v", "direction"), ["u", "v"])
-    roots = connected_components(forest).select(F.col("component").alias("id")).distinct()
-    sign = potentials(tree, roots).select(F.col("id").alias("start"), "sign")
-    e = edges.join(sign, "start")
-    return e.select(F.when(F.col("sign"), F.col("start")).otherwise(F.col("end")).alias("src"), F.when(F.col("sign"), F.col("end")).otherwise(F.col("start")).alias("dst"), "weight").distinct()
+    place = materialize(potentials(tree, component_roots(forest) if roots is None else roots), "places")
+    e = edges
+    for p in "uv":
+        e = e.join(place.select(F.col("id").alias(p), F.col("sign").alias(f"{p}_sign"), F.col("depth").alias(f"{p}_depth")), p)
+    from_v = F.struct("v_depth", "v") < F.struct(F.col("u_depth").alias("v_depth"), F.col("u").alias("v"))
+    turned = (F.when(from_v, ~F.col("v_sign")).otherwise(~F.col("u_sign"))) != (~F.col("direction") & from_v)
+    return e.select(F.when(turned, F.col("end")).otherwise(F.col("start")).alias("src"), F.when(turned, F.col("start")).otherwise(F.col("end")).alias("dst"), "weight").distinct()
 
 
 def feedback_edges(edges: DataFrame) -> DataFrame:

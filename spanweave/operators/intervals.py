@@ -55,6 +55,8 @@ def interval_union(rows: DataFrame, key: str, start: str, end: str) -> DataFrame
 
 
 def clip_ends(merged: DataFrame, lengths: DataFrame, key: str, margin: int = 200) -> DataFrame:
-    """Pieces of each read with ``margin`` off both of its ends, numbered from 0; empty ones go."""
-    out = merged.join(lengths.select(key, "length"), key).select(key, F.greatest("start", F.lit(margin)).alias("start"), F.least("end", F.col("length") - margin).alias("end")).where("start <= end")
-    return out.withColumn("piece", F.row_number().over(Window.partitionBy(key).orderBy("start", "end")) - 1)
+    """Pieces of each read with ``margin`` off both of its ends, numbered from 0 before those go that this leaves
+    nothing of."""
+    out = merged.join(lengths.select(key, "length"), key).withColumn("piece", F.row_number().over(Window.partitionBy(key).orderBy("start", "end")) - 1)
+    out = out.select(key, F.greatest("start", F.lit(margin)).alias("start"), F.least("end", F.col("length") - margin).alias("end"), "piece")
+    return out.where("start <= end")
