@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -361,8 +363,8 @@ def interval_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("clip_ends", f"""WITH {align_sql('order')}, {_UNION}, le AS (SELECT nano_id, max(n_end) + 51 AS length FROM align GROUP BY 1),
-cl AS (SELECT nano_id, greatest("start", 200) AS "start", least("end", length - 200) AS "end" FROM mg JOIN le USING (nano_id))
-SELECT nano_id, "start", "end", CAST(row_number() OVER (PARTITION BY nano_id ORDER BY "start", "end") - 1 AS INT) AS piece FROM cl WHERE "start" <= "end" """)
+cl AS (SELECT nano_id, greatest("start", 200) AS "start", least("end", length - 200) AS "end", CAST(row_number() OVER (PARTITION BY nano_id ORDER BY "start", "end") - 1 AS INT) AS piece FROM mg JOIN le USING (nano_id))
+SELECT nano_id, "start", "end", piece FROM cl WHERE "start" <= "end" """)
 def clip_ends(spark: SparkSession, d: str) -> DataFrame:
     return intervals.clip_ends(_union(spark, d), A.vertices(align(spark, d, "order")), "nano_id")
 
@@ -528,13 +530,50 @@ def parity_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return graph.parity_conflicts(g, materialize(graph.max_spanning_forest(g), "forest"))
 
 
-def _directed(spark: SparkSession, d: str) -> DataFrame:
+def _second(sql: str) -> str:
+    """The same tables over what is left of the graph (g2), with a 2 behind their names."""
+    return re.sub(r"\b(g|bw|cc|co|hv|hb|re|fo)\b(?=[ ,.)])", r"\g<1>2", sql)
+
+
+_GONE = """cf AS (SELECT g.u, g.v, g.weight AS base FROM g JOIN po a ON a.id = g.u JOIN po b ON b.id = g.v WHERE (a.s = b.s) <> g.direction),
+fw AS (SELECT u, v, weight FROM fo UNION ALL SELECT v, u, weight FROM fo),
+wk AS (SELECT u AS cu, v AS cv, u AS cur, CAST(-1 AS BIGINT) AS prev, CAST(NULL AS BIGINT) AS lw, CAST(NULL AS BIGINT) AS la, CAST(NULL AS BIGINT) AS lb, CAST(0 AS BIGINT) AS hi FROM cf
+ UNION ALL SELECT cu, cv, fw.v, wk.cur, CASE WHEN lw IS NULL OR fw.weight < lw THEN fw.weight ELSE lw END, CASE WHEN lw IS NULL OR fw.weight < lw THEN least(fw.u, fw.v) ELSE la END, CASE WHEN lw IS NULL OR fw.weight < lw THEN greatest(fw.u, fw.v) ELSE lb END, greatest(hi, fw.weight)
+ FROM wk JOIN fw ON fw.u = wk.cur AND fw.v <> wk.prev WHERE wk.cur <> wk.cv),
+gone AS (SELECT u, v FROM cf UNION SELECT la, lb FROM wk JOIN cf ON cf.u = cu AND cf.v = cv WHERE cur = cv AND (lw < base OR (base * 1.1 >= lw AND lw < hi * 0.8)))"""
+
+
+def _rooted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Graph, forest, the longest read of each component, lengths."""
     g = _thin(spark, d)
-    e = g.withColumn("start", F.col("u")).withColumn("end", F.col("v"))
-    return materialize(graph.oriented(e, materialize(graph.max_spanning_forest(g), "forest")), "directed")
+    lengths = materialize(A.vertices(_matches(spark, d, "customer")).select(F.col("nano_id").alias("id"), "length"), "lengths")
+    return g, materialize(graph.max_spanning_forest(g), "forest"), materialize(graph.component_roots(g, lengths), "roots"), lengths
+
+
+@query("decycled", f"{_g()}, {_SIGN}, {_GONE} SELECT u, v FROM gone")
+def decycled(spark: SparkSession, d: str) -> DataFrame:
+    g, forest, roots, _ = _rooted(spark, d)
+    return graph.decycled(g, forest, roots)
+
+
+def _directed(spark: SparkSession, d: str) -> DataFrame:
+    """What decycling leaves, with the order of the reads of each edge, oriented from each component's longest read."""
+    g, forest, roots, lengths = _rooted(spark, d)
+    left = materialize(g.join(graph.decycled(g, forest, roots), ["u", "v"], "left_anti"), "agreeing")
+    e = left.join(_classes(spark, d, "customer").select("u", "v", "start", "end"), ["u", "v"])
+    roots = materialize(graph.component_roots(left, lengths), "roots")
+    return materialize(graph.oriented(e, materialize(graph.max_spanning_forest(left), "forest"), roots), "directed")
+
+
+_ORIENT = f"""{_g()}, {_HUNG}, {_CLASS}, {_SIGN}, {_GONE}, g2 AS (SELECT g.* FROM g ANTI JOIN gone USING (u, v)), {_second(_BOTH)}, {_second(_COMP)}, {_second(_MSF)},
+ro AS (SELECT id FROM (SELECT co2.id, row_number() OVER (PARTITION BY component ORDER BY length DESC, co2.id) AS rn FROM co2 JOIN r ON r.nano_id = co2.id) WHERE rn = 1),
+fd2 AS (SELECT fo2.u, fo2.v, g2.direction AS d FROM fo2 JOIN g2 USING (u, v) UNION ALL SELECT fo2.v, fo2.u, g2.direction FROM fo2 JOIN g2 USING (u, v)),
+po2 AS (SELECT id, true AS s, 0 AS depth, CAST(-1 AS BIGINT) AS prev FROM ro UNION ALL SELECT fd2.v, po2.s = fd2.d, depth + 1, po2.id FROM po2 JOIN fd2 ON fd2.u = po2.id AND fd2.v <> po2.prev),
+tn AS (SELECT g2.weight, c."start", c."end", CASE WHEN b.depth < a.depth OR (b.depth = a.depth AND g2.v < g2.u) THEN (NOT b.s) <> (NOT g2.direction) ELSE NOT a.s END AS turned
+ FROM g2 JOIN c ON c.u = g2.u AND c.v = g2.v JOIN po2 a ON a.id = g2.u JOIN po2 b ON b.id = g2.v)"""
 
 
-@query("orient", f"{_g()}, {_SIGN} SELECT DISTINCT CASE WHEN s THEN u ELSE v END AS src, CASE WHEN s THEN v ELSE u END AS dst, weight FROM g JOIN po ON po.id = g.u")
+@query("orient", f"{_ORIENT} SELECT DISTINCT CASE WHEN turned THEN \"end\" ELSE \"start\" END AS src, CASE WHEN turned THEN \"start\" ELSE \"end\" END AS dst, weight FROM tn")
 def orient(spark: SparkSession, d: str) -> DataFrame:
     return _directed(spark, d)
 
