@@ -47,14 +47,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal texts are always of one class. A text of fewer than ``width`` words has one shingle of all of them, one
     without words is only like its equals, and a null text is a class of its own. Rows with a null id have the class
     of their text. Repeated rows each get their row. Empty tables give an empty table; other columns don't matter. A
-    pair of exactly the threshold shares a band with a probability of 1 - (1 - threshold**rows)**bands, 0.9999.
+    pair of exactly the threshold shares a band with a probability of 1 - (1 - threshold**rows)**bands, 0.9999. Between
+    classes of a large bucket a pair is only compared on its texts if its signatures agree in at least five standard
+    errors below the threshold, which a pair at the threshold misses with a probability under 1e-6.
     """
     size = bands * rows
     base = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", 2 << 20):
                 hashes, owner = B.shingles(part.column("text"), width)
                 _, h, o, w = B.weighted(hashes, owner)
                 registers = B.signatures(h, o, w, len(part), size)

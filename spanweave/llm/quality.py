@@ -124,7 +124,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, most: int = 8000, passage:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", 2 << 20):
                 x, at = encode_passages(part.column("text"), passage)
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), WIDTH)
                 rows = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), flat.cast(pa.list_(pa.float32())))
@@ -150,7 +150,7 @@ def score_quality(docs: DataFrame, model: GatedAttention, text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", 2 << 20):
                 x, at = encode_passages(part.column("text"), model.passage)
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(model.attention(x, at)[1])], ["row", score_col])
 

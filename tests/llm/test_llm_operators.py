@@ -338,6 +338,33 @@ def test_quotations(spark):
     assert Counter(repr(plain(r)) for r in want.fetchall()) == Counter(repr(plain(r[n] for n in names)) for r in got)
 
 
+def test_near_duplicates_equal_brute_force(spark):
+    """Classes of all pairs of texts, compared one by one by their multisets of five-word shingles."""
+    rng = random.Random(21)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 400}"
+    texts = [" ".join(word() for _ in range(rng.randint(1, 60))) for _ in range(40)] + ["", "one two", "one two", None]
+    for _ in range(90):
+        w = (rng.choice(texts) or "x y z").split()
+        for _ in range(rng.randint(0, 3)):
+            w.insert(rng.randrange(len(w) + 1), word())
+        texts.append(" ".join(w * rng.choice((1, 1, 2))))
+    bags = []
+    for t in texts:
+        w = WORD.findall(t or "")
+        bags.append(Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter())
+    parent = list(range(len(texts)))
+    root = lambda i: i if parent[i] == i else root(parent[i])
+    for i in range(len(texts)):
+        for j in range(i):
+            both, either = sum((bags[i] & bags[j]).values()), sum((bags[i] | bags[j]).values())
+            if texts[i] is not None and texts[j] is not None and (texts[i] == texts[j] or (either and both >= 0.8 * either)):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    got = {r.id: r.class_id for r in near_dup.near_duplicates(docs(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}
+    assert len(set(got.values())) < len(texts) - 20
+
+
 def quoting_conversations(n):
     """Conversations whose messages quote earlier ones, at several levels, with odd blanks and line ends."""
     rng = random.Random(11)
