@@ -132,15 +132,16 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 a, b = a[new], b[new]
                 sure = counts[np.searchsorted(values, a)] > 1
                 tell = np.unique(a[sure])
-                key = np.concatenate([np.where(sure, W.mix(a + b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), a), tell])
-                n = np.concatenate([np.where(sure, 2, 1), np.full(len(tell), 2)])
+                key = np.concatenate([np.where(sure, b.astype(np.uint64), a), tell])
                 a, b = np.concatenate([a, tell]), np.concatenate([b, np.full(len(tell), -1)])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(a.view(np.int64), mask=a == key), pa.array(b.astype(np.int32)), pa.array(n.astype(np.int32))], ["key", "anchor", "block", "n"])
-
-    # rows of a shared anchor have keys of their own, but for the one that tells the others (block -1)
-    found = base.select("block", "text").mapInArrow(find_anchors, "key long, anchor long, block int, n int")
-    found = found.withColumn("times", F.sum("n").over(Window.partitionBy("key")))
-    shared = found.where("times > 1 AND block >= 0").select("block", F.coalesce("anchor", "key").alias("anchor"))
+                told = np.concatenate([~sure, np.ones(len(tell), bool)])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(a.view(np.int64), mask=told), pa.array(b.astype(np.int32))], ["key", "anchor", "block"])
+
+    # rows of anchors known to be shared hold them and are dealt by block; the others are counted, together with the
+    # rows that tell them of a slice (block -1)
+    found = base.select("block", "text").mapInArrow(find_anchors, "key long, anchor long, block int")
+    found = found.withColumn("times", F.count("*").over(Window.partitionBy("key")))
+    shared = found.where("block >= 0 AND (times > 1 OR anchor IS NOT NULL)").select("block", F.coalesce("anchor", "key").alias("anchor"))
 
     texts = base.repartition(blocks, "block")
 
