@@ -13,13 +13,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where that is unset (tests), one of our own is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir. Where that is unset, one of our own is set if driver and executors are
+    one process (tests, benches); on a cluster it must be named."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        have = spark.sparkContext.getCheckpointDir()
-        folder = have or "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        if not have:
-            spark.sparkContext.setCheckpointDir(folder)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
