@@ -127,7 +127,7 @@ class Space:
     values: np.ndarray
 
 
-def latent_space(texts: DataFrame, window: int = 32, rank: int = 24, spare: int = 8, seed: int = 11, tasks: int = 16) -> Space:
+def latent_space(texts: DataFrame, window: int = 32, rank: int = 24, spare: int = 8, seed: int = 11, tasks: int = 64) -> Space:
     """Randomised SVD of the passages (``window`` words each) of all rows of ``texts`` (a column ``text``)."""
     width = rank + spare
     omega = np.random.default_rng(seed).normal(size=(_COLUMNS, width)).astype(np.float32)
