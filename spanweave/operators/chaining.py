@@ -112,16 +112,16 @@ def _chains_of(x: dict[str, np.ndarray], ok: np.ndarray, same: bool) -> list[tup
     return found
 
 
-def _overlap(x: dict[str, np.ndarray], chain: list[int], same: bool) -> tuple[bool, float, float, bool]:
+def _overlaps(x: dict[str, np.ndarray], a: np.ndarray, z: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, ...]:
     """Does the order run from u to v, left and right offset, is one read contained in the other: from what the reads
-    have before the chain's first and behind its last anchor."""
-    a, z = chain[0], chain[-1]
-    left = lambda p, k: round(float(x[f"{p}_s"][k]), 6)
-    right = lambda p, k: round(float(x[f"{p}_length"][k] - x[f"{p}_e"][k]), 6)
+    have before the chain's first anchor (a) and behind its last one (z)."""
+    left = lambda p, k: np.round(x[f"{p}_s"][k], 6)
+    right = lambda p, k: np.round(x[f"{p}_length"][k] - x[f"{p}_e"][k], 6)
     l1, r1 = left("u", a), right("u", z)
-    l2, r2 = (left("v", a), right("v", z)) if same else (right("v", a), left("v", z))
-    inner, outer = l1 <= l2 and r1 <= r2, l1 >= l2 and r1 >= r2
-    return inner or (not outer and l1 > l2), round(abs(l1 - l2), 4), round(abs(r1 - r2), 4), inner or outer
+    l2, r2 = np.where(same, left("v", a), right("v", a)), np.where(same, right("v", z), left("v", z))
+    inner, outer = (l1 <= l2) & (r1 <= r2), (l1 >= l2) & (r1 >= r2)
+    short = lambda d: np.floor(np.abs(d) * 1e4 + 0.5) / 1e4
+    return inner | (~outer & (l1 > l2)), short(l1 - l2), short(r1 - r2), inner | outer
 
 
 _CHAINS = "u long, v long, direction boolean, chain int, ids array<long>, anchors int, score long, is_primary boolean, start long, end long, left_offset double, right_offset double, is_contained boolean"
@@ -154,26 +154,37 @@ def chains(pairs: DataFrame, wiggle: int = 300, percent: int = 15, pairs_at_once
         lists = batch.column("x")
         at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         flat = lists.flatten()
-        x = {f: flat.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(_FIELDS)}
+        x = {f: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(_FIELDS)}
         n = np.diff(at)
         same = batch.column("direction").to_numpy(zero_copy_only=False)
-        # all pairs i, j of each edge; entry i * n + j of its block
-        block = np.concatenate([[0], np.cumsum(n * n)])
-        edge = np.repeat(np.arange(len(n)), n * n)
-        place = np.arange(block[-1]) - block[edge]
-        ok = _agree(x, at[edge] + place // n[edge], at[edge] + place % n[edge], same[edge], wiggle, percent)
-        u, v = batch.column("u").to_pylist(), batch.column("v").to_pylist()
-        out = []
-        for k in range(len(n)):
-            own = {f: c[at[k] : at[k + 1]] for f, c in x.items()}
-            for number, (chain, score, primary) in enumerate(_chains_of(own, ok[block[k] : block[k + 1]].reshape(n[k], n[k]), bool(same[k]))):
-                forward, left, right, inside = _overlap(own, chain, bool(same[k]))
-                ends = (u[k], v[k]) if forward else (v[k], u[k])
-                out.append((u[k], v[k], bool(same[k]), number, own["illu_id"][chain].tolist(), len(chain), score, primary, *ends, left, right, inside))
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
-        names = [f.split()[0] for f in _CHAINS.split(", ")]
-        columns = zip(*out, strict=True) if out else [[]] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+        u, v = batch.column("u").to_numpy(), batch.column("v").to_numpy()
+        # an edge of one anchor is a chain: primary if that is, unless both reads have more anchors on one side of it
+        one = np.flatnonzero(n == 1)
+        k = at[one]
+        pu, pv = x["u_place"][k], np.where(same[one], x["v_place"][k], x["v_places"][k] + 1 - x["v_place"][k])
+        passed = ((pu != 1) & (pv != 1)) | ((pu != x["u_places"][k]) & (pv != x["v_places"][k]))
+        edge, number, primary, score = [one], [np.zeros(len(one), np.int32)], [x["is_primary"][k] & ~passed], [x["score"][k]]
+        first, last, size, members = [k], [k], [np.ones(len(one), np.int32)], [k]
+        # of the others all pairs i, j of their anchors; entry i * n + j of the edge's block
+        many = np.flatnonzero(n > 1)
+        sizes = n[many]
+        block = np.concatenate([[0], np.cumsum(sizes * sizes)])
+        of = np.repeat(np.arange(len(many)), sizes * sizes)
+        place, lead = np.arange(block[-1]) - block[of], at[many][of]
+        ok = _agree(x, lead + place // sizes[of], lead + place % sizes[of], same[many][of], wiggle, percent)
+        found = []
+        for i, e in enumerate(many.tolist()):
+            own = {f: c[at[e] : at[e + 1]] for f, c in x.items()}
+            for j, (chain, total, prime) in enumerate(_chains_of(own, ok[block[i] : block[i + 1]].reshape(n[e], n[e]), bool(same[e]))):
+                found.append((e, j, prime, total, at[e] + chain[0], at[e] + chain[-1], len(chain)))
+                members.append(at[e] + np.array(chain))
+        for into, values, kind in zip((edge, number, primary, score, first, last, size), zip(*found, strict=True) if found else [()] * 7, (np.int64, np.int32, bool, np.int64, np.int64, np.int64, np.int32), strict=True):
+            into.append(np.array(values, kind))
+        edge, number, primary, score, first, last, size = (np.concatenate(c) for c in (edge, number, primary, score, first, last, size))
+        forward, left, right, inside = _overlaps(x, first, last, same[edge])
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(x["illu_id"][np.concatenate(members)].astype(np.int64)))
+        columns = [u[edge], v[edge], same[edge], number, ids, size, score, primary, np.where(forward, u[edge], v[edge]), np.where(forward, v[edge], u[edge]), left, right, inside]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [f.split()[0] for f in _CHAINS.split(", ")])
 
     return grouped.mapInArrow(run, _CHAINS)
 
