@@ -63,7 +63,7 @@ def balanced_centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int =
     k = max(1, min(k, len(x)))
     c = x[rng.choice(len(x), k, replace=False)]
     for step in range(rounds):
-        own = (x @ c.T).argmax(axis=1)
+        own = np.concatenate([(x[at : at + 2048] @ c.T).argmax(axis=1) for at in range(0, len(x), 2048)])
         size = np.bincount(own, minlength=len(c))
         means = np.zeros_like(c)
         np.add.at(means, own, x)
@@ -139,15 +139,15 @@ def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, beam: int, pivots: int
     return np.take_along_axis(ids, order, 1), np.maximum(np.take_along_axis(d, order, 1), 0)
 
 
-def build_index(vectors: DataFrame, sample_rows: int = 65_536, per_list: int = 12, max_lists: int = 4096, degree: int = 24, copies: int = 4, boundary: float = 1.2) -> Index | None:
+def build_index(vectors: DataFrame, sample_rows: int = 32_768, per_list: int = 8, max_lists: int = 4096, degree: int = 24, copies: int = 4, boundary: float = 1.2) -> Index | None:
     """Index every vector of ``vectors`` (from clean_vectors). The centroids, one for ``per_list`` vectors of the
     sample and ``max_lists`` at most, are fitted on at most ``sample_rows`` vectors, chosen by a hash of the id. A
     vector is put on the lists whose centroids are at most ``boundary`` times as far as its nearest, ``copies`` at
     most. None for an empty table."""
-    sample = vectors.select("vec_id", "vec").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vec").toPandas()["vec"]
+    sample = vectors.select("vec_id", "vec").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vec").toArrow().column("vec")
     if not len(sample):
         return None
-    sample = np.array(sample.tolist(), np.float64)
+    sample = _matrix(sample)
     c = balanced_centroids(sample, min(max_lists, max(1, len(sample) // per_list)), rounds=5)
     graph = neighbour_graph(c, degree)
 
@@ -195,7 +195,7 @@ def _top(query: np.ndarray, vec: np.ndarray, score: np.ndarray, top: int) -> tup
     return query[keep], vec[keep], score[keep]
 
 
-def search(index: Index, queries: DataFrame, top: int = 5, ratio: float = 1.6, share: float = 1 / 15, least: int = 64, list_rows: int = 8192, block: int = 4096) -> DataFrame:
+def search(index: Index, queries: DataFrame, top: int = 5, ratio: float = 1.8, share: float = 1 / 13, least: int = 128, list_rows: int = 8192, block: int = 4096) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``top`` largest cosines found for each row of ``queries`` (vec_id, vec).
     A query reads those of its nearest lists (``share`` of all, but ``least``) whose centroids are at most ``ratio``
     times as far as its nearest one, and more of them, nearest first, while they hold fewer than ``least`` vectors.
