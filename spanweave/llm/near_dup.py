@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanweave.llm import bagminhash as B
@@ -45,14 +45,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id of the class.
 
     Equal texts are always of one class. A text of fewer than ``width`` words has one shingle of all of them, one
-    without words is only like its equals, and a null text is a class of its own. Rows with a null id have the class
-    of their text. Repeated rows each get their row. Empty tables give an empty table; other columns don't matter. A
-    pair of exactly the threshold shares a band with a probability of 1 - (1 - threshold**rows)**bands, 0.9999. Between
-    classes of a large bucket a pair is only compared on its texts if its signatures agree in at least five standard
-    errors below the threshold, which a pair at the threshold misses with a probability under 1e-6.
+    without words is only like its equals, and a null text is a class of its own for each id. Rows with a null id have
+    the class of their text, null if none of its rows has an id. An id with several texts has a row for each, with
+    that text's class. Repeated rows each get their row. Empty tables give an empty table; other columns don't matter.
+    A pair of exactly the threshold shares a band with a probability of 1 - (1 - threshold**rows)**bands, 0.9999.
+    Between classes of a large bucket a pair is only compared on its texts if its signatures agree in at least five
+    standard errors below the threshold, which a pair at the threshold misses with a probability under 1e-6.
     """
+    signed, classes = _classes(docs, id_col, text_col, width, threshold, bands, rows)
+    return signed.select("id", "key").join(classes, "key", "left").select("id", "class_id")
+
+
+def text_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells texts apart: the digest of a text; null texts go by their id."""
+    null = F.encode(F.concat(F.lit("null "), F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit(""))), "UTF-8")
+    return F.when(F.col(text_col).isNull(), null).otherwise(F.unhex(F.sha2(F.col(text_col).cast("string"), 256)))
+
+
+def first_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``key`` (see text_key) of one text of each class of near duplicates: that of the smallest id, of several texts
+    of this id that with the smallest key; texts without an id come last."""
+    _, classes = _classes(docs, id_col, text_col, **how)
+    return classes.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("last"), "first", "key")).alias("f")).select("f.key")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, key, ...), and of each text ``key, first`` (its smallest id) ``, component, class_id``."""
     size = bands * rows
-    base = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    base = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).withColumn("key", text_key("id"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,10 +87,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 brief = (W.mix(registers.view(np.uint64).reshape(-1)) >> np.uint64(48)).astype(np.uint16).reshape(len(part), size)
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(n.astype(np.int64)), lists, pa.array([x.tobytes() for x in brief], pa.binary())], ["id", "key", "n", "bands", "brief"])
 
-    key = F.when(F.col("text").isNull(), F.encode(F.concat(F.lit("null "), F.coalesce(F.col("id").cast("string"), F.lit(""))), "UTF-8")).otherwise(F.unhex(F.sha2("text", 256)))
-    signed = materialize(base.select("id", "text", key.alias("key")).mapInArrow(sign, "id long, key binary, n long, bands array<long>, brief binary"), "signatures")
-    texts = signed.groupBy("key").agg(F.min("id").alias("rep"), F.min(F.struct("n", "bands", "brief")).alias("s")).where("rep IS NOT NULL")
-    texts = materialize(texts.select("key", "rep", F.col("s.n").alias("n"), F.col("s.bands").alias("bands"), F.col("s.brief").alias("brief")), "texts")
+    signed = materialize(base.mapInArrow(sign, "id long, key binary, n long, bands array<long>, brief binary"), "signatures")
+    texts = signed.groupBy("key").agg(F.min("id").alias("first"), F.min(F.struct("n", "bands", "brief")).alias("s"))
+    # an id may have several texts, so texts are numbered
+    texts = materialize(texts.select("key", "first", F.monotonically_increasing_id().alias("rep"), F.col("s.n").alias("n"), F.col("s.bands").alias("bands"), F.col("s.brief").alias("brief")), "texts")
 
     near = lambda k: F.element_at("bands", (F.col("band") + k) % bands + 1)
     rows_ = texts.where(F.size("bands") > 0).select("rep", "n", "bands", F.posexplode("bands").alias("band", "bucket"))
@@ -90,11 +110,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = stars.union(beside).where("b IS NOT NULL AND a <> b").where(F.least("n", "m") >= threshold * F.greatest("n", "m"))
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
-    # the texts of representatives that are in a pair
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    # the same plan at every size: texts are dealt by id, never the ids broadcast
-    needed = base.join(wanted.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
-    needed = materialize(needed, "pair-texts")
+    needed = materialize(_texts_of(base, texts, pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))), "pair-texts")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +119,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 keep = pa.array(np.flatnonzero(like >= threshold))
                 yield pa.RecordBatch.from_arrays([part.column("a").take(keep), part.column("b").take(keep)], ["a", "b"])
 
-    text = lambda k, t: needed.select(F.col("id").alias(k), F.col("text").alias(t)).hint("merge")
+    text = lambda k, t: needed.select(F.col("rep").alias(k), F.col("text").alias(t)).hint("merge")
     links = materialize(pairs.join(text("a", "ta"), "a").join(text("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), "near-links")
     classes = materialize(connected_components(links, u="a", v="b"), "classes")
 
@@ -116,15 +132,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if others.take(1):
         links = links.unionByName(_across(large.join(others.select("bucket").distinct(), "bucket", "left_semi"), texts, base, width, threshold))
         classes = connected_components(links, u="a", v="b")
-    of_text = texts.select("key", "rep").join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("key", class_of.alias("class_id"))
-    return signed.select("id", "key").join(of_text, "key", "left").select("id", "class_id")
+    of_text = materialize(texts.select("key", "first", "rep").join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("key", "first", class_of.alias("component")), "text-classes")
+    least = of_text.groupBy("component").agg(F.min("first").alias("class_id"))
+    return signed, of_text.join(least, "component")
+
+
+def _texts_of(base: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """``rep, text`` of the texts with these numbers, read off the rows with a text's smallest id, so that copies of a
+    common text aren't dealt to one task. The plan is the same at every size: the numbers are never broadcast."""
+    at = lambda c: F.coalesce(c, F.lit(-(2**63))).alias("at")
+    wanted = texts.select("rep", "key", at("first")).join(reps.distinct(), "rep")
+    found = base.select("key", at("id"), "text").join(wanted.hint("shuffle_hash"), ["key", "at"])
+    return found.groupBy("key", "at").agg(F.first("rep").alias("rep"), F.first("text").alias("text")).select("rep", "text")
 
 
 def _across(large: DataFrame, texts: DataFrame, base: DataFrame, width: int, threshold: float) -> DataFrame:
     """Links (a, b) between each member outside its bucket's main class and all members of other classes: one for each
     pair of a text and a class, which is all that classes need."""
-    ids = large.select(F.col("rep").alias("id")).distinct()
-    full = materialize(base.join(ids.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]).join(texts.select(F.col("rep").alias("id"), "brief"), "id").withColumnRenamed("id", "rep"), "large-texts")
+    full = materialize(_texts_of(base, texts, large.select("rep")).join(texts.select("rep", "brief"), "rep"), "large-texts")
     rows = large.join(full, "rep").withColumn("parts", F.ceil(F.col("size") / _PART).cast("long"))
     every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
     there = rows.withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))

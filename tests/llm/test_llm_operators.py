@@ -158,7 +158,11 @@ def test_labelled_sample(spark):
     marks = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1), (4, 0), (5, 7), (None, 1)], "doc_id long, toxic int")
     sample = lambda **k: sorted(map(tuple, labels.labelled_sample(some, marks, "toxic", F.lit(True), 10, **k).collect()))
     assert sample() == [(1, "a", 0), (2, "c", 1), (4, "d" * 50, 0)]
-    assert sum(len(t) for _, t, _ in sample(most_bytes=10)) <= 10
+    assert sample(most_bytes=10) == sample(longest=10) == [(1, "a", 0), (2, "c", 1)]
+    # one very long text takes nothing from the others
+    many = spark.createDataFrame([(i, "x" * (5000 if i == 7 else 20)) for i in range(50)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    assert labels.labelled_sample(many, marks, "toxic", F.lit(True), 100, most_bytes=2000).count() == 49
 
 
 def test_toxicity(spark, rows):
@@ -212,6 +216,14 @@ def test_near_duplicates(spark, rows):
     assert found[7] == found[8] == 7  # the same words
     assert [found[i] for i in (3, 4, 5, 6, 9, 10, 11)] == [3, 4, 5, 6, 9, 10, 11]
     assert Counter(c for i, c in got if i is None) == Counter([0, None])
+    for turned in (1, -1):  # an id with two texts keeps their classes apart, in any order of the rows
+        a, b = prose(31, 80), prose(32, 80)
+        some = [(5, a), (5, b), (6, a + " more"), (7, b + " more"), (None, a), (None, "no id"), (None, None), (9, None), (9, None)]
+        found = near_dup.near_duplicates(docs(spark, some[::turned])).collect()
+        assert Counter(map(tuple, found)) == Counter([(5, 5), (5, 5), (6, 5), (7, 5), (None, 5), (None, None), (None, None), (9, 9), (9, 9)])
+        # both classes of id 5 have the smallest id 5, yet they are two
+        keys = near_dup.first_texts(docs(spark, some[::turned])).count()
+        assert keys == 5
     assert near_dup.near_duplicates(nothing(spark)).count() == 0
 
 
@@ -363,6 +375,13 @@ def test_near_duplicates_equal_brute_force(spark):
     got = {r.id: r.class_id for r in near_dup.near_duplicates(docs(spark, list(enumerate(texts)))).collect()}
     assert got == {i: root(i) for i in range(len(texts))}
     assert len(set(got.values())) < len(texts) - 20
+    # the same texts under repeated and null ids
+    ids = [None if t is not None and rng.random() < 0.2 else k if t is None else rng.randrange(60) for k, t in enumerate(texts)]
+    least: dict = {}
+    for k, i in enumerate(ids):
+        least[root(k)] = min((x for x in (least.get(root(k)), i) if x is not None), default=None)
+    got = Counter(map(tuple, near_dup.near_duplicates(docs(spark, list(zip(ids, texts, strict=True)))).collect()))
+    assert got == Counter((i, least[root(k)]) for k, i in enumerate(ids))
 
 
 def quoting_conversations(n):

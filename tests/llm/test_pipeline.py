@@ -1,6 +1,10 @@
 """The stages of the corpus pipeline, each against what it must do to its own input. The smallest tables have too few
 labels (87) to train a classifier on; these have 399."""
 
+import random
+import re
+from collections import Counter
+
 import duckdb
 
 import corpus_pipeline as P
@@ -32,3 +36,52 @@ def test_stages(spark):
     out = P.encode_texts(spark, docs, SF).collect()
     assert len(out) == len(before)
     assert all(r.round_trip and r.n_tokens == len(r.token_ids) for r in out)
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, lang, "s", None if t is None else len(t)) for i, t, lang in rows], DOCS)
+
+
+def test_near_dedup_drops_rows_not_ids(spark):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (3, b + " end", "x"), (None, c, "x"), (None, c, "y"), (None, a, "z"), (4, c + " x", "x"), (5, None, "x"), (6, None, "x"), (6, "", "x"), (7, "", "x")]
+    want = [(1, a, "x"), (2, b, "x"), (4, c + " x", "x"), (5, None, "x"), (6, None, "x"), (6, "", "x")]
+    for turned in (1, -1):
+        got = P.keep_one_of_each_class(spark, table(spark, rows[::turned]), SF)
+        assert Counter((r.doc_id, r.text, r.lang) for r in got.collect()) == Counter(want)
+
+
+def test_substring_stage_equals_brute_force(spark):
+    rng = random.Random(5)
+    shared = [prose(100 + k, 30) for k in range(4)]
+    rows = [(i, " \n".join([prose(i, rng.randint(0, 40)), rng.choice(shared), prose(500 + i, 9)]), "x") for i in range(30)] + [(40, None, "x"), (41, "  two  words ", "x")]
+    seen, want = set(), {}
+    for i, text, _ in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        gone = set()
+        for k in range(len(words) - 19):
+            window = tuple(words[k : k + 20])
+            if window in seen:
+                gone.update(range(k, k + 20))
+            seen.add(window)
+        want[i] = " ".join(w for k, w in enumerate(words) if k not in gone) if gone else text
+    got = {r.doc_id: r for r in P.cut_repeats(spark, table(spark, rows), SF).collect()}
+    assert {i: r.text for i, r in got.items()} == want
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got.values())
+
+
+def test_decontamination_stage_drops_rows_not_ids(spark, tmp_path):
+    item = prose(9, 40)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = [(i, prose(20 + i, 90), "x") for i in range(6)]
+    dirty = [(2, prose(50, 30) + " " + item, "x"), (None, item, "x"), (8, item + " " + prose(51, 20), "x")]
+    got = P.drop_contaminated(spark, table(spark, [*clean, *dirty, (None, None, "x"), (9, "", "x")]), str(tmp_path))
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(i, t) for i, t, _ in clean] + [(None, None), (9, "")])
