@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spanweave.llm.bpe import decode, encode, tokenizer
 from spanweave.llm.decontaminate import contaminated
 from spanweave.llm.labels import fold
-from spanweave.llm.near_dup import near_duplicates
+from spanweave.llm.near_dup import first_texts, text_key
 from spanweave.llm.quality import learn_quality, score_quality
 from spanweave.llm.substring_dedup import dedup_substrings
 from spanweave.session import materialize, read_table
@@ -27,10 +27,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each class of near duplicates, and one of repeated rows; rows without
-    an id stay."""
-    found = near_duplicates(docs).where("class_id < id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    """Keep one row of each class of near duplicates: of its text with the smallest id, the row that comes first by
+    id (null last), lang, source and length. An id with two texts of different classes keeps both; null texts stay,
+    one row for each id."""
+    rows = docs.select(*COLUMNS).withColumn("key", text_key())
+    order = [F.col("doc_id").isNull().alias("last"), "doc_id", "lang", "source", "n_chars"]
+    once = rows.groupBy("key").agg(F.min(F.struct(*order)).alias("r"), F.first("text").alias("text"))
+    return once.join(first_texts(docs), "key").select("r.doc_id", "text", "r.lang", "r.source", "r.n_chars")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +45,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents in which an item of the benchmark is found."""
-    found = contaminated(docs, read_table(spark, sf_dir, "benchmark")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Drop the rows in whose text an item of the benchmark is found. Texts are told apart by a 64-bit hash, as an id
+    may have several or be null."""
+    rows = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64("text"))
+    found = contaminated(rows, read_table(spark, sf_dir, "benchmark"), id_col="text_hash").select(F.col("id").alias("text_hash")).distinct()
+    return rows.join(found, "text_hash", "left_anti").select(*COLUMNS)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
