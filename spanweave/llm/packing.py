@@ -25,22 +25,28 @@ from pyspark.sql import functions as F
 from spanweave.llm import words as W
 from spanweave.session import materialize, read_table
 
-_CACHED = 300_000  # words whose ids a worker remembers
+_CACHED = 400_000  # words in a generation; a worker remembers those of this one and the one before
 _CHUNK = 1000  # words encoded in one call
 _SLICE = 3 << 20  # bytes of text, and of ids, that a task handles at once
+_STOP = np.zeros(256, bool)
+_STOP[[*b".,;:!?"]] = True
+_CAPITAL, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_CAPITAL[65:91] = _LETTER[65:91] = _LETTER[97:123] = True
 
 
 class WordEncoder:
     """Ids of whole texts by a tokenizer file that drops white space: each different word of a batch is encoded once.
 
     White space never joins a token, and neither composition nor lower case looks across it, so the ids of a text are
-    those of its words, one after the other."""
+    those of its words, one after the other. The tokenizer also parts a letter and a stop behind it, and takes capitals
+    for small letters; so stops are cut off and capitals made small before, unless a mark may join the letter or a
+    special token is about."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {}, {}
         self.width = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
 
     def _learn(self, words: list[str]) -> None:
@@ -55,15 +61,36 @@ class WordEncoder:
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, ``end_id`` after each, and where each text begins (one more at the end)."""
         data, offsets = W.text_buffer(texts)
-        starts, ends, first = W.spans(data, offsets)
+        cut = np.zeros(len(data) + 1, bool)  # before a text, and between a letter and a stop
+        cut[1:-1] = _STOP[data[1:]] & _LETTER[data[:-1]]
+        cut[offsets] = True
+        gap = W.SEPARATOR[data]
+        inside, before, after = ~gap, cut[:-1].copy(), cut[1:].copy()
+        before[1:] |= gap[:-1]
+        after[:-1] |= gap[1:]
+        starts, ends = np.flatnonzero(inside & before), np.flatnonzero(inside & after) + 1
+        first = np.searchsorted(starts, offsets)
+        if b"<|" not in data.tobytes():
+            small = _CAPITAL[data]
+            small[:-1] &= data[1:] < 128
+            small[-1:] = False
+            data = data + (small.view(np.uint8) << 5)
         at = np.zeros(len(starts) + 1, np.int32)
         np.cumsum(ends - starts, out=at[1:])
-        kept = data[~W.SEPARATOR[data]] if len(data) else data
+        kept = data[inside]
         words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(kept)).dictionary_encode()
         names, which = words.dictionary.to_pylist(), words.indices.to_numpy(zero_copy_only=False)
         if len(self.known) > _CACHED:
-            self.known.clear()
-        self._learn([w for w in names if w not in self.known])
+            self.known, self.older = {}, self.known
+        new = []
+        for w in names:
+            if w not in self.known:
+                ids = self.older.get(w)
+                if ids is None:
+                    new.append(w)
+                else:
+                    self.known[w] = ids
+        self._learn(new)
         found = [self.known[w] for w in names]
         size = np.array([len(x) for x in found], np.int64) // np.dtype(self.width).itemsize
         flat, lo = np.frombuffer(b"".join(found), self.width), np.cumsum(size) - size
