@@ -25,6 +25,7 @@ from spanweave.llm import words as W
 from spanweave.session import read_table
 
 LOWEST = -(2**63)
+_SLICE = 1 << 20  # bytes of a block's text that are worked on at once
 
 
 def _smallest(a: np.ndarray, width: int) -> np.ndarray:
@@ -149,7 +150,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         out, want = [], np.sort(right.column("anchor").to_numpy()).view(np.uint64)
         want.sort()
         for batch in left.combine_chunks().to_batches():
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", _SLICE):
                 _, _, _, first, hashes = _hashed(part.column("text"))
                 starts, mine, _, _ = _anchors(hashes, first, width, anchor)
                 at = starts[_member(mine, want)] if len(starts) else starts
@@ -158,6 +159,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     own = np.searchsorted(first, at, side="right") - 1
                     out.append((W.rolling(hashes, width, 2)[at], (W.rolling(hashes, width, 3)[at] >> np.uint64(32)).astype(np.uint32), ids[own], at - first[own]))
         h, h2, ids, at = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        out.clear()
         order = np.lexsort((at, ids, h2, h))
         h, h2, ids, at = h[order], h2[order], ids[order], at[order]
         new = np.ones(len(h), bool)
@@ -182,7 +184,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         h, h2, lead_id, lead_at = h[order], h2[order], right.column("lead_id").to_numpy()[order], right.column("lead_at").to_numpy()[order]
         parts = []
         for batch in left.combine_chunks().to_batches():
-            for part in W.slices(batch, "text"):
+            for part in W.slices(batch, "text", _SLICE):
                 data, starts, ends, first, hashes = _hashed(part.column("text"))
                 cover = np.zeros(len(hashes) + 1, np.int64)
                 at = W.inside(first, width, len(hashes)) if len(h) else np.zeros(0, np.int64)
