@@ -100,7 +100,7 @@ class Moves:
 class Transducer:
     """Ranks compiled for encoding; see the module's text. Tokens go by their ids."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 125_000):
         self.ranks, self.most = ranks, most_states
         self.text: dict[int, bytes] = {i: t for t, i in ranks.items()}
         self.child: dict[int, int] = {}  # by 256 * node + byte
@@ -311,7 +311,7 @@ class Encoder:
     such a space begins a match, and each stretch from a space to the next can be encoded on its own: once for all its
     places in a batch. Stretches of plain letters, marks behind them or not, are cut without the pattern."""
 
-    def __init__(self, pattern: regex.Pattern, ranks: dict[bytes, int], most_states: int = 250_000):
+    def __init__(self, pattern: regex.Pattern, ranks: dict[bytes, int], most_states: int = 125_000):
         self.find, self.machine = pattern.findall, Transducer(ranks, most_states)
         self.whole = pa.array(list(ranks), pa.large_binary())
         self.ids = np.fromiter(ranks.values(), np.int32, len(ranks))
@@ -474,7 +474,7 @@ def _decoder(path: str) -> Decoder:
     return Decoder({i: t for t, i in read_ranks(path).items()})
 
 
-_BYTES = 4 << 20  # of text that a task encodes at once
+_BYTES = 2 << 20  # of text that a task encodes at once
 
 
 def _with(df: DataFrame, name: str, kind: T.DataType) -> tuple[DataFrame, T.StructType]:
