@@ -145,12 +145,12 @@ def score_quality(docs: DataFrame, model: GatedAttention, text_col: str = "text"
     a score too; very long texts are more passages. Rows and other columns stay; a column named as the score is
     replaced."""
     names = [c for c in docs.columns if c != score_col]
-    own = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs[text_col].alias("text"))
+    own = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), *([] if text_col in names else [docs[text_col].alias("text")]))
     schema = own.select("row", F.lit(0.0).alias(score_col)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, "text", 2 << 20):
+            for part in W.slices(W.with_text(batch, text_col), "text", 2 << 20):
                 x, at = encode_passages(part.column("text"), model.passage)
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(model.attention(x, at)[1])], ["row", score_col])
 

@@ -144,13 +144,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = found.withColumn("times", F.count("*").over(Window.partitionBy("key")))
     shared = found.where("block >= 0 AND (times > 1 OR anchor IS NOT NULL)").select("block", F.coalesce("anchor", "key").alias("anchor"))
 
-    texts = base.repartition(blocks, "block")
+    # a text that is carried along is dealt once
+    texts = (base.drop("text") if text_col in carry else base).repartition(blocks, "block")
 
     def find_windows(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out, want = [], np.sort(right.column("anchor").to_numpy()).view(np.uint64)
         want.sort()
         for batch in left.combine_chunks().to_batches():
-            for part in W.slices(batch, "text", _SLICE):
+            for part in W.slices(W.with_text(batch, text_col), "text", _SLICE):
                 _, _, _, first, hashes = _hashed(part.column("text"))
                 starts, mine, _, _ = _anchors(hashes, first, width, anchor)
                 at = starts[_member(mine, want)] if len(starts) else starts
@@ -184,7 +185,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         h, h2, lead_id, lead_at = h[order], h2[order], right.column("lead_id").to_numpy()[order], right.column("lead_at").to_numpy()[order]
         parts = []
         for batch in left.combine_chunks().to_batches():
-            for part in W.slices(batch, "text", _SLICE):
+            for part in W.slices(W.with_text(batch, text_col), "text", _SLICE):
                 data, starts, ends, first, hashes = _hashed(part.column("text"))
                 cover = np.zeros(len(hashes) + 1, np.int64)
                 at = W.inside(first, width, len(hashes)) if len(h) else np.zeros(0, np.int64)

@@ -55,6 +55,15 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iter
     give_back()
 
 
+def with_text(batch: pa.RecordBatch, column: str) -> pa.RecordBatch:
+    """``batch`` with a column ``text``: where it has none, the field ``column`` of its struct ``row``, so that a text
+    that is carried along is sent to a task once. Nothing is copied."""
+    if "text" in batch.schema.names:
+        return batch
+    row = batch.column("row")
+    return pa.RecordBatch.from_arrays([*batch.columns, row.field(row.type.get_field_index(column))], [*batch.schema.names, "text"])
+
+
 def text_buffer(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts (null: none) and where each begins; one more offset at the end."""
     if isinstance(texts, pa.ChunkedArray):
