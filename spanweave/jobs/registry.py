@@ -11,6 +11,7 @@ from spanweave.functions import sequences as S
 from spanweave.jobs.proxies import LINE, SEQ_SQL, align, align_sql, sequences
 from spanweave.operators import alignments as A
 from spanweave.operators import assemble, chaining, contract, graph, intervals, kmers
+from spanweave.operators import paths as P
 from spanweave.session import materialize
 from spanweave.sources import records
 
@@ -159,10 +160,10 @@ def compat_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 _CHAIN = f"""{_HUNG}, {_COMPAT},
 n AS (SELECT u, v, direction, illu_id, CAST(floor(score) AS BIGINT) AS sc, is_primary AS pr, row_number() OVER (PARTITION BY u, v, direction ORDER BY u_n_start, u_n_end, illu_id) AS ix FROM p),
-g AS (SELECT u, v, direction, illu_id AS last, ix, sc AS score, [illu_id] AS ids, [ix] AS rv FROM n
- UNION ALL SELECT g.u, g.v, g.direction, k.illu2, n.ix, g.score + n.sc, list_append(g.ids, k.illu2), list_prepend(n.ix, g.rv) FROM g JOIN k ON k.ok AND k.u = g.u AND k.v = g.v AND k.direction = g.direction AND k.illu1 = g.last
- JOIN n ON n.u = g.u AND n.v = g.v AND n.direction = g.direction AND n.illu_id = k.illu2),
-pe AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY u, v, direction, last ORDER BY score DESC, rv) AS rn FROM g) WHERE rn = 1),
+gx AS (SELECT u, v, direction, illu_id AS last, ix, sc AS score, [illu_id] AS ids, [ix] AS rv FROM n
+ UNION ALL SELECT gx.u, gx.v, gx.direction, k.illu2, n.ix, gx.score + n.sc, list_append(gx.ids, k.illu2), list_prepend(n.ix, gx.rv) FROM gx JOIN k ON k.ok AND k.u = gx.u AND k.v = gx.v AND k.direction = gx.direction AND k.illu1 = gx.last
+ JOIN n ON n.u = gx.u AND n.v = gx.v AND n.direction = gx.direction AND n.illu_id = k.illu2),
+pe AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY u, v, direction, last ORDER BY score DESC, rv) AS rn FROM gx) WHERE rn = 1),
 pt AS (SELECT *, max(score) OVER w AS top, row_number() OVER (PARTITION BY u, v, direction ORDER BY score DESC, ix) AS first FROM pe WINDOW w AS (PARTITION BY u, v, direction)),
 cd AS (SELECT u, v, direction, ids, score, row_number() OVER (PARTITION BY u, v, direction ORDER BY CASE WHEN first = 1 THEN 0 ELSE 1 END, ix) AS pos FROM pt WHERE first = 1 OR score * 4 > top * 3),
 gr AS (SELECT u, v, direction, pos, ids AS taken, true AS used FROM cd WHERE pos = 1
@@ -261,9 +262,9 @@ def sane_contraction(spark: SparkSession, d: str) -> DataFrame:
 
 _TARGET = """fl AS (SELECT nano_id, row_number() OVER (ORDER BY """ + _L + """) AS line FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nano_id ORDER BY """ + _L + """) AS r1 FROM f) WHERE r1 = 1)),
 up AS (SELECT s, e FROM (SELECT s, e, row_number() OVER (PARTITION BY s ORDER BY line, e) AS rn FROM sc JOIN fl ON fl.nano_id = e) WHERE rn = 1),
-re AS (SELECT s, e AS cur, 1 AS n, [s, e] AS seen, false AS circle FROM up UNION ALL SELECT re.s, up.e, n + 1, list_append(seen, up.e), list_contains(seen, up.e) FROM re JOIN up ON up.s = re.cur WHERE NOT circle),
-cy AS (SELECT DISTINCT s AS id FROM re WHERE circle AND cur = s),
-lo AS (SELECT id, (SELECT min(r.cur) FROM re r WHERE r.s = cy.id) AS low FROM cy),
+rw AS (SELECT s, e AS cur, 1 AS n, [s, e] AS seen, false AS circle FROM up UNION ALL SELECT rw.s, up.e, n + 1, list_append(seen, up.e), list_contains(seen, up.e) FROM rw JOIN up ON up.s = rw.cur WHERE NOT circle),
+cy AS (SELECT DISTINCT s AS id FROM rw WHERE circle AND cur = s),
+lo AS (SELECT id, (SELECT min(r.cur) FROM rw r WHERE r.s = cy.id) AS low FROM cy),
 u2 AS (SELECT s, e FROM up WHERE s NOT IN (SELECT id FROM lo WHERE id = low)),
 w AS (SELECT s, e AS cur, 1 AS n FROM u2 UNION ALL SELECT w.s, u2.e, n + 1 FROM w JOIN u2 ON u2.s = w.cur),
 tg AS (SELECT s, arg_max(cur, n) AS target FROM w GROUP BY s)"""
@@ -452,81 +453,91 @@ def unitig_links(spark: SparkSession, d: str) -> DataFrame:
 # --- graphs
 
 
-def _thin(spark: SparkSession, d: str, reads: str = "customer", least: int = 5) -> DataFrame:
-    """Edges of reads that share at least ``least`` anchors: u, v, weight (positions in common), direction (of most)."""
-    e = _pairs(spark, d, reads).groupBy("u", "v").agg(F.count("*").alias("n"), F.sum((F.col("ov_end") - F.col("ov_start") + 1).cast("long")).alias("weight"), F.sum(F.col("direction").cast("int")).alias("same"))
-    return materialize(e.where(F.col("n") >= least).select("u", "v", "weight", (2 * F.col("same") >= F.col("n")).alias("direction")), "graph")
+def _solid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The graph behind contraction, u, v, weight, direction, start, end: edges of consensus that aren't shadows and have
+    an order that is no containment, between reads that aren't contracted. And the orders of the shadows among them."""
+    orders = _orders(spark, d)
+    edges = materialize(chaining.consensus(orders), "consensus")
+    first = A.vertices(A.filter_matches(align(spark, d, "customer"))).select(F.col("nano_id").alias("e"), "first_line")
+    gone = materialize(contract.targets(contract.sane_contractions(orders, edges).join(first, "e")).select(F.col("s").alias("id")), "contracted")
+    lying = graph.without(contract.drop_contained(orders).select("u", "v", "direction", "start", "end").join(edges, ["u", "v"]), gone)
+    keep = ["u", "v", "weight", "direction", "start", "end"]
+    return materialize(lying.where(~F.col("shadow")).select(*keep), "graph"), lying.where("shadow").select(*keep)
+
+
+def _graph(spark: SparkSession, d: str) -> DataFrame:
+    return _solid(spark, d)[0]
 
 
-def _g(reads: str = "customer", least: int = 5) -> str:
-    return f"{_p(reads)}, {_EDGES}, g AS (SELECT u, v, common AS weight, direction FROM e WHERE anchors >= {least})"
+_G = f"""{_p('customer')}, {_CHAIN}, {_SANE}, {_TARGET},
+g AS (SELECT rt.u, rt.v, cs.weight, rt.direction, rt."start", rt."end" FROM rt JOIN cs USING (u, v) WHERE NOT cs.shadow AND NOT rt.is_contained AND rt.u NOT IN (SELECT s FROM tg) AND rt.v NOT IN (SELECT s FROM tg))"""
 
 
 _BOTH = "bw AS (SELECT u, v FROM g UNION ALL SELECT v, u FROM g)"
 
 
-@query("neighbours", f"{_g()}, {_BOTH} SELECT DISTINCT u AS id, v AS neighbour FROM bw")
+@query("neighbours", f"{_G}, {_BOTH} SELECT DISTINCT u AS id, v AS neighbour FROM bw")
 def neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return graph.neighbours(_thin(spark, d))
+    return graph.neighbours(_graph(spark, d))
 
 
-@query("degrees", f"{_g()} SELECT id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT u AS id, 0 AS i, 1 AS o FROM g UNION ALL SELECT v, 1, 0 FROM g) GROUP BY id")
+@query("degrees", f"{_G} SELECT id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM (SELECT u AS id, 0 AS i, 1 AS o FROM g UNION ALL SELECT v, 1, 0 FROM g) GROUP BY id")
 def degrees(spark: SparkSession, d: str) -> DataFrame:
-    return graph.degrees(_thin(spark, d))
+    return graph.degrees(_graph(spark, d))
 
 
-@query("boundary_edges", f"{_g()} SELECT u, v FROM g WHERE (u % 3 = 0) <> (v % 3 = 0)")
+@query("boundary_edges", f"{_G} SELECT u, v FROM g WHERE (u % 3 = 0) <> (v % 3 = 0)")
 def boundary_edges(spark: SparkSession, d: str) -> DataFrame:
-    g = _thin(spark, d)
+    g = _graph(spark, d)
     return graph.boundary(g, graph.neighbours(g).select("id").where("id % 3 = 0"))
 
 
-@query("induced_subgraph", f"{_g()} SELECT u, v, weight FROM g WHERE u % 2 = 0 AND v % 2 = 0")
+@query("induced_subgraph", f"{_G} SELECT u, v, weight FROM g WHERE u % 2 = 0 AND v % 2 = 0")
 def induced_subgraph(spark: SparkSession, d: str) -> DataFrame:
-    g = _thin(spark, d)
+    g = _graph(spark, d)
     return graph.induced(g, graph.neighbours(g).select("id").where("id % 2 = 0")).select("u", "v", "weight")
 
 
-@query("anti_delete", f"{_g()} SELECT u, v, weight FROM g WHERE u % 5 <> 0 AND v % 5 <> 0")
+@query("anti_delete", f"{_G} SELECT u, v, weight FROM g WHERE u % 5 <> 0 AND v % 5 <> 0")
 def anti_delete(spark: SparkSession, d: str) -> DataFrame:
-    g = _thin(spark, d)
+    g = _graph(spark, d)
     return graph.without(g, graph.neighbours(g).select("id").where("id % 5 = 0")).select("u", "v", "weight")
 
 
 _COMP = "cc AS (SELECT u AS id, u AS c FROM bw UNION SELECT bw.v, cc.c FROM cc JOIN bw ON bw.u = cc.id), co AS (SELECT id, min(c) AS component FROM cc GROUP BY id)"
 
 
-@query("components", f"{_g('order', 2)}, {_BOTH}, {_COMP} SELECT * FROM co")
+@query("components", f"{_G}, {_BOTH}, {_COMP} SELECT * FROM co")
 def components(spark: SparkSession, d: str) -> DataFrame:
-    return graph.connected_components(_thin(spark, d, "order", 2))
+    return graph.connected_components(_graph(spark, d))
 
 
-@query("shortest_hops", f"{_g()}, {_BOTH}, {_COMP}, ro AS (SELECT DISTINCT component AS id FROM co), sh AS (SELECT id, CAST(0 AS BIGINT) AS hops FROM ro UNION SELECT bw.v, hops + 1 FROM sh JOIN bw ON bw.u = sh.id WHERE hops < 40), s1 AS (SELECT id, min(hops) AS hops FROM sh GROUP BY id) SELECT s1.id, s1.hops, coalesce((SELECT min(bw.u) FROM bw JOIN s1 t ON t.id = bw.u WHERE bw.v = s1.id AND t.hops = s1.hops - 1), -1) AS via FROM s1")
+@query("shortest_hops", f"{_G}, {_BOTH}, {_COMP}, ro AS (SELECT DISTINCT component AS id FROM co), sh AS (SELECT id, CAST(0 AS BIGINT) AS hops FROM ro UNION SELECT bw.v, hops + 1 FROM sh JOIN bw ON bw.u = sh.id WHERE hops < 40), s1 AS (SELECT id, min(hops) AS hops FROM sh GROUP BY id) SELECT s1.id, s1.hops, coalesce((SELECT min(bw.u) FROM bw JOIN s1 t ON t.id = bw.u WHERE bw.v = s1.id AND t.hops = s1.hops - 1), -1) AS via FROM s1")
 def shortest_hops(spark: SparkSession, d: str) -> DataFrame:
-    g = _thin(spark, d)
+    g = _graph(spark, d)
     found = graph.hops(g, graph.connected_components(g).select(F.col("component").alias("id")).distinct())
     return found.withColumn("via", F.coalesce("via", F.lit(-1).cast("long")))
 
 
-@query("topo_levels", f"{_g()}, tl AS (SELECT DISTINCT u AS id, CAST(0 AS BIGINT) AS level FROM g UNION SELECT g.v, level + 1 FROM tl JOIN g ON g.u = tl.id) SELECT id, max(level) AS level FROM tl GROUP BY id")
+@query("topo_levels", f"{_G}, tl AS (SELECT DISTINCT u AS id, CAST(0 AS BIGINT) AS level FROM g UNION SELECT g.v, level + 1 FROM tl JOIN g ON g.u = tl.id) SELECT id, max(level) AS level FROM tl GROUP BY id")
 def topo_levels(spark: SparkSession, d: str) -> DataFrame:
-    return graph.topological_levels(_thin(spark, d))
+    return graph.topological_levels(_graph(spark, d))
 
 
 _MSF = "hv AS (SELECT u, v, weight, row_number() OVER (ORDER BY weight DESC, u, v) AS r FROM g), hb AS (SELECT u, v, r FROM hv UNION ALL SELECT v, u, r FROM hv), re AS (SELECT r, u AS id FROM hv UNION SELECT re.r, hb.v FROM re JOIN hb ON hb.u = re.id AND hb.r < re.r), fo AS (SELECT hv.u, hv.v, hv.weight FROM hv WHERE NOT EXISTS (SELECT 1 FROM re WHERE re.r = hv.r AND re.id = hv.v))"
 
 
-@query("max_spanning_forest", f"{_g()}, {_MSF} SELECT * FROM fo")
+@query("max_spanning_forest", f"{_G}, {_MSF} SELECT * FROM fo")
 def max_spanning_forest(spark: SparkSession, d: str) -> DataFrame:
-    return graph.max_spanning_forest(_thin(spark, d))
+    return graph.max_spanning_forest(_graph(spark, d))
 
 
 _SIGN = f"{_BOTH}, {_COMP}, {_MSF}, fd AS (SELECT fo.u, fo.v, g.direction AS d FROM fo JOIN g USING (u, v) UNION ALL SELECT fo.v, fo.u, g.direction FROM fo JOIN g USING (u, v)), po AS (SELECT DISTINCT component AS id, true AS s FROM co UNION SELECT fd.v, po.s = fd.d FROM po JOIN fd ON fd.u = po.id)"
 
 
-@query("parity_conflicts", f"{_g()}, {_SIGN} SELECT g.u, g.v, g.direction FROM g JOIN po a ON a.id = g.u JOIN po b ON b.id = g.v WHERE (a.s = b.s) <> g.direction")
+@query("parity_conflicts", f"{_G}, {_SIGN} SELECT g.u, g.v, g.direction FROM g JOIN po a ON a.id = g.u JOIN po b ON b.id = g.v WHERE (a.s = b.s) <> g.direction")
 def parity_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    g = _thin(spark, d)
+    g = _graph(spark, d)
     return graph.parity_conflicts(g, materialize(graph.max_spanning_forest(g), "forest"))
 
 
@@ -545,51 +556,71 @@ gone AS (SELECT u, v FROM cf UNION SELECT la, lb FROM wk JOIN cf ON cf.u = cu AN
 
 def _rooted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Graph, forest, the longest read of each component, lengths."""
-    g = _thin(spark, d)
+    g = _graph(spark, d)
     lengths = materialize(A.vertices(_matches(spark, d, "customer")).select(F.col("nano_id").alias("id"), "length"), "lengths")
     return g, materialize(graph.max_spanning_forest(g), "forest"), materialize(graph.component_roots(g, lengths), "roots"), lengths
 
 
-@query("decycled", f"{_g()}, {_SIGN}, {_GONE} SELECT u, v FROM gone")
+@query("decycled", f"{_G}, {_SIGN}, {_GONE} SELECT u, v FROM gone")
 def decycled(spark: SparkSession, d: str) -> DataFrame:
     g, forest, roots, _ = _rooted(spark, d)
     return graph.decycled(g, forest, roots)
 
 
-def _directed(spark: SparkSession, d: str) -> DataFrame:
-    """What decycling leaves, with the order of the reads of each edge, oriented from each component's longest read."""
-    g, forest, roots, lengths = _rooted(spark, d)
-    left = materialize(g.join(graph.decycled(g, forest, roots), ["u", "v"], "left_anti"), "agreeing")
-    e = left.join(_classes(spark, d, "customer").select("u", "v", "start", "end"), ["u", "v"])
-    roots = materialize(graph.component_roots(left, lengths), "roots")
-    return materialize(graph.oriented(e, materialize(graph.max_spanning_forest(left), "forest"), roots), "directed")
+def _directed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """What decycling leaves, and the shadows, oriented from each component's longest read: src, dst, weight."""
+    g, shadows = _solid(spark, d)
+    lengths = materialize(A.vertices(_matches(spark, d, "customer")).select(F.col("nano_id").alias("id"), "length"), "lengths")
+    gone = graph.decycled(g, materialize(graph.max_spanning_forest(g), "forest"), materialize(graph.component_roots(g, lengths), "roots"))
+    left = materialize(g.join(gone, ["u", "v"], "left_anti"), "agreeing")
+    roots, forest = materialize(graph.component_roots(left, lengths), "roots"), materialize(graph.max_spanning_forest(left), "forest")
+    both = graph.oriented(left.withColumn("weight", F.struct(F.lit(False).alias("shadow"), "weight")).unionByName(shadows.withColumn("weight", F.struct(F.lit(True).alias("shadow"), "weight"))), forest, roots)
+    both = materialize(both, "directed")
+    of = lambda shadow: both.where(F.col("weight.shadow") == shadow).select("src", "dst", "weight.weight")
+    return of(False), of(True)
 
 
-_ORIENT = f"""{_g()}, {_HUNG}, {_CLASS}, {_SIGN}, {_GONE}, g2 AS (SELECT g.* FROM g ANTI JOIN gone USING (u, v)), {_second(_BOTH)}, {_second(_COMP)}, {_second(_MSF)},
+_ORIENT = f"""{_G}, {_SIGN}, {_GONE}, g2 AS (SELECT g.* FROM g ANTI JOIN gone USING (u, v)), {_second(_BOTH)}, {_second(_COMP)}, {_second(_MSF)},
 ro AS (SELECT id FROM (SELECT co2.id, row_number() OVER (PARTITION BY component ORDER BY length DESC, co2.id) AS rn FROM co2 JOIN r ON r.nano_id = co2.id) WHERE rn = 1),
 fd2 AS (SELECT fo2.u, fo2.v, g2.direction AS d FROM fo2 JOIN g2 USING (u, v) UNION ALL SELECT fo2.v, fo2.u, g2.direction FROM fo2 JOIN g2 USING (u, v)),
 po2 AS (SELECT id, true AS s, 0 AS depth, CAST(-1 AS BIGINT) AS prev FROM ro UNION ALL SELECT fd2.v, po2.s = fd2.d, depth + 1, po2.id FROM po2 JOIN fd2 ON fd2.u = po2.id AND fd2.v <> po2.prev),
-tn AS (SELECT g2.weight, c."start", c."end", CASE WHEN b.depth < a.depth OR (b.depth = a.depth AND g2.v < g2.u) THEN (NOT b.s) <> (NOT g2.direction) ELSE NOT a.s END AS turned
- FROM g2 JOIN c ON c.u = g2.u AND c.v = g2.v JOIN po2 a ON a.id = g2.u JOIN po2 b ON b.id = g2.v)"""
+tn AS (SELECT g2.weight, g2."start", g2."end", CASE WHEN b.depth < a.depth OR (b.depth = a.depth AND g2.v < g2.u) THEN (NOT b.s) <> (NOT g2.direction) ELSE NOT a.s END AS turned
+ FROM g2 JOIN po2 a ON a.id = g2.u JOIN po2 b ON b.id = g2.v)"""
 
 
 @query("orient", f"{_ORIENT} SELECT DISTINCT CASE WHEN turned THEN \"end\" ELSE \"start\" END AS src, CASE WHEN turned THEN \"start\" ELSE \"end\" END AS dst, weight FROM tn")
 def orient(spark: SparkSession, d: str) -> DataFrame:
-    return _directed(spark, d)
+    return _directed(spark, d)[0]
 
 
-def _ends(spark: SparkSession, d: str) -> DataFrame:
-    return _directed(spark, d).select(F.col("src").alias("u"), F.col("dst").alias("v"), "weight")
+def _acyclic(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The directed graph without its feedback edges, those edges, and the shadows."""
+    solid, shadows = (x.select(F.col("src").alias("u"), F.col("dst").alias("v"), "weight") for x in _directed(spark, d))
+    back = materialize(graph.feedback_edges(solid), "feedback-edges")
+    return materialize(solid.join(back.select("u", "v"), ["u", "v"], "left_anti"), "acyclic"), back, shadows
 
 
 @query("feedback_edges")
 def feedback_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.feedback_edges(_ends(spark, d))
+    return _acyclic(spark, d)[1]
+
+
+@query("cluster_weights", f"""{_G}, ad AS (SELECT DISTINCT u, v FROM g), cl AS (SELECT u AS x, u AS prev, v AS last, [u, v] AS way FROM ad
+ UNION ALL SELECT cl.x, cl.last, ad.v, list_append(cl.way, ad.v) FROM cl JOIN ad ON ad.u = cl.last WHERE (SELECT count(*) FROM ad b WHERE b.v = ad.v AND list_contains(cl.way, b.u)) = len(cl.way)),
+bs AS (SELECT way FROM (SELECT *, max(len(way)) OVER (PARTITION BY x) AS most FROM cl) WHERE len(way) = most),
+ws AS (SELECT way[k] AS u, way[k + 1] AS v, len(way) - k AS w FROM (SELECT way, unnest(range(1, len(way))) AS k FROM bs))
+SELECT ad.u, ad.v, CAST(coalesce(sum(w), 0) AS BIGINT) AS cluster FROM ad LEFT JOIN ws USING (u, v) GROUP BY ad.u, ad.v""")
+def cluster_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of the graph from the smaller to the larger id, weighted by the cliques that they are in."""
+    return P.cluster_weights(_graph(spark, d))
 
 
 def _paths(spark: SparkSession, d: str) -> DataFrame:
-    e = _ends(spark, d)
-    return graph.best_paths(materialize(e.join(graph.feedback_edges(e).select("u", "v"), ["u", "v"], "left_anti"), "acyclic"))
+    e, back, shadows = _acyclic(spark, d)
+    left_out = materialize(back.select("u", "v").union(shadows.select("u", "v")).distinct(), "left-out")
+    weighted = materialize(P.cluster_weights(e), "weighted")
+    found = P.extract_paths(weighted, e.select("u", "v").union(left_out))
+    return materialize(P.join_paths(found, left_out), "all-paths")
 
 
 @query("paths")

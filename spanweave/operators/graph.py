@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from functools import reduce
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -263,37 +268,109 @@ def oriented(edges: DataFrame, forest: DataFrame, roots: DataFrame | None = None
     return e.select(F.when(turned, F.col("end")).otherwise(F.col("start")).alias("src"), F.when(turned, F.col("start")).otherwise(F.col("end")).alias("dst"), "weight").distinct()
 
 
-def feedback_edges(edges: DataFrame) -> DataFrame:
-    """Edges (u, v, weight) whose removal leaves no cycle: vertices without predecessors or without successors peel
-    off; when a component is stuck, its lightest edge goes (ties to the smaller u, v). All components step together."""
-    left = materialize(edges.where("u <> v").groupBy("u", "v").agg(F.min("weight").alias("weight")), "feedback")
-    gone = materialize(edges.where("u = v").select("u", "v", "weight"), "feedback")
+def _feedback(edges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The rule of feedback_edges for the edges (weight, u, v) of a component; each edge is looked at a few times."""
+    out, into, missing = defaultdict(list), defaultdict(list), defaultdict(int)
+    for e in edges:
+        out[e[1]].append(e)
+        into[e[2]].append(e)
+        missing[e[2]] += 1
+    ready, done, gone = [u for u in out if not missing[u]], set(), set()
+    border: list[tuple[int, int, int]] = []  # edges into vertices behind resolved ones
+    met, every = set(), sorted(edges, reverse=True)
     while True:
-        kept = materialize(left.join(left.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(left.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v", "weight"), "feedback")
-        now, before = kept.count(), left.count()
-        left = kept
+        while ready:
+            u = ready.pop()
+            done.add(u)
+            for e in out.get(u, ()):
+                if e in gone:
+                    continue
+                missing[e[2]] -= 1
+                if not missing[e[2]]:
+                    ready.append(e[2])
+                elif e[2] not in met:
+                    met.add(e[2])
+                    for x in into[e[2]]:
+                        heappush(border, x)
+        open_ = lambda e: e[1] not in done and e[2] not in done and e not in gone
+        while border and not open_(border[0]):
+            heappop(border)
+        while every and not open_(every[-1]):
+            every.pop()
+        if not every:
+            return list(gone)
+        worst = border[0] if border else every[-1]
+        gone.add(worst)
+        missing[worst[2]] -= 1
+        if not missing[worst[2]]:
+            ready.append(worst[2])
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``id, strong``: vertices of a directed graph (u, v) that reach each other have the same ``strong``, their
+    smallest id. In a round the smallest id that reaches a vertex is passed on along the edges; within those that got the
+    same id, the ones that lead back to it are a component and done. The others go on without them. Passing on takes a
+    step for each edge of the longest way, and only among vertices that still have edges on both sides."""
+    ids = materialize(edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct(), "strong")
+    left, done = materialize(edges.select("u", "v").where("u <> v").distinct(), "strong"), []
+    while left.take(1):
+        before = -1
+        while (now := left.count()) != before:  # what is on no cycle peels off
+            before = now
+            left = materialize(left.join(left.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(left.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v"), "strong")
         if not now:
-            return gone
-        if now < before:
-            continue
-        parts = connected_components(left).select(F.col("id").alias("u"), "component")
-        worst = left.join(parts, "u").groupBy("component").agg(F.min(F.struct("weight", "u", "v")).alias("e")).select("e.u", "e.v", "e.weight")
-        worst = materialize(worst, "feedback")
-        gone = gone.union(worst)
-        left = materialize(left.join(worst.select("u", "v"), ["u", "v"], "left_anti"), "feedback")
-
-
-def best_paths(edges: DataFrame) -> DataFrame:
-    """``path, pos, id``: paths of an acyclic graph along edges that are the heaviest out of u and into v at once (ties
-    to the smaller id), by pointer doubling. ``path`` is the first vertex. Isolated vertices are not in ``edges``."""
-    out = edges.groupBy("u").agg(F.max_by("v", F.struct("weight", (-F.col("v")).alias("t"))).alias("v"))
-    into = edges.groupBy("v").agg(F.max_by("u", F.struct("weight", (-F.col("u")).alias("t"))).alias("u"))
-    back = materialize(out.join(into, ["u", "v"]).select(F.col("v").alias("id"), F.col("u").alias("up"), F.lit(1).cast("long").alias("pos")), "paths")
-    ids = edges.select(F.col("u").alias("id")).union(edges.select("v")).distinct()
-    while True:
-        far = back.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("pos").alias("pos2"))
-        back = materialize(back.join(far, "up", "left").select("id", F.coalesce("up2", "up").alias("up"), (F.col("pos") + F.coalesce("pos2", F.lit(0))).alias("pos"), F.col("up2").isNotNull().alias("moved")), "paths")
-        if not back.where("moved").take(1):
             break
-        back = back.drop("moved")
-    return ids.join(back, "id", "left").select(F.coalesce("up", "id").alias("path"), F.coalesce("pos", F.lit(0)).alias("pos"), "id")
+        color = materialize(left.select(F.col("u").alias("id")).union(left.select("v")).distinct().withColumn("color", F.col("id")), "strong")
+        while True:
+            step = left.join(color.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.min("color").alias("other"))
+            color = materialize(color.join(step, "id").select("id", F.least("color", "other").alias("color"), (F.col("other") < F.col("color")).alias("moved")), "strong")
+            if not color.where("moved").take(1):
+                break
+            color = color.drop("moved")
+        of = lambda c: color.select(F.col("id").alias(c), F.col("color").alias(f"{c}_color"))
+        same = materialize(left.join(of("u"), "u").join(of("v"), "v").where("u_color = v_color").select("u", "v", F.col("u_color").alias("color")), "strong")
+        found = front = materialize(color.where("id = color").select("id", "color"), "strong")
+        while front.take(1):
+            back = same.join(front.withColumnRenamed("id", "v"), ["v", "color"]).select(F.col("u").alias("id"), "color").distinct()
+            front = materialize(back.join(found, ["id", "color"], "left_anti"), "strong")
+            found = materialize(found.union(front), "strong")
+        done.append(found)
+        for c in "uv":
+            same = same.join(found.select(F.col("id").alias(c)), c, "left_anti")
+        left = materialize(same.select("u", "v"), "strong")
+    if not done:
+        return ids.select("id", F.col("id").alias("strong"))
+    found = reduce(DataFrame.union, done).select("id", F.col("color").alias("strong"))
+    return ids.join(found, "id", "left").select("id", F.coalesce("strong", "id").alias("strong"))
+
+
+def feedback_edges(edges: DataFrame, task_edges: int = 200_000) -> DataFrame:
+    """Edges (u, v, weight) whose removal leaves no cycle (of repeated edges the least weight; loops go).
+
+    Vertices whose predecessors are all resolved are resolved. When none is left, the lightest edge (ties to the smaller
+    u, v) from an unresolved vertex into one behind a resolved vertex goes; where no vertex is behind a resolved one, the
+    lightest between unresolved ones. That rule walks a component, so a component of up to ``task_edges`` edges is
+    walked by one task. A larger one is cut first: edges between its strongly connected parts are on no cycle and don't
+    matter, each such part loses its lightest edge, until the pieces are small enough.
+    """
+    left = materialize(edges.where("u <> v").groupBy("u", "v").agg(F.min("weight").cast("long").alias("weight")), "feedback")
+    gone = [materialize(edges.where("u = v").select("u", "v", F.col("weight").cast("long").alias("weight")), "feedback")]
+
+    def walk(table: pa.Table) -> pa.Table:
+        found = _feedback(list(zip(*(table.column(c).to_pylist() for c in ("weight", "u", "v")), strict=True)))
+        return pa.table([pa.array([e[k] for e in found], pa.int64()) for k in (1, 2, 0)], ["u", "v", "weight"])
+
+    while True:
+        parts = materialize(left.join(connected_components(left).select(F.col("id").alias("u"), "component"), "u"), "feedback")
+        large = materialize(parts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > task_edges).select("component"), "feedback")
+        small = parts.join(large, "component", "left_anti")
+        gone.append(materialize(small.groupBy("component").applyInArrow(walk, "u long, v long, weight long"), "feedback"))
+        if not large.take(1):
+            return reduce(DataFrame.union, gone)
+        big = materialize(parts.join(large, "component", "left_semi").select("u", "v", "weight"), "feedback")
+        strong = materialize(strong_components(big), "feedback")
+        inner = big.join(strong.select(F.col("id").alias("u"), "strong"), "u").join(strong.select(F.col("id").alias("v"), F.col("strong").alias("other")), "v").where("strong = other")
+        inner = materialize(inner.select("u", "v", "weight", "strong"), "feedback")
+        worst = materialize(inner.groupBy("strong").agg(F.min(F.struct("weight", "u", "v")).alias("e")).select("e.u", "e.v", "e.weight"), "feedback")
+        gone.append(worst)
+        left = materialize(inner.join(worst.select("u", "v"), ["u", "v"], "left_anti").select("u", "v", "weight"), "feedback")
