@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spanweave.functions import sequences as S
 from spanweave.jobs.proxies import LINE, SEQ_SQL, align, align_sql, sequences
 from spanweave.operators import alignments as A
-from spanweave.operators import assemble, chaining, contract, graph, intervals, kmers
+from spanweave.operators import assemble, chaining, cliques, contract, graph, intervals, kmers
 from spanweave.operators import paths as P
 from spanweave.session import materialize
 from spanweave.sources import records
@@ -222,6 +222,15 @@ def cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     return A.cooccurrence(_matches(spark, d, "customer"))
 
 
+@query("anchor_cliques", f"""{_p('customer')}, pt AS (SELECT illu_id, min(ov_end) AS pt FROM p GROUP BY illu_id UNION ALL SELECT p.illu_id, min(ov_end) FROM pt JOIN p ON p.illu_id = pt.illu_id AND ov_start > pt.pt GROUP BY p.illu_id),
+cq AS (SELECT p.illu_id, u, v, ov_start, ov_end, CAST(count(pt.pt) AS INT) AS clique FROM p LEFT JOIN pt ON pt.illu_id = p.illu_id AND pt.pt < ov_start GROUP BY ALL)
+SELECT illu_id, clique, count(*) AS members, max(ov_start) AS lo, min(ov_end) AS hi FROM cq GROUP BY illu_id, clique""")
+def anchor_cliques(spark: SparkSession, d: str) -> DataFrame:
+    """Of each anchor the cliques of the stretches that pairs of reads share on it, and what a clique has in common."""
+    found = cliques.interval_cliques(_pairs(spark, d, "customer").select("illu_id", "ov_start", "ov_end"), "illu_id", "ov_start", "ov_end")
+    return cliques.common_stretch(found, "illu_id", "ov_start", "ov_end")
+
+
 @query("merge_hits")
 def merge_hits(spark: SparkSession, d: str) -> DataFrame:
     return A.merge_hits(align(spark, d))
