@@ -12,6 +12,7 @@ from spanweave.jobs.proxies import LINE, SEQ_SQL, align, align_sql, sequences
 from spanweave.operators import alignments as A
 from spanweave.operators import assemble, chaining, cliques, contract, graph, intervals, kmers
 from spanweave.operators import paths as P
+from spanweave.operators import unitigs as U
 from spanweave.session import materialize
 from spanweave.sources import records
 
@@ -459,6 +460,25 @@ def unitig_links(spark: SparkSession, d: str) -> DataFrame:
     return kmers.unitig_links(sequences(spark, d), 14)
 
 
+_RC = _REV.format
+_UNITIG = f"""WITH RECURSIVE {SEQ_SQL}, {_KM.format(k=15)}, ori AS (SELECT kmer FROM kc UNION ALL SELECT {_RC('kmer')} FROM kc),
+oo AS (SELECT substr(kmer, 2) AS mid, min(kmer) AS a FROM ori GROUP BY 1 HAVING count(*) = 1), oi AS (SELECT substr(kmer, 1, 14) AS mid, min(kmer) AS b FROM ori GROUP BY 1 HAVING count(*) = 1),
+ln AS (SELECT a, b FROM oo JOIN oi USING (mid) WHERE b <> {_RC('a')}),
+wk AS (SELECT kmer AS head, kmer AS cur, 0 AS pos FROM ori ANTI JOIN ln ON ln.b = ori.kmer UNION ALL SELECT head, ln.b, pos + 1 FROM wk JOIN ln ON ln.a = wk.cur),
+rg AS (SELECT kmer FROM ori ANTI JOIN wk ON wk.cur = ori.kmer),
+cw AS (SELECT kmer AS head, kmer AS cur, 0 AS pos FROM rg UNION ALL SELECT head, ln.b, pos + 1 FROM cw JOIN ln ON ln.a = cw.cur WHERE ln.b > head),
+cs AS (SELECT cw.head FROM cw JOIN ln ON ln.a = cw.cur AND ln.b = cw.head),
+te AS (SELECT head, string_agg(substr(cur, 15, 1), '' ORDER BY pos) FILTER (WHERE pos > 0) AS rest FROM wk GROUP BY head HAVING head < {_RC('arg_max(cur, pos)')}
+ UNION ALL SELECT head, string_agg(substr(cur, 15, 1), '' ORDER BY pos) FILTER (WHERE pos > 0) FROM cw SEMI JOIN cs USING (head) GROUP BY head HAVING head < min({_RC('cur')})),
+tx AS (SELECT head AS unitig, head || coalesce(rest, '') AS t FROM te)
+SELECT unitig, piece, substr(t, CAST(piece * 60 + 1 AS BIGINT), 60) AS text FROM (SELECT unitig, t, unnest(range(0, (length(t) + 59) // 60)) AS piece FROM tx)"""
+
+
+@query("unitigs", _UNITIG)
+def unitigs(spark: SparkSession, d: str) -> DataFrame:
+    return U.unitigs(sequences(spark, d), 15)
+
+
 # --- graphs
 
 
