@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.functions import sequences as S
+from spanweave.jobs import scrub
 from spanweave.jobs.proxies import LINE, SEQ_SQL, align, align_sql, sequences
 from spanweave.operators import alignments as A
 from spanweave.operators import assemble, chaining, cliques, contract, graph, intervals, kmers
@@ -380,6 +381,29 @@ def clip_ends(spark: SparkSession, d: str) -> DataFrame:
     return intervals.clip_ends(_union(spark, d), A.vertices(align(spark, d, "order")), "nano_id")
 
 
+_SCRUB = f"""{_p()},
+ah AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nano_id, illu_id ORDER BY {_L}) AS rn FROM align WHERE i_end_x - i_start >= 400) WHERE rn = 1),
+al AS (SELECT nano_id, max(n_end) + 51 AS length FROM align WHERE i_end_x - i_start >= 400 GROUP BY nano_id),
+ob AS (SELECT u, v, u_n_start AS us, u_n_end + 1 AS ue, v_n_start AS vs, v_n_end + 1 AS ve, direction, illu_id AS line FROM p WHERE u_n_end + 1 - u_n_start >= 400 AND u IN (SELECT nano_id FROM al) AND v IN (SELECT nano_id FROM al)),
+oh AS (SELECT *, row_number() OVER (PARTITION BY r, o ORDER BY line) AS k FROM (SELECT u AS r, v AS o, us AS s, ue AS e, direction, line FROM ob UNION ALL SELECT v, u, vs, ve, direction, line FROM ob)),
+fd AS (SELECT r, o, k, s, e, direction FROM oh WHERE k = 1 UNION ALL
+ SELECT fd.r, fd.o, oh.k, CASE WHEN near THEN least(fd.s, oh.s) ELSE fd.s END, CASE WHEN near THEN greatest(fd.e, oh.e) ELSE fd.e END, fd.direction FROM (SELECT * FROM fd) fd JOIN oh ON oh.r = fd.r AND oh.o = fd.o AND oh.k = fd.k + 1, LATERAL (SELECT fd.direction = oh.direction AND (abs(fd.s - oh.e) < 500 OR abs(oh.s - fd.e) < 500) AS near)),
+rg AS (SELECT nano_id AS r, n_start AS s, n_end + 1 AS e FROM ah UNION ALL SELECT r, arg_max(s, k), arg_max(e, k) FROM fd GROUP BY r, o),
+r1 AS (SELECT r, s, max(e) AS e FROM rg GROUP BY r, s), r2 AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY r ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM r1),
+r3 AS (SELECT *, sum(nw) OVER (PARTITION BY r ORDER BY s) AS g FROM r2), r4 AS (SELECT r, min(s) AS s, max(e) AS e FROM r3 GROUP BY r, g),
+r5 AS (SELECT r, greatest(s, 200) AS s, least(e, length - 200) AS e, CAST(row_number() OVER (PARTITION BY r ORDER BY s) - 1 AS INT) AS piece FROM r4 JOIN al ON al.nano_id = r)
+SELECT r AS nano_id, piece, CAST(s AS INT) AS "start", CAST(e AS INT) AS "end" FROM r5 WHERE s <= e"""
+
+
+@query("scrubbed_ranges", _SCRUB)
+def scrubbed_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """What anchors and other reads cover of each read; the pairs of reads on an anchor stand for their overlaps."""
+    own = align(spark, d).where("i_end_x - i_start >= 400").groupBy("nano_id").agg((F.max("n_end") + 51).cast("int").alias("n_len"))
+    rows = align(spark, d).join(own, "nano_id")
+    pairs = _pairs(spark, d).select(F.col("u").alias("illu_id"), F.col("v").alias("nano_id"), F.col("u_n_start").alias("i_start"), (F.col("u_n_end") + 1).alias("i_end_x"), F.col("v_n_start").alias("n_start"), F.col("v_n_end").alias("n_end"), "direction", F.col("illu_id").alias("line"))
+    return scrub.covered_ranges(rows, pairs, least=400).select("nano_id", "piece", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+
+
 # --- sequences and k-mers
 
 
