@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["edge_summary", "overlap_class", "compat_pairs", "chain_best", "coverage_outliers", "interval_union", "kmer_threshold", "fasta_wrap", "consensus", "any_primary_retain", "chain_orders", "clip_ends"]
+NAMES = ["edge_summary", "overlap_class", "compat_pairs", "chain_best", "coverage_outliers", "interval_union", "kmer_threshold", "fasta_wrap", "consensus", "any_primary_retain", "chain_orders", "clip_ends", "cluster_weights", "anchor_cliques", "unitigs", "scrubbed_ranges", "degrees", "sane_contraction", "kmer_count"]
 
 
 def test_every_oracle_has_a_query():
