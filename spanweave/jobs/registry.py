@@ -233,7 +233,11 @@ def anchor_cliques(spark: SparkSession, d: str) -> DataFrame:
     return cliques.common_stretch(found, "illu_id", "ov_start", "ov_end")
 
 
-@query("merge_hits")
+@query("merge_hits", f"""WITH RECURSIVE {align_sql()}, mh AS (SELECT nano_id, illu_id, n_start AS s, n_end AS e, direction, row_number() OVER (PARTITION BY nano_id, illu_id ORDER BY {_L}) AS k FROM align),
+fm AS (SELECT nano_id, illu_id, k, s, e, direction, 1 AS n FROM mh WHERE k = 1 UNION ALL
+ SELECT fm.nano_id, fm.illu_id, mh.k, CASE WHEN near THEN least(fm.s, mh.s) ELSE fm.s END, CASE WHEN near THEN greatest(fm.e, mh.e) ELSE fm.e END, fm.direction, fm.n + CAST(near AS INT)
+ FROM fm JOIN mh ON mh.nano_id = fm.nano_id AND mh.illu_id = fm.illu_id AND mh.k = fm.k + 1, LATERAL (SELECT fm.direction = mh.direction AND (abs(fm.s - mh.e) < 500 OR abs(mh.s - fm.e) < 500) AS near))
+SELECT nano_id, illu_id, arg_max(s, k) AS n_start, arg_max(e, k) AS n_end, arg_max(n, k) AS merged FROM fm GROUP BY nano_id, illu_id""")
 def merge_hits(spark: SparkSession, d: str) -> DataFrame:
     return A.merge_hits(align(spark, d))
 
