@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.functions import sequences as S
-from spanweave.jobs import scrub
+from spanweave.jobs import assembly, scrub
 from spanweave.jobs.proxies import LINE, SEQ_SQL, align, align_sql, sequences
 from spanweave.operators import alignments as A
-from spanweave.operators import assemble, chaining, cliques, contract, graph, intervals, kmers
+from spanweave.operators import chaining, cliques, contract, graph, intervals, kmers
 from spanweave.operators import paths as P
+from spanweave.operators import targets as T
 from spanweave.operators import unitigs as U
 from spanweave.session import materialize
 from spanweave.sources import records
@@ -624,8 +625,9 @@ def decycled(spark: SparkSession, d: str) -> DataFrame:
     return graph.decycled(g, forest, roots)
 
 
-def _directed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """What decycling leaves, and the shadows, oriented from each component's longest read: src, dst, weight."""
+def _directed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What decycling leaves, and the shadows, oriented from each component's longest read: src, dst, weight. And the
+    sign of each read."""
     g, shadows = _solid(spark, d)
     lengths = materialize(A.vertices(_matches(spark, d, "customer")).select(F.col("nano_id").alias("id"), "length"), "lengths")
     gone = graph.decycled(g, materialize(graph.max_spanning_forest(g), "forest"), materialize(graph.component_roots(g, lengths), "roots"))
@@ -634,7 +636,8 @@ def _directed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     both = graph.oriented(left.withColumn("weight", F.struct(F.lit(False).alias("shadow"), "weight")).unionByName(shadows.withColumn("weight", F.struct(F.lit(True).alias("shadow"), "weight"))), forest, roots)
     both = materialize(both, "directed")
     of = lambda shadow: both.where(F.col("weight.shadow") == shadow).select("src", "dst", "weight.weight")
-    return of(False), of(True)
+    signs = graph.potentials(forest.select("u", "v").join(left.select("u", "v", "direction"), ["u", "v"]), roots)
+    return of(False), of(True), signs.select("id", F.col("sign").alias("forward"))
 
 
 _ORIENT = f"""{_G}, {_SIGN}, {_GONE}, g2 AS (SELECT g.* FROM g ANTI JOIN gone USING (u, v)), {_second(_BOTH)}, {_second(_COMP)}, {_second(_MSF)},
@@ -650,11 +653,12 @@ def orient(spark: SparkSession, d: str) -> DataFrame:
     return _directed(spark, d)[0]
 
 
-def _acyclic(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The directed graph without its feedback edges, those edges, and the shadows."""
-    solid, shadows = (x.select(F.col("src").alias("u"), F.col("dst").alias("v"), "weight") for x in _directed(spark, d))
+def _acyclic(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The directed graph without its feedback edges, those edges, the shadows, and the reads' signs."""
+    *edges, signs = _directed(spark, d)
+    solid, shadows = (x.select(F.col("src").alias("u"), F.col("dst").alias("v"), "weight") for x in edges)
     back = materialize(graph.feedback_edges(solid), "feedback-edges")
-    return materialize(solid.join(back.select("u", "v"), ["u", "v"], "left_anti"), "acyclic"), back, shadows
+    return materialize(solid.join(back.select("u", "v"), ["u", "v"], "left_anti"), "acyclic"), back, shadows, signs
 
 
 @query("feedback_edges")
@@ -672,21 +676,54 @@ def cluster_weights(spark: SparkSession, d: str) -> DataFrame:
     return P.cluster_weights(_graph(spark, d))
 
 
-def _paths(spark: SparkSession, d: str) -> DataFrame:
-    e, back, shadows = _acyclic(spark, d)
+def _signed_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of reads: path, pos, id, forward."""
+    e, back, shadows, signs = _acyclic(spark, d)
     left_out = materialize(back.select("u", "v").union(shadows.select("u", "v")).distinct(), "left-out")
     weighted = materialize(P.cluster_weights(e), "weighted")
     found = P.extract_paths(weighted, e.select("u", "v").union(left_out))
-    return materialize(P.join_paths(found, left_out), "all-paths")
+    return materialize(P.join_paths(found, left_out).join(signs, "id"), "all-paths")
 
 
 @query("paths")
 def paths(spark: SparkSession, d: str) -> DataFrame:
-    return _paths(spark, d)
+    return _signed_paths(spark, d).select("path", "pos", "id")
+
+
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    return T.path_orders(_signed_paths(spark, d), contract.drop_contained(_orders(spark, d)))
+
+
+@query("path_orders")
+def path_orders(spark: SparkSession, d: str) -> DataFrame:
+    """The chain of anchors that each step of a path takes, and the anchors that it comes back to."""
+    return _steps(spark, d).select("path", "pos", "id", "forward", "next", F.size("ids").alias("anchors"), F.array_join("ids", ",").alias("ids"), F.array_join("kinks", ",").alias("kinks"))
+
+
+def _on_reads(spark: SparkSession, d: str) -> DataFrame:
+    m = materialize(_matches(spark, d, "customer"), "matches")
+    return materialize(T.anchored(_steps(spark, d), m, A.vertices(m).select(F.col("nano_id").alias("id"), "length")), "on-reads")
+
+
+@query("anchor_axis")
+def anchor_axis(spark: SparkSession, d: str) -> DataFrame:
+    """Where each anchor of a path lies on the path's axis."""
+    return T.axis(_on_reads(spark, d)).select("path", "node.*", "lb", "rb")
+
+
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    reads = _on_reads(spark, d)
+    return materialize(T.pieces(reads, T.axis(reads)), "pieces")
+
+
+@query("target_slices")
+def target_slices(spark: SparkSession, d: str) -> DataFrame:
+    """The slices of anchors and reads that make each path's target."""
+    return T.target_slices(_pieces(spark, d))
 
 
 @query("assembly_records")
 def assembly_records(spark: SparkSession, d: str) -> DataFrame:
-    m = materialize(_matches(spark, d, "customer"), "matches")
-    placed = assemble.layout(_paths(spark, d), A.with_ranges(A.interval_pairs(m)), A.vertices(m))
-    return records.paf_lines(assemble.records(placed))
+    """Alignment lines of the pieces between and beside the anchors, on their targets."""
+    found = _pieces(spark, d)
+    return records.paf_lines(assembly.paf_rows(T.queries(found, materialize(T.target_slices(found), "slices"))))
