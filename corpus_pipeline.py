@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm.bpe import decode, encode, tokenizer
+from spanweave.llm.bpe import encode_and_check, tokenizer
 from spanweave.llm.decontaminate import contaminated
 from spanweave.llm.labels import fold
 from spanweave.llm.near_dup import first_texts, text_key
@@ -54,11 +54,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether decoding gives the text back."""
-    path, pattern = tokenizer()
-    tokens = materialize(encode(docs.select("doc_id", "text", "lang", "source"), path, pattern), "token-ids")
-    tokens = decode(tokens, path)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
-    return tokens.select("doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    tokens = encode_and_check(docs.select("doc_id", "text", "lang", "source"), *tokenizer())
+    return tokens.select("doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [

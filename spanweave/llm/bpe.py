@@ -502,6 +502,17 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",
     return own.mapInArrow(run, schema)
 
 
+def _decoded(decoder: Decoder, ids: pa.ListArray) -> Iterator[pa.Array]:
+    """The texts of the ids (null ids: null), 256 at a time."""
+    for at in range(0, len(ids), 256):
+        part, texts, ends = ids.slice(at, 256), [], 0
+        flat = part.flatten().to_numpy(zero_copy_only=False)
+        for n, there in zip(pc.fill_null(pc.list_value_length(part), 0).to_pylist(), part.is_valid().to_pylist(), strict=True):
+            texts.append(decoder.feed(flat[ends : ends + n].tolist()) + decoder.close() if there else None)
+            ends += n
+        yield pa.array(texts, pa.string())
+
+
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with ``text_col``: the text of the ids. Bytes that aren't UTF-8 become U+FFFD, null ids give a null text
     and a null or unknown id within an array an error."""
@@ -512,14 +523,35 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "token_ids", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoder(ranks_path)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                rows, texts = batch.slice(at, 256), []
-                part = rows.column(ids_col)
-                flat, ends = part.flatten().to_numpy(zero_copy_only=False), 0
-                for n, there in zip(pc.fill_null(pc.list_value_length(part), 0).to_pylist(), part.is_valid().to_pylist(), strict=True):
-                    texts.append(decoder.feed(flat[ends : ends + n].tolist()) + decoder.close() if there else None)
-                    ends += n
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], schema.names)
+            at = 0
+            for texts in _decoded(decoder, batch.column(ids_col)):
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns, texts], schema.names)
+                at += len(texts)
+
+    return own.mapInArrow(run, schema)
+
+
+def encode_and_check(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "token_ids", same_col: str = "round_trip") -> DataFrame:
+    """As encode(), but the text doesn't go on; in its place ``same_col``: whether decoding the ids gives it back (a null
+    text counts as empty). Each slice of a task is decoded as soon as it is encoded, so neither ids nor texts are written
+    or sent to a second task for it."""
+    if len({text_col, ids_col, same_col}) < 3:
+        raise ValueError("text, ids and the check are three columns")
+    own = df.select(*[df[c] for c in df.columns if c not in (ids_col, same_col)])
+    kept = [f for f in own.schema.fields if f.name != text_col]
+    schema = T.StructType([*kept, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(same_col, T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _encoder(ranks_path, pattern), _decoder(ranks_path)
+        gc.freeze()  # see encode()
+        for batch in batches:
+            for part in W.slices(batch, text_col, _BYTES):
+                ids, at, same = encoder.batch(part.column(text_col)), 0, []
+                for texts in _decoded(decoder, ids):
+                    given = pc.fill_null(part.column(text_col).slice(at, len(texts)), "")
+                    same.append(pc.equal(texts, given.cast(pa.string())))
+                    at += len(texts)
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], ids, pa.concat_arrays(same)], schema.names)
 
     return own.mapInArrow(run, schema)
 

@@ -1,13 +1,17 @@
 """The stages of the corpus pipeline, each against what it must do to its own input. The smallest tables have too few
 labels (87) to train a classifier on; these have 399."""
 
+import base64
+import os
 import random
 import re
 from collections import Counter
+from urllib.parse import urlparse
 
 import duckdb
 
 import corpus_pipeline as P
+from spanweave.llm import bpe
 from spanweave.session import materialize, read_table
 
 SF = "/root/testdata/sf0.01"
@@ -85,3 +89,25 @@ def test_decontamination_stage_drops_rows_not_ids(spark, tmp_path):
     dirty = [(2, prose(50, 30) + " " + item, "x"), (None, item, "x"), (8, item + " " + prose(51, 20), "x")]
     got = P.drop_contaminated(spark, table(spark, [*clean, *dirty, (None, None, "x"), (9, "", "x")]), str(tmp_path))
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(i, t) for i, t, _ in clean] + [(None, None), (9, "")])
+
+
+def test_last_stage_decodes_where_it_encodes(spark):
+    """Nothing is written for the check, and no text or ids go to a second task (the executor held 3 GB by it)."""
+    path, pattern = bpe.tokenizer()
+    rows = [(1, "two words", "x"), (2, None, "x"), (None, "", "x"), (3, "na\u00efve \U0001f469 \t\n end ", "x"), *((10 + i, prose(i, i % 50), "x") for i in range(600))]
+    want = bpe.decode(bpe.encode(table(spark, rows), path, pattern), path).collect()
+    shared = urlparse(spark.conf.get("spark.checkpoint.dir")).path
+    there = set(os.listdir(shared))
+    out = P.encode_texts(spark, table(spark, rows), SF)
+    assert Counter((r.doc_id, tuple(r.token_ids), r.n_tokens, r.round_trip) for r in out.collect()) == Counter((r.doc_id, tuple(r.token_ids), len(r.token_ids), r.decoded == (r.text or "")) for r in want)
+    assert out.schema["n_tokens"].dataType.typeName() == "long" and out.columns == ["doc_id", "lang", "source", "token_ids", "n_tokens", "round_trip"]
+    assert set(os.listdir(shared)) == there
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_a_text_that_decodes_otherwise_is_told(spark, tmp_path):
+    ranks = tmp_path / "ranks"
+    # the id of "b" stands for another text where ids are decoded: two ids, one of them for "B" too
+    ranks.write_bytes(b"".join(base64.b64encode(bytes([i])) + b" %d\n" % (i if i != 0x42 else 0x62) for i in range(256)))
+    got = bpe.encode_and_check(spark.createDataFrame([(1, "a"), (2, "ab B"), (3, None)], "id long, text string").coalesce(1), str(ranks), r"\S+|\s+").collect()
+    assert {r.id: (r.token_ids, r.round_trip) for r in got} == {1: ([97], True), 2: ([97, 98, 32, 98], False), 3: ([], True)}
